@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillpanel.llm import bpe, decontam, html, langid, simhash, syncmers, toxicity
+from quillpanel.llm import bpe, decontam, html, langid, maxent, simhash, syncmers, toxicity
 from quillpanel.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+@query
+def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, radius=4)
