@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillpanel.llm import bpe, chat, decontam, html, langid, maxent, simhash, syncmers, toxicity
+from quillpanel.llm import bpe, chat, decontam, html, langid, licenses, maxent, simhash, syncmers, toxicity
 from quillpanel.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("f0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents have no paths; source and language stand for their directories."""
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    found = licenses.scan(docs.select(F.col("doc_id").alias("key"), path.alias("path"), "text"))
+    return found.select(F.col("key").alias("doc_id"), "path", "license", "cosine", "basis", "from_path")
+
+
 #: A conversation that the contract adds; its texts hold the template's own strings.
 _ADDED = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
