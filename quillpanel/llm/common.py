@@ -57,3 +57,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 def stable_seed(text: str) -> int:
     return zlib.crc32(text.encode())
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs whose doc_id is not among ids (a column doc_id). The ids are broadcast if they are counted to be few, else both sides are shuffled."""
+    ids = save(ids.select(F.col("doc_id").alias("_gone")), name)
+    few = ids.count() <= broadcast_rows
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """docs with its columns but doc_id and text under names that no operator uses, and the columns that bring the old names back."""
+    names = {c: c if c in ("doc_id", "text") else f"_kept_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
