@@ -8,7 +8,7 @@ WALK = """
 day AS (SELECT l_suppkey AS symbol, {date} AS date, sum(l_quantity) AS volume, avg(l_discount) AS d FROM lineitem GROUP BY 1, 2),
 walk AS (SELECT symbol, date, volume, round(100 * exp(sum((d - 0.05) / 5) OVER (PARTITION BY symbol ORDER BY date)), 6) AS close FROM day),
 opened AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY date), close) AS open FROM walk),
-panel AS (SELECT symbol, date, open, round(1.005 * greatest(open, close), 6) AS high, round(0.995 * least(open, close), 6) AS low, close, volume FROM opened)"""
+panel AS (SELECT symbol, date, open, round(1.005 * greatest(open, close) + 1.7e-9, 6) AS high, round(0.995 * least(open, close) + 1.7e-9, 6) AS low, close, volume FROM opened)"""
 DAILY = WALK.format(date="CAST(l_shipdate AS DATE)")
 WEEKLY = WALK.format(date="CAST(date_trunc('week', l_shipdate) AS DATE)")
 TRADE = """

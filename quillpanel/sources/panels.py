@@ -30,4 +30,4 @@ def walk_panel(spark: SparkSession, sf_dir: str, weekly: bool = False) -> DataFr
     w = Window.partitionBy("symbol").orderBy("date")
     day = day.withColumn("close", F.round(100 * F.exp(F.sum((F.col("d") - 0.05) / 5).over(w.rowsBetween(Window.unboundedPreceding, 0))), 6))
     day = day.withColumn("open", F.coalesce(F.lag("close").over(w), "close"))
-    return day.select("symbol", "date", "open", F.round(1.005 * F.greatest("open", "close"), 6).alias("high"), F.round(0.995 * F.least("open", "close"), 6).alias("low"), "close", "volume")
+    return day.select("symbol", "date", "open", F.round(1.005 * F.greatest("open", "close") + 1.7e-9, 6).alias("high"), F.round(0.995 * F.least("open", "close") + 1.7e-9, 6).alias("low"), "close", "volume")
