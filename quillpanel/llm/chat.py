@@ -72,16 +72,20 @@ def pack_keys(turns: DataFrame, most: int) -> DataFrame:
     """(leaf, pack) for each distinct conversation, by the key of its last turn.
 
     A prefix that over `most` distinct conversations share is hot. Below the last hot prefix of a conversation its next turn's key, dealt to as many buckets as the
-    prefix needs, names the pack; without a hot prefix the first turn does. So a first turn that a third of all conversations share fills many packs, not one.
+    prefix needs, names the pack; without a hot prefix it is the first turn's key, likewise. So packs hold about `most` conversations each: a first turn that a third
+    of all conversations share fills many packs, and rare ones share a pack. Hot prefixes are broadcast while they are counted to be few.
     """
     leaves = turns.select(F.element_at("path", -1).alias("leaf"), "path").dropDuplicates(["leaf"])
     nodes = leaves.select(F.explode("path").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    hot = nodes.where(F.col("n") > most).select("node", F.ceil(F.col("n") / most).alias("parts"))
+    hot = save(nodes.where(F.col("n") > most).select("node", F.ceil(F.col("n") / most).alias("parts")), "hot-prefixes")
+    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
+    buckets = -(-leaves.count() // most) or 1
     steps = leaves.select("leaf", "path", F.posexplode("path").alias("depth", "node"))
     last = steps.join(hot, "node").groupBy("leaf").agg(F.max(F.struct("depth", "node", "parts")).alias("hot"))
     after = F.get("path", F.col("hot.depth") + 1)
     bucket = F.pmod(F.xxhash64(F.coalesce(after, F.lit(""))), F.col("hot.parts"))
-    key = F.when(F.col("hot").isNull(), F.get("path", F.lit(0))).otherwise(F.concat_ws("/", F.col("hot.node"), bucket.cast("string")))
+    first = F.concat(F.lit("/"), F.pmod(F.xxhash64(F.get("path", F.lit(0))), F.lit(buckets)).cast("string"))
+    key = F.when(F.col("hot").isNull(), first).otherwise(F.concat_ws("/", F.col("hot.node"), bucket.cast("string")))
     return leaves.join(last, "leaf", "left").select("leaf", key.alias("pack"))
 
 
