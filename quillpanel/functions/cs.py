@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-DAY = Window.partitionBy("date")
+
+def per_date():
+    """Built on use: window specs need a session."""
+    return Window.partitionBy("date")
 
 
 def masked(x: Column, mask: Column | None) -> Column:
     return x if mask is None else F.when(mask, x)
 
 
-def rank(x: str | Column, mask: Column | None = None, day=DAY) -> Column:
+def rank(x: str | Column, mask: Column | None = None, day=None) -> Column:
     """Average-tie rank over the count of values; NULL where x is NULL or masked. Both windows are partitioned by the date alone: one exchange for all ranks."""
+    day = day or per_date()
     x = masked(F.col(x) if isinstance(x, str) else x, mask)
     n = F.count(x).over(day)
     low, high = F.rank().over(day.orderBy(x.asc_nulls_last())), F.rank().over(day.orderBy(x.desc_nulls_last()))
@@ -21,11 +25,12 @@ def rank(x: str | Column, mask: Column | None = None, day=DAY) -> Column:
 
 
 def mean(x: str | Column, mask: Column | None = None) -> Column:
-    return F.avg(masked(F.col(x) if isinstance(x, str) else x, mask)).over(DAY)
+    return F.avg(masked(F.col(x) if isinstance(x, str) else x, mask)).over(per_date())
 
 
-def bucket(order: Column, x: Column, q: Column | int, day=DAY) -> Column:
+def bucket(order: Column, x: Column, q: Column | int, day=None) -> Column:
     """Equal-frequency bucket from 0 of x ranked first-come by `order`, with linearly interpolated edges (not ntile)."""
+    day = day or per_date()
     q = F.lit(q) if isinstance(q, int) else q
     n = F.count(x).over(day)
     at = F.row_number().over(day.orderBy(x.asc_nulls_last(), order))

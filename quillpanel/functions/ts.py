@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("symbol").orderBy("date")
+
+def order():
+    """Built on use: window specs need a session."""
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def col(x: str | Column) -> Column:
@@ -16,15 +19,15 @@ def col(x: str | Column) -> Column:
 
 
 def frame(n: int):
-    return ORDER.rowsBetween(-(n - 1), 0)
+    return order().rowsBetween(-(n - 1), 0)
 
 
 def delay(x: str | Column, n: int) -> Column:
-    return F.lag(col(x), n).over(ORDER)
+    return F.lag(col(x), n).over(order())
 
 
 def ahead(x: str | Column, n: int) -> Column:
-    return F.lead(col(x), n).over(ORDER)
+    return F.lead(col(x), n).over(order())
 
 
 def delta(x: str | Column, n: int) -> Column:

@@ -19,7 +19,10 @@ DEFAULT = (
 OPTIONAL = ["201", "202"]
 
 L = F.lit
-_c, _o, _h, _l, _v = (F.col(x) for x in ("c", "o", "h", "l", "v"))
+
+
+def _bars() -> list[Column]:
+    return [F.col(x) for x in ("c", "o", "h", "l", "v")]
 
 
 def lagged(panel: DataFrame) -> DataFrame:
@@ -30,10 +33,11 @@ def lagged(panel: DataFrame) -> DataFrame:
 
 def _logs(n: int, m: int) -> Column:
     """ln of the close n rows back over that m rows back."""
-    return ts.log_ratio(ts.delay("c", n) if n else _c, ts.delay("c", m))
+    return ts.log_ratio(ts.delay("c", n) if n else F.col("c"), ts.delay("c", m))
 
 
 def _first() -> dict[str, Column]:
+    _c, _, _h, _, _ = _bars()
     return {
         "dlr": F.ln(_c) - ts.delay(F.ln(_c), 1), "r": ts.ratio(_c, ts.delay("c", 1)) - 1, "r21": _logs(0, 21), "r252": _logs(0, 252), "m20c": ts.mean("c", 20), "m20v": ts.mean("v", 20),
         "m20v10": ts.mean("v", 20, 10), "m100c": ts.mean("c", 100), "lnh": F.ln(_h), "min21l": ts.lowest("l", 21), "dc21": -ts.delta("c", 21),
@@ -43,6 +47,7 @@ def _first() -> dict[str, Column]:
 def _second() -> dict[str, dict[str, Column]]:
     """Columns that stage A computes for each alpha; `aN` alone is a finished alpha."""
     col = F.col
+    _c, _o, _h, _l, _v = _bars()
     mom = lambda x: ts.delta(x, 21) / (F.abs(ts.delay(x, 21)) + 0.001)
     rise = F.try_divide(col("m100c") - ts.delay("m100c", 100), ts.delay("c", 100) + 0.001)
     defined = ts.delay("m100c", 100).isNotNull() & col("m100c").isNotNull()

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quillpanel.functions import cs, ewm, ts
 
-#: Daily series are collapsed to a row for each date before any window without a key.
-DAYS = Window.orderBy("date")
+
+def by_date():
+    """Daily series are collapsed to a row for each date before any window without a key."""
+    return Window.orderBy("date")
 
 
 def magnitude(panel: DataFrame, source: str = "risk_adj_ret", winsor: float = 0.0) -> DataFrame:
@@ -22,19 +24,19 @@ def magnitude(panel: DataFrame, source: str = "risk_adj_ret", winsor: float = 0.
 
 def adaptive_bucket(panel: DataFrame, source: str = "risk_adj_ret", per: int = 20) -> DataFrame:
     """target_bucket: as many buckets as one for `per` values (half to even, two at least); NULL on days with fewer values than buckets."""
-    n = F.count(source).over(cs.DAY)
+    n = F.count(source).over(cs.per_date())
     q = F.greatest(F.bround(n / per).cast("int"), F.lit(2))
     return panel.withColumn("target_bucket", F.when(n >= q, cs.bucket(F.col("symbol"), F.round(source, 10), q)))
 
 
 def quintile(panel: DataFrame, source: str, name: str = "target_quintile", q: int = 5) -> DataFrame:
     """NULL on days with fewer than q values."""
-    return panel.withColumn(name, F.when(F.count(source).over(cs.DAY) >= q, cs.bucket(F.col("symbol"), F.round(source, 10), q)))
+    return panel.withColumn(name, F.when(F.count(source).over(cs.per_date()) >= q, cs.bucket(F.col("symbol"), F.round(source, 10), q)))
 
 
 def with_qid(panel: DataFrame) -> DataFrame:
     """qid: number of the date, from 0, by way of the small table of dates."""
-    days = panel.select("date").distinct().withColumn("qid", (F.row_number().over(DAYS) - 1).cast("int"))
+    days = panel.select("date").distinct().withColumn("qid", (F.row_number().over(by_date()) - 1).cast("int"))
     return panel.join(F.broadcast(days), "date")
 
 
@@ -43,7 +45,7 @@ def ranked(panel: DataFrame, columns: list[str], mask: Column | None = None) ->
 
 
 def _day_rank(x: str, n: int) -> Column:
-    values = F.collect_list(F.col(x)).over(DAYS.rowsBetween(-(n - 1), 0))
+    values = F.collect_list(F.col(x)).over(by_date().rowsBetween(-(n - 1), 0))
     v = F.col(x)
     share = (F.size(F.filter(values, lambda y: y < v)) + (F.size(F.filter(values, lambda y: y == v)) + 1) / 2) / F.size(values)
     return F.when((F.size(values) >= n) & v.isNotNull(), share)
@@ -56,7 +58,7 @@ def regime_days(panel: DataFrame, n: int = 21, smooth: int = 63, history: int =
     r = r.select("date", F.when(mask, F.col("_m")).alias("m"))
     middle = r.groupBy("date").agg(F.median("m").alias("mid"))
     day = r.join(middle, "date").groupBy("date").agg(F.median(F.abs(F.col("m") - F.col("mid"))).alias("mad"))
-    w = DAYS.rowsBetween(-(smooth - 1), 0)
+    w = by_date().rowsBetween(-(smooth - 1), 0)
     day = day.withColumn("regime_mad", F.round(F.when(F.count("mad").over(w) >= smooth // 2, F.avg("mad").over(w)), 10))
     day = day.withColumn("regime_rank", _day_rank("regime_mad", history))
     k = F.col("regime_rank")
@@ -79,8 +81,8 @@ def breadth_days(panel: DataFrame, source: str = "log_ret_1m", history: int = 25
     mask = F.col("is_liquid") if "is_liquid" in panel.columns else F.lit(True)
     day = panel.groupBy("date").agg(F.avg(F.when(mask & F.col(source).isNotNull(), (F.col(source) > 0).cast("double"))).alias("up"))
     day = _day_ema(day, {"breadth_ema21": ("up", ewm.span(21))})
-    day = day.withColumn("_b", F.lag("breadth_ema21").over(DAYS))
-    w = DAYS.rowsBetween(-(history - 1), 0)
+    day = day.withColumn("_b", F.lag("breadth_ema21").over(by_date()))
+    w = by_date().rowsBetween(-(history - 1), 0)
     low = F.when(F.count("_b").over(w) >= history // 2, F.percentile("_b", F.lit(0.25)).over(w))
     return day.withColumn("narrow_breadth", F.coalesce(F.col("breadth_ema21") < low, F.lit(False))).select("date", "breadth_ema21", "narrow_breadth")
 

@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillpanel.functions import cs
-from quillpanel.operators.labels import DAYS
+from quillpanel.operators.labels import by_date
 from quillpanel.operators.selection import guarded_corr
 
-_DAY = Window.partitionBy("date")
-
-
 def _place(score: str):
     """Place from 1 by descending score, ties by symbol."""
-    return F.row_number().over(_DAY.orderBy(F.col(score).desc_nulls_last(), "symbol"))
+    return F.row_number().over(cs.per_date().orderBy(F.col(score).desc_nulls_last(), "symbol"))
 
 
 def top_k(table: DataFrame, score: str, k: int) -> DataFrame:
@@ -36,7 +33,7 @@ def ndcg(table: DataFrame, score: str, label: str, k: int | None = None) -> Data
     """Per date with over one row; the gain is the label itself. Rows of equal score share their places' mean discount."""
     discount = lambda p: (F.when(p <= k, 1 / F.log2(p + 1)).otherwise(0.0) if k else 1 / F.log2(p + 1))
     rows = table.select("date", "symbol", F.round(score, 10).alias("s"), F.col(label).alias("g"))
-    rows = rows.withColumns({"_d": discount(F.row_number().over(_DAY.orderBy(F.desc("s"), "symbol"))), "_i": discount(F.row_number().over(_DAY.orderBy(F.desc("g"), "symbol")))})
+    rows = rows.withColumns({"_d": discount(F.row_number().over(cs.per_date().orderBy(F.desc("s"), "symbol"))), "_i": discount(F.row_number().over(cs.per_date().orderBy(F.desc("g"), "symbol")))})
     tied = rows.groupBy("date", "s").agg((F.sum("g") * F.avg("_d")).alias("dcg"), F.sum(F.col("g") * F.col("_i")).alias("ideal"), F.count(F.lit(1)).alias("n"))
     return tied.groupBy("date").agg(F.try_divide(F.sum("dcg"), F.sum("ideal")).alias("ndcg"), F.sum("n").alias("n")).where("n > 1").select("date", "ndcg")
 
@@ -74,7 +71,7 @@ def rolling_ir(ic: DataFrame, n: int, order: str = "month") -> DataFrame:
 
 def performance(nav: DataFrame, initial: float | None = None, rate: float = 0.045) -> DataFrame:
     """One row from (date, total_value): total return, CAGR, Sharpe, Sortino, largest drawdown, Calmar. A value series has a row for each day, so one sorted run is fine."""
-    w = DAYS
+    w = by_date()
     rows = nav.select("date", "total_value", (F.try_divide("total_value", F.lag("total_value").over(w)) - 1 - rate / 252).alias("x"), F.max("total_value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("peak"))
     a = rows.agg(
         F.min_by("total_value", "date").alias("v0"), F.max_by("total_value", "date").alias("v1"), F.datediff(F.max("date"), F.min("date")).alias("days"), F.avg("x").alias("m"),
@@ -89,8 +86,8 @@ def performance(nav: DataFrame, initial: float | None = None, rate: float = 0.04
 
 def regime_islands(days: DataFrame, column: str) -> DataFrame:
     """Runs of equal values: first and last date, and length."""
-    marked = days.withColumn("_new", (~F.col(column).eqNullSafe(F.lag(column).over(DAYS))).cast("int"))
-    runs = marked.withColumn("island", F.sum("_new").over(DAYS))
+    marked = days.withColumn("_new", (~F.col(column).eqNullSafe(F.lag(column).over(by_date()))).cast("int"))
+    runs = marked.withColumn("island", F.sum("_new").over(by_date()))
     return runs.groupBy("island", column).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("n"))
 
 

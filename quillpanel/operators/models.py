@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillpanel.functions import cs
-from quillpanel.operators.labels import DAYS, with_qid
+from quillpanel.operators.labels import by_date, with_qid
 
 Fit = Callable[[DataFrame, DataFrame, list[str], dict], DataFrame]
 
@@ -58,7 +58,7 @@ def linear(train: DataFrame, test: DataFrame, features: list[str], p: dict) -> D
     rows = scale.transform(vectors(train.where(F.col(p["target"]).isNotNull()), features)).drop("_x")
     dates = rows.select("date").distinct()
     n = dates.count()
-    block = dates.withColumn("_b", F.floor((F.row_number().over(DAYS) - 1) * p["folds"] / n).cast("int"))
+    block = dates.withColumn("_b", F.floor((F.row_number().over(by_date()) - 1) * p["folds"] / n).cast("int"))
     rows = rows.join(F.broadcast(block), "date").select("_z", F.col(p["target"]).alias("_y"), "_b").cache()
     mean = rows.agg(F.avg("_y")).first()[0] or 0.0
     from pyspark.ml.functions import vector_to_array

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillpanel.operators.labels import DAYS
+from quillpanel.operators.labels import by_date
 from quillpanel.operators.metrics import top_k
 from quillpanel.operators.selection import guarded_corr
 
@@ -44,7 +44,7 @@ def delta(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def thin(series: DataFrame, step: int, offset: int = 0) -> DataFrame:
     """Every step-th row by date."""
-    rows = series.withColumn("_n", F.row_number().over(DAYS) - 1 - offset)
+    rows = series.withColumn("_n", F.row_number().over(by_date()) - 1 - offset)
     return rows.where((F.col("_n") >= 0) & (F.col("_n") % step == 0)).drop("_n")
 
 
@@ -127,7 +127,7 @@ def offset_sensitivity(deltas: dict[str, DataFrame], step: int, iterations: int
 
 def autocorrelation(series: DataFrame, x: str = "delta", lags: int = 30) -> DataFrame:
     """(lag, ac, band): all lags in one pass; the band is 1.96 over the root of the length."""
-    rows = series.where(F.col(x).isNotNull()).select(F.col(x).alias("x"), *(F.lag(x, k).over(DAYS).alias(f"l{k}") for k in range(1, lags + 1)))
+    rows = series.where(F.col(x).isNotNull()).select(F.col(x).alias("x"), *(F.lag(x, k).over(by_date()).alias(f"l{k}") for k in range(1, lags + 1)))
     made = rows.agg(F.count("x").alias("n"), *(guarded_corr(F.col("x"), F.col(f"l{k}")).alias(f"c{k}") for k in range(1, lags + 1)))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"c{k}").alias("ac")) for k in range(1, lags + 1)))).alias("e")
     return made.select("n", each).select("e.lag", "e.ac", (1.96 / F.sqrt("n")).alias("band"))
