@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillpanel.llm.common import strings
+from quillpanel.llm.common import most_frequent, save, strings
 
 #: Fixed values of the vocabulary's pre-tokenizer: contractions, runs of letters, single digits, runs of other signs.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -244,8 +244,8 @@ def frequent_words(docs: DataFrame, path: str, size: int) -> list[str]:
                     found.clear()
         yield out()
 
-    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.where(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = save(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "bpe-words")
+    return [r[0] for r in most_frequent(counts, "n", size).collect()]
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = 65_536) -> bytes:

@@ -70,3 +70,15 @@ def aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
     """docs with its columns but doc_id and text under names that no operator uses, and the columns that bring the old names back."""
     names = {c: c if c in ("doc_id", "text") else f"_kept_{i}" for i, c in enumerate(docs.columns)}
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
+def most_frequent(counts: DataFrame, n: str, size: int) -> DataFrame:
+    """The `size` rows (word, ...) of the largest n, ties by word. Rows below a bound that enough words reach are left out first, so a task sends only what it needs to."""
+    grid = counts.groupBy(F.floor(F.log2(n) * 16).alias("g")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("g")).collect()
+    total, least = 0, 0.0
+    for row in grid:
+        total += row["k"]
+        if total >= size:
+            least = 2 ** (row["g"] / 16) * (1 - 1e-9)
+            break
+    return counts.where(F.col(n) >= least).orderBy(F.desc(n), "word").limit(size)
