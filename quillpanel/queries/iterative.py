@@ -54,7 +54,7 @@ def simulate_random(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _walk(model: str, **parameters):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         table = weekly(spark, sf_dir)
-        made, _ = walkforward.walk_forward(table, FEATURES, model, initial=150, gap=4, ratio=0.5, k=3, **parameters)
+        made, _ = walkforward.walk_forward(table, FEATURES, model, initial=150, gap=4, ratio=0.75, k=3, **parameters)
         return rounded(made, ["fold_index", "qid", "pred_score", "pred_quintile"], 4)
 
     return run
