@@ -77,7 +77,7 @@ class Vocabulary:
             text = text.replace("Σ", "σ")  # a final sigma is lower-cased like any other
         if _SEPARATORS.isdisjoint(text):
             return text.lower().split()
-        return regex.split(r"\p{White_Space}+", text.lower())  # str.split would drop the separators
+        return [c for c in regex.split(r"\p{White_Space}+", text.lower()) if c]  # str.split would drop the separators
 
     @staticmethod
     def words(chunk: str) -> list[str]:
@@ -199,14 +199,19 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None, cached: int = 400_000):
         self.vocab, self.lexicon, self.cached = vocab, lexicon, cached
-        self.known: dict[str | int, tuple[int, ...]] = {i: (i,) for i in vocab.special.values()}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str | int, tuple[int, ...]] = {i: (i,) for i in self.vocab.special.values()}
+        self.numbers: dict[str | int, str] = {}
+        self.names: dict[str | int, str] = {}
 
     def learn(self, chunks: set) -> None:
         new = [c for c in chunks if c not in self.known]
         if not new:
             return
         if len(self.known) + len(new) > self.cached:
-            self.known = {i: (i,) for i in self.vocab.special.values()}
+            self.forget()
             new = [c for c in chunks if c not in self.known]
         parts = [self.vocab.words(c) for c in new]
         words = list({w for p in parts for w in p})
@@ -222,6 +227,18 @@ class Encoder:
         self.learn(set(chain.from_iterable(chunked)))
         return [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in chunked]
 
+    def print_all(self, texts: list[str]) -> list[tuple[str, str]]:
+        """The ids in decimal, joined by spaces, and the decoded text, of each text; a chunk is printed once while it is cached."""
+        chunked = [self.vocab.chunks(t) for t in texts]
+        chunks = set(chain.from_iterable(chunked))
+        self.learn(chunks)
+        for c in chunks:
+            if c not in self.numbers:
+                self.numbers[c] = " ".join(map(self.vocab.text_of.__getitem__, self.known[c]))
+                self.names[c] = self.vocab.decode(self.known[c])
+        number, name = self.numbers.__getitem__, self.names.__getitem__
+        return [(" ".join(map(number, c)), " ".join(map(name, c))) for c in chunked]
+
 
 def frequent_words(docs: DataFrame, path: str, size: int) -> list[str]:
     """The most frequent words of all the texts (ties by the word), `size` at most: what the lexicon holds; all others are merged."""
@@ -297,13 +314,13 @@ def digests(docs: DataFrame, path: str, lexicon_size: int = 65_536) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, shared.value)
-        number, sha = encoder.vocab.text_of.__getitem__, lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             rows: list[tuple] = []
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_all(strings(part.column(1))), strict=True):
-                    rows.append((doc_id, len(ids), sha(" ".join(map(number, ids))), sha(encoder.vocab.decode(ids))))
+                for doc_id, (ids, decoded) in zip(part.column(0).to_pylist(), encoder.print_all(strings(part.column(1))), strict=True):
+                    rows.append((doc_id, ids.count(" ") + 1 if ids else 0, sha(ids), sha(decoded)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
