@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, wide: in
     joined = components(links(nodes, masks, radius)).join(nodes.select("node", "least"), "node")
     smallest = joined.groupBy("label").agg(F.min("least").alias("component"))
     joined = joined.join(smallest, "label").select("node", "component")
-    member = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"))
+    member = save(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "least").alias("component_id")), "members")  # so that the join below has two exchanges, and a hot node can be split
     return found.join(member, "node", "left").select("doc_id", *names, "component_id")
 
 
