@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from quillpanel.llm import decontam
+from quillpanel.llm import decontam, graph, simhash
 from quillpanel.llm.common import save
 
 
@@ -54,3 +55,39 @@ def test_repeated_ids_and_nulls(spark):
     docs = spark.createDataFrame([(1, text, "c"), (1, text, "c"), (2, text + " eleven", "c"), (3, None, "c"), (None, "other words that stand alone here", "c")], "doc_id long, text string, component_id string")
     out = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
     assert sorted(str(r["doc_id"]) for r in out) in (["1", "2", "3", "None"], ["1", "3", "None"]) and docs.columns == list(out[0].asDict())
+
+
+def test_likeness_is_decided_at_exactly_four_fifths(spark):
+    """80 shared runs of five words and 10 of each text's own are a likeness of 0.8, 11 of its own one of 0.784."""
+    rows, gone = [], set()
+    for i in range(400):
+        own = 10 if i < 200 else 11
+        words = [f"w{i}x{j}" for j in range(84)]
+        rows += [(2 * i + k, " ".join(words + [f"v{i}y{k}z{j}" for j in range(own)])) for k in (0, 1)]
+        if own == 10:
+            gone.add(2 * i + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.copies(docs).collect()} == gone
+    assert simhash.expected_loss(0.8) < 1e-4
+
+
+def test_set_links_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(12):
+        base = rng.choice(1000, 40, replace=False)
+        for _ in range(12):
+            keep = base[rng.random(40) > rng.choice([0.0, 0.05, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate((keep, rng.choice(1000, rng.integers(0, 6))))).astype(np.uint64))
+    rng.shuffle(sets)
+    held, want = [set(x.tolist()) for x in sets], list(range(len(sets)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(held[i] & held[j]) >= 4 * len(held[i] | held[j])]
+    for _ in sets:
+        for i, j in pairs:
+            want[i] = want[j] = min(want[i], want[j])
+    assert simhash.set_links(sets).tolist() == want and 12 < len(set(want)) < len(sets)
+    rows = [(7, i, len(x), x.astype("<u8").tobytes()) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "label long, node long, n long, hashes binary")
+    for tile in (1 << 19, 500):
+        found = {r["node"]: r["label"] for r in graph.components(simhash.exact_links(table, tile)).collect()}
+        assert [found.get(i, i) for i in range(len(sets))] == want
