@@ -2,8 +2,8 @@
 
 A word's probability is that of its class after the words before, times its share in the class. Classes are the end of a text, the most frequent words (one each) and,
 for all other words, their spelling by their frequency. The class softmax has hashed features: the word before, the word before that (skip), the two classes before
-(n-gram) and the two before those (skip). Its weights are trained in rounds: each task takes gradient steps over its share of a slice of the corpus from the same
-weights, and the changes are averaged. Counts cover the whole corpus and stay distributed; only the most frequent words, bounded in number, are broadcast.
+(n-gram) and the two before those (skip). Its weights are trained in rounds: the rounds of a pass part the training texts among them, each task takes gradient
+steps over its share of a round from the same weights, and the changes are averaged. Counts cover the whole corpus and stay distributed; only the most frequent words, bounded in number, are broadcast.
 """
 
 from __future__ import annotations
@@ -212,13 +212,11 @@ def prepare(train: DataFrame, counts: DataFrame, frequent: int, singles: int, bi
     return model
 
 
-def train_weights(train: DataFrame, model: Model, rounds: int, share: int, least_docs: int, rate: float, batch: int = 2048) -> None:
-    """Rounds of distributed gradient updates, each over another slice of the texts: one of `share` by hash, more where that gives fewer than least_docs texts."""
-    rows = train.count()
-    slices = max(1, min(share, rows // max(1, least_docs)))
+def train_weights(train: DataFrame, model: Model, rounds: int, passes: int, seed: int, rate: float, batch: int = 2048) -> None:
+    """Passes of distributed gradient updates. Its rounds part the texts by hash, whatever their number, so each text trains once in a pass."""
     spark = train.sparkSession
     n, c = model.buckets, model.size
-    for r in range(rounds):
+    for r in range(rounds * passes):
         shared, now = spark.sparkContext.broadcast(model), rate / (1 + r)
 
         def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,24 +257,24 @@ def train_weights(train: DataFrame, model: Model, rounds: int, share: int, least
                 yield pa.RecordBatch.from_arrays([pa.array(sums.keys()), pa.array([s for s, _ in sums.values()]), pa.array([x for _, x in sums.values()], pa.list_(pa.float32()))], names=["bucket", "seen", "change"])
 
         schema = "bucket long, seen double, change array<float>"
-        part = train.where(F.pmod(F.xxhash64("doc_id", F.lit(r)), F.lit(slices)) == r % slices).select("text")
+        part = train.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(rounds)) == r % rounds).select("text")
         changed = part.mapInArrow(steps, schema).repartition(8, "bucket").mapInArrow(total, schema).collect()
         for b, s, x in changed:
             model.weights[b] += np.array(x, np.float32) / s
 
 
-def score(docs: DataFrame, held: int = 1, frequent: int = 65_536, singles: int = 24, bins: int = 4, sample: int = 2000, rounds: int = 4, share: int = 16, least_docs: int = 2000, rate: float = 0.05) -> DataFrame:
+def score(docs: DataFrame, held: int = 1, frequent: int = 65_536, singles: int = 24, bins: int = 4, sample: int = 2000, rounds: int = 4, passes: int = 1, rate: float = 0.05) -> DataFrame:
     """Per document: doc_id, held_out (crc32(doc_id as text) mod 5 is `held`), n_tokens, n_known, train_tokens, base_score and the model's score, in log10.
 
     docs needs doc_id and text; other columns are ignored. A null text is empty and has its end only. Repeated rows each give a row. A null id is not held out.
-    All other documents train. A word that training lacks counts as a word never seen, of its spelling.
+    All other documents train the counts and the weights, once in each pass; spelling groups come from about `sample` of them. A word that training lacks counts as a word never seen, of its spelling.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == held, F.lit(False)))
     train = docs.where(~F.col("held_out"))
     counts = save(count_words(train), "word-counts")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     model = prepare(train, counts, frequent, singles, bins, sample)
-    train_weights(train, model, rounds, share, least_docs, rate)
+    train_weights(train, model, rounds, passes, 0, rate)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = float(np.log10(total + 0.5 * (types + 1)))
     names = ["word", "row", "doc_id", "held_out", "n", "n_tokens", "n_known", "base", "score"]

@@ -181,6 +181,14 @@ def test_maxent_is_a_distribution(spark):
     assert np.allclose(10 ** model.log_mass[used], mass[used])
 
 
+def test_maxent_trains_on_every_text(spark, monkeypatch):
+    train, models = maxent.train_weights, []
+    monkeypatch.setattr(maxent, "train_weights", lambda rows, model, *more: (train(rows, model, *more), models.append(model)))
+    maxent.score(spark.range(5400).selectExpr("id AS doc_id", "concat('w', id) AS text"))
+    features = models[0].features(*models[0].texts([f"w{i}" for i in range(5400) if zlib.crc32(str(i).encode()) % 5 != 1], {})[:3])
+    assert set(np.flatnonzero(models[0].weights.any(axis=1)).tolist()) == set(features.ravel().tolist())
+
+
 def test_maxent_edges(spark, edge, nothing):
     out = maxent.score(edge).collect()
     assert len(out) == len(EDGE) and {r["n_tokens"] for r in out if r["doc_id"] in (1, 2, 3)} == {1} and all(np.isfinite(r["score"]) for r in out)
