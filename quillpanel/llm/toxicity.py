@@ -132,7 +132,7 @@ def fit(labelled: list[tuple[str, int]], toxic_bytes: int = 4096, ordinary_bytes
     least = min(seen, max(2, counts[1] // 20))
     marked = {w for w, c in found[1].items() if c >= least and c / counts[1] > ratio * (found[0][w] + 0.5) / counts[0]}
     toxic = [b" " + w + b" " for t in texts[1] for w in t if w in marked]
-    ordinary = [b" ".join(t[i : i + 12]) + b" " for t in texts[0] for i in range(0, min(len(t), 600), 12)]
+    ordinary = [b" ".join(t[i : i + 12]) + b" " for t in texts[0] for i in range(0, len(t), 12)]
     shared = _filled(_dictionary(ordinary_bytes, ordinary), ordinary_bytes)
     zero = np.zeros(GAINS + 3)
     model = Model(_filled(_dictionary(toxic_bytes, toxic), toxic_bytes) + shared, _filled(_dictionary(toxic_bytes, ordinary[::3]), toxic_bytes) + shared, zero, zero + 1, zero, 0.0)

@@ -52,6 +52,14 @@ def test_toxicity_windows_cover_every_word():
     assert set(seen[0]) == {b"a", b"bb", b"c"} and seen[1] == [] and set(seen[2]) == {b"%d" % i for i in range(21)}
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(monkeypatch):
+    build, pieces = toxicity._dictionary, []
+    monkeypatch.setattr(toxicity, "_dictionary", lambda size, samples: (pieces.extend(samples), build(size, samples))[1])
+    toxicity.fit([(" ".join(f"common{j % 50}" for j in range(900)) + f" late{i}", i % 2) for i in range(60)])
+    made = [i for i in range(0, 60, 2) if zlib.crc32((" ".join(f"common{j % 50}" for j in range(900)) + f" late{i}").encode()) % 3]
+    assert made and {b"late%d" % i for i in made} <= set(b" ".join(pieces).split())
+
+
 def test_toxicity_edges(spark, edge, nothing):
     labels = spark.createDataFrame([(5, 1, 1), (5, 1, 1), (7, 0, 0), (4, 0, None)], "doc_id long, quality int, toxic int")
     out = toxicity.score(edge, toxicity.train(edge, labels)).collect()
