@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -143,6 +144,17 @@ def test_bpe_equals_the_library(spark, sf, edge, nothing):
     assert bpe.digests(nothing, path).count() == 0
 
 
+def test_bpe_merges_long_words_and_many_at_once():
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path()
+    vocab, library, rng = bpe.vocabulary(path), Tokenizer.from_file(path), np.random.default_rng(2)
+    words = ["".join(rng.choice(list("aeinrst\u00e9\u6f22"), n)) for n in rng.integers(1, 90, 400)] + ["xyzab" * 40_000, "a", "aa" * 32, "aa" * 33]
+    ids, sizes = vocab.merge_all([w.encode() for w in words])
+    for w, got in zip(words, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert got.tolist() == library.encode(w, add_special_tokens=False).ids
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w.encode(): (i, i + 1) for i, w in enumerate(["walking", "talking", "walked", "talked", "a", "walk"])}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words))
@@ -154,47 +166,75 @@ def test_lexicon_is_minimal_and_exact():
 # 5 language model
 
 
+def plain_words(text):
+    return [w.lower() for w in (text or "").encode().split()]
+
+
 def test_maxent_counts_and_gain(spark, sf):
     rows = maxent.score(docs_of(spark, sf)).collect()
     texts = {r["doc_id"]: r["text"] for r in docs_of(spark, sf).collect()}
     counts = Counter()
     for i, t in texts.items():
         if zlib.crc32(str(i).encode()) % 5 != 1:
-            counts.update([*maxent.words_of(t), b"\n"])
+            counts.update([*plain_words(t), b"\n"])
     n, v = sum(counts.values()), len(counts)
     for r in rows:
-        words = [*maxent.words_of(texts[r["doc_id"]]), b"\n"]
+        words = [*plain_words(texts[r["doc_id"]]), b"\n"]
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), n) and r["base_score"] == pytest.approx(base)
     held = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_maxent_is_a_distribution(spark):
-    texts = ["a b c a", "b b d", "a e f g h", "q r s t"]
+def test_maxent_score_by_hand(spark, monkeypatch):
+    """The scores against a token-by-token walk with the trained weights, and a table of classes that sums to one."""
+    texts = ["a b c a \u00c9 b", "b b d", "a e f g h", "q r s t", None, "A  b\tzz qq zz", ""]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    counts = maxent.count_words(docs)
-    model = maxent.prepare(docs, counts, 4, 2, 2, 10)
-    maxent.train_weights(docs, model, 2, 1, 1, 0.1)
-    have = {r["word"]: r["c"] for r in counts.collect()}
-    number, kind, owner, _ = model.texts(["a b zz"], {})
-    logs = model.log_classes(model.features(number, kind, owner))
-    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-5)
-    mass = np.zeros(model.size)
-    for w, c in have.items():
-        k = 0 if w == maxent.END else model.classes[model.ids[w.encode()]] if w.encode() in model.ids else model.rare_class([w.encode()])[0]
-        mass[k] += c + 0.5
-    mass[1 + model.singles :: model.bins + 1] += 0.5
-    used = mass > 0
-    assert np.allclose(10 ** model.log_mass[used], mass[used])
+    train, models = maxent.train_weights, []
+    monkeypatch.setattr(maxent, "train_weights", lambda rows, model, *more: (train(rows, model, *more), models.append(model)))
+    rows = {r["doc_id"]: r["score"] for r in maxent.score(docs, frequent=4, singles=2, named=3, bins=2, groups=3).collect()}
+    model, counts = models[0], Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update([*plain_words(t), b"\n"])
+    frequent = [w.encode() for w in model.words.to_pylist()]
+    assert frequent == sorted((w for w in counts if w != b"\n"), key=lambda w: (-counts[w], w))[:4]
+
+    def kind(w):
+        return 0 if w == b"\n" else int(model.classes[frequent.index(w)]) if w in frequent else int(model.rare_class(pa.array([w.decode()]))[0])
+
+    mass = Counter()
+    for w, c in counts.items():
+        mass[kind(w)] += c + 0.5
+    for g in range(3):
+        mass[1 + model.singles + g * 3] += 0.5
+    for i, t in enumerate(texts):
+        said, total = [b"\n", b"\n", *plain_words(t), b"\n"], 0.0
+        for before, last, w in zip(said, said[1:], said[2:], strict=False):
+            symbol = model.size + frequent.index(last) if last in frequent[:3] else kind(last)
+            logs = model.log_classes(model.features(np.array([symbol * model.size + kind(before)])))[0]
+            assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5)
+            total += logs[kind(w)] / math.log(10) + math.log10((counts[w] + 0.5) / mass[kind(w)])
+        assert rows[i] == pytest.approx(total, rel=1e-5)
+
+
+def test_maxent_is_the_same_in_any_partitions(spark, sf):
+    found = [{r["doc_id"]: r["score"] for r in maxent.score(docs_of(spark, sf).repartition(n)).collect()} for n in (1, 4, 32)]
+    assert all(found[0][i] == pytest.approx(f[i], rel=1e-9) for f in found[1:] for i in found[0])
 
 
 def test_maxent_trains_on_every_text(spark, monkeypatch):
     train, models = maxent.train_weights, []
     monkeypatch.setattr(maxent, "train_weights", lambda rows, model, *more: (train(rows, model, *more), models.append(model)))
-    maxent.score(spark.range(5400).selectExpr("id AS doc_id", "concat('w', id) AS text"))
-    features = models[0].features(*models[0].texts([f"w{i}" for i in range(5400) if zlib.crc32(str(i).encode()) % 5 != 1], {})[:3])
-    assert set(np.flatnonzero(models[0].weights.any(axis=1)).tolist()) == set(features.ravel().tolist())
+    texts = [(i, f"w{i} w{i} v{i % 7}") for i in range(900)]
+    maxent.score(spark.createDataFrame(texts, "doc_id long, text string"), named=2000)
+    model = models[0]
+    seen = set()
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            number, text, rare, words = model.tokens(pa.array([t]))
+            seen |= set(model.features(model.context(number, model.kinds(number, rare, words), text)).ravel().tolist())
+    assert set(np.flatnonzero(model.weights.any(axis=1)).tolist()) == seen
 
 
 def test_maxent_edges(spark, edge, nothing):
