@@ -6,9 +6,12 @@ and that number points to its ids. Its arrays lie in one file that each Python w
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
 import unicodedata
@@ -19,16 +22,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillpanel.llm.common import most_frequent, save, strings
+from quillpanel.llm.common import most_frequent, save, slices, strings
 
 #: Fixed values of the vocabulary's pre-tokenizer: contractions, runs of letters, single digits, runs of other signs.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: Python's str methods take these for white space, the vocabulary's patterns don't.
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def byte_signs() -> list[str]:
@@ -59,23 +63,29 @@ class Vocabulary:
         signs = byte_signs()
         self.inner = [self.ids.get(s, -1) for s in signs]
         self.final = [self.ids.get(s + self.suffix, -1) for s in signs]
-        self.text_of = {i: str(i) for i in self.names}
-
-    def chunks(self, text: str) -> list[str | int]:
-        """The normalised text cut at white space, which no word crosses; a special token is its id."""
+        #: The same tables as arrays, for merge_all().
+        order = sorted(self.ranks) or [-1]
+        self.pairs, self.pair_ranks = np.array(order, np.int64), np.array([self.ranks.get(k, 1 << 62) for k in order], np.int64)
+        self.starts = np.array(self.inner + self.final, np.int64)
+        self.first_ranks = self._ranks_of(np.repeat(self.starts, 512), np.tile(self.starts, 512))
+        size = max(self.names) + 1
+        self.printed = pa.array([str(i) for i in range(size)], pa.string())
+        self.tokens = pa.array([self.names.get(i, "") for i in range(size)], pa.string())
+
+    def chunks(self, text: str) -> list[str]:
+        """The normalised text cut at white space, which no word crosses; a special token stands after a space, which no other chunk holds."""
         if self.split is None or "<|" not in text:
             return self._plain(text)
-        out: list[str | int] = []
+        out: list[str] = []
         for i, part in enumerate(self.split.split(text)):
-            out += [self.special[part]] if i % 2 else self._plain(part)
+            out += [f" {part}"] if i % 2 else self._plain(part)
         return out
 
     @staticmethod
     def _plain(text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:
-            text = text.replace("Σ", "σ")  # a final sigma is lower-cased like any other
-        if _SEPARATORS.isdisjoint(text):
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a final sigma is lower-cased like any other
+        if not _SEPARATORS.search(text):
             return text.lower().split()
         return [c for c in regex.split(r"\p{White_Space}+", text.lower()) if c]  # str.split would drop the separators
 
@@ -84,20 +94,70 @@ class Vocabulary:
         return [chunk] if chunk.isalpha() else _PIECES.findall(chunk)
 
     def merge(self, word: str) -> tuple[int, ...]:
-        """Exact BPE: the pair of the lowest rank, leftmost first, until no pair merges."""
+        """Exact BPE of one word, of any length: the pair of the lowest rank, leftmost first, until no pair merges. A heap holds the pairs, links the neighbours."""
         data = word.encode("utf-8", "replace")
         ids = [self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]
-        rank, none = self.ranks.get, 1 << 62
-        pairs = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while pairs and (best := min(pairs)) < none:
-            at = pairs.index(best)
-            ids[at : at + 2] = [best & 0xFFFFFFFF]
-            del pairs[at]
-            if at < len(pairs):
-                pairs[at] = rank(ids[at] << 32 | ids[at + 1], none)
-            if at:
-                pairs[at - 1] = rank(ids[at - 1] << 32 | ids[at], none)
-        return tuple(ids)
+        after, before, rank = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)], self.ranks.get
+        heap = [(r, i) for i, (a, b) in enumerate(itertools.pairwise(ids)) if (r := rank(a << 32 | b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            best, at = heapq.heappop(heap)
+            right = after[at]
+            if right < 0 or ids[at] < 0 or rank(ids[at] << 32 | ids[right]) != best:
+                continue  # one of the two has merged since
+            ids[at], ids[right] = best & 0xFFFFFFFF, -1
+            after[at] = far = after[right]
+            if far >= 0:
+                before[far] = at
+                if (r := rank(ids[at] << 32 | ids[far])) is not None:
+                    heapq.heappush(heap, (r, at))
+            if (left := before[at]) >= 0 and (r := rank(ids[left] << 32 | ids[at])) is not None:
+                heapq.heappush(heap, (r, left))
+        return tuple(i for i in ids if i >= 0)
+
+    def merge_all(self, words: list[bytes], long: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many words at once: all ids, and how many each word has. Words of more than `long` bytes are merged one by one."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        alone = {w: self.merge(words[w].decode()) for w in np.flatnonzero(sizes > long).tolist()}
+        owners = [np.full(len(ids), w) for w, ids in alone.items()]
+        merged = [np.array(ids, np.int64) for ids in alone.values()]
+        short = np.flatnonzero((sizes > 0) & (sizes <= long))
+        data = np.frombuffer(b"".join([words[w] for w in short.tolist()]), np.uint8).astype(np.int64)
+        owner = np.repeat(short, sizes[short])
+        last = np.ones(len(data), bool)
+        last[:-1] = owner[1:] != owner[:-1]
+        data[last] += 256
+        ids, none = self.starts[data], 1 << 62
+        rank = np.full(len(data), none)
+        inner = np.flatnonzero(~last)
+        rank[inner] = self.first_ranks[data[inner] * 512 + data[inner + 1]]
+        while len(ids):
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            spans = np.diff(np.append(first, len(ids)))
+            best = np.minimum.reduceat(rank, first)
+            more = best < none
+            live = np.repeat(more, spans)
+            owners.append(owner[~live])
+            merged.append(ids[~live])
+            at = np.flatnonzero(live & (rank == np.repeat(best, spans)))
+            at = at[np.concatenate(([True], owner[at[1:]] != owner[at[:-1]]))] if len(at) else at
+            ids[at] = rank[at] & 0xFFFFFFFF
+            rank[at] = rank[at + 1] if len(at) else rank[at]
+            live[at + 1] = False
+            changed = np.zeros(len(ids), bool)
+            changed[at] = True
+            ids, owner, rank, changed = ids[live], owner[live], rank[live], changed[live]
+            for i in (np.flatnonzero(changed), np.flatnonzero(changed[1:])):  # the pairs that begin and that end with a new id
+                i = i[i + 1 < len(ids)]
+                i = i[owner[i] == owner[i + 1]]
+                rank[i] = self._ranks_of(ids[i], ids[i + 1])
+        owner, ids = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (owners, merged))
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], 1 << 62)
 
     def decode(self, ids: Iterable[int]) -> str:
         """Without a decoder the library joins the tokens by spaces."""
@@ -195,70 +255,91 @@ class Lexicon:
 
 
 class Encoder:
-    """Texts to ids, with a bounded cache of the chunks that this worker has met."""
+    """Texts to ids, with a bounded cache of the chunks that this worker has met: a chunk's number, and the place of its ids in one array."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None, cached: int = 400_000):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None, cached: int = 500_000):
         self.vocab, self.lexicon, self.cached = vocab, lexicon, cached
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str | int, tuple[int, ...]] = {i: (i,) for i in self.vocab.special.values()}
-        self.numbers: dict[str | int, str] = {}
-        self.names: dict[str | int, str] = {}
-
-    def learn(self, chunks: set) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if not new:
-            return
+        special = list(self.vocab.special.values())
+        self.known = {f" {t}": n for n, t in enumerate(self.vocab.special)}
+        self.begins, self.sizes, self.ids = np.arange(len(special)), np.ones(len(special), np.int64), np.array(special, np.int32)
+
+    def learn(self, new: list[str]) -> None:
+        parts = [self.vocab.words(c) for c in new]
+        words = list(dict.fromkeys(chain.from_iterable(parts)))
+        numbered = {w: n for n, w in enumerate(words)}
+        data = [w.encode("utf-8", "replace") for w in words]
+        number = self.lexicon.numbers(data) if self.lexicon else np.full(len(words), -1)
+        other = np.flatnonzero(number < 0)
+        ids, sizes = self.vocab.merge_all([data[i] for i in other.tolist()])
+        held, begins, lengths = ids, np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        begins[other], lengths[other] = np.cumsum(sizes) - sizes, sizes
+        if self.lexicon:
+            common = np.flatnonzero(number >= 0)
+            begins[common] = self.lexicon.offsets[number[common]] + len(ids)
+            lengths[common] = self.lexicon.offsets[number[common] + 1] - self.lexicon.offsets[number[common]]
+            held = np.concatenate((ids, self.lexicon.ids))
+        each = np.fromiter(map(numbered.__getitem__, chain.from_iterable(parts)), np.int64)
+        made = held[_ranges(begins[each], lengths[each])].astype(np.int32)
+        owner = np.repeat(np.arange(len(new)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        sizes = np.bincount(owner, weights=lengths[each], minlength=len(new)).astype(np.int64)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.begins = np.concatenate((self.begins, np.cumsum(sizes) - sizes + len(self.ids)))
+        self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, made))
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        met = pa.array(chunks, pa.string()).dictionary_encode()
+        names = met.dictionary.to_pylist()
+        new = [c for c in names if c not in self.known]
         if len(self.known) + len(new) > self.cached:
             self.forget()
-            new = [c for c in chunks if c not in self.known]
-        parts = [self.vocab.words(c) for c in new]
-        words = list({w for p in parts for w in p})
-        numbers = self.lexicon.numbers([w.encode("utf-8", "replace") for w in words]).tolist() if self.lexicon else [-1] * len(words)
-        offsets, ids = (self.lexicon.offsets, self.lexicon.ids) if self.lexicon else ([], [])
-        found = {w: tuple(ids[offsets[n] : offsets[n + 1]].tolist()) if n >= 0 else self.vocab.merge(w) for w, n in zip(words, numbers, strict=True)}
-        for c, p in zip(new, parts, strict=True):
-            self.known[c] = found[p[0]] if len(p) == 1 else tuple(chain.from_iterable(found[w] for w in p))
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Together: the automaton walks over the new words of all the texts at once."""
-        chunked = [self.vocab.chunks(t) for t in texts]
-        self.learn(set(chain.from_iterable(chunked)))
-        return [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in chunked]
+            new = [c for c in names if c not in self.known]
+        if new:
+            self.learn(new)
+        return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[met.indices.to_numpy()]
 
-    def print_all(self, texts: list[str]) -> list[tuple[str, str]]:
-        """The ids in decimal, joined by spaces, and the decoded text, of each text; a chunk is printed once while it is cached."""
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one text after the other, and the place at which each text begins (one more: the end). The automaton walks over the new words of all of them at once."""
         chunked = [self.vocab.chunks(t) for t in texts]
-        chunks = set(chain.from_iterable(chunked))
-        self.learn(chunks)
-        for c in chunks:
-            if c not in self.numbers:
-                self.numbers[c] = " ".join(map(self.vocab.text_of.__getitem__, self.known[c]))
-                self.names[c] = self.vocab.decode(self.known[c])
-        number, name = self.numbers.__getitem__, self.names.__getitem__
-        return [(" ".join(map(number, c)), " ".join(map(name, c))) for c in chunked]
+        number = self.numbers(list(chain.from_iterable(chunked)))
+        sizes = self.sizes[number]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum([len(c) for c in chunked])))]
+        return self.ids[_ranges(self.begins[number], sizes)], ends.astype(np.int32)
+
+    @staticmethod
+    def joined(ids: np.ndarray, ends: np.ndarray, names: pa.Array) -> pa.Array:
+        """Each text's names of its ids, joined by one space."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(ids))), " ")
+
+
+def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, so many as its length says, one after the other."""
+    return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
-def frequent_words(docs: DataFrame, path: str, size: int) -> list[str]:
-    """The most frequent words of all the texts (ties by the word), `size` at most: what the lexicon holds; all others are merged."""
+def frequent_words(docs: DataFrame, path: str, size: int, held: int = 1_000_000) -> list[str]:
+    """The most frequent words of all the texts (ties by the word), `size` at most: what the lexicon holds; all others are merged. A task counts about `held` chunks at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, found = vocabulary(path), Counter()
+        vocab, chunks = vocabulary(path), []
 
         def out() -> pa.RecordBatch:
             words: Counter = Counter()
-            for chunk, n in found.items():
-                for w in vocab.words(chunk) if isinstance(chunk, str) else ():
+            found = pa.array(chunks, pa.string()).value_counts()
+            for chunk, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                for w in vocab.words(chunk):
                     words[w] += n
+            chunks.clear()
             return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
 
         for batch in batches:
-            for text in batch.column(0):
-                found.update(vocab.chunks(text.as_py() or ""))
-                if len(found) > 400_000:
+            for text in strings(batch.column(0)):
+                found = vocab.chunks(text)
+                chunks += [c for c in found if c[0] != " "] if "<|" in text else found
+                if len(chunks) > held:
                     yield out()
-                    found.clear()
         yield out()
 
     counts = save(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "bpe-words")
@@ -293,10 +374,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", lex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, shared.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                found = encoder.encode_all(strings(part.column(at)))
-                columns = [*part.columns, pa.array(found, pa.list_(pa.int32())), pa.array([encoder.vocab.decode(x) for x in found], pa.string())]
+            for part in slices(batch, at):
+                found, ends = encoder.encode_all(strings(part.column(at)))
+                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(found)), encoder.joined(found, ends, encoder.vocab.tokens)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, ids, f"{ids}_decoded"])
 
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
@@ -314,15 +394,12 @@ def digests(docs: DataFrame, path: str, lexicon_size: int = 65_536) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, shared.value)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+        digest = lambda texts: pa.array([hashlib.sha256(t).hexdigest() for t in texts.cast(pa.binary()).to_pylist()], pa.string())
         for batch in batches:
-            rows: list[tuple] = []
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                for doc_id, (ids, decoded) in zip(part.column(0).to_pylist(), encoder.print_all(strings(part.column(1))), strict=True):
-                    rows.append((doc_id, ids.count(" ") + 1 if ids else 0, sha(ids), sha(decoded)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part in slices(batch, 1):
+                ids, ends = encoder.encode_all(strings(part.column(1)))
+                columns = [part.column(0), pa.array(np.diff(ends).astype(np.int64)), *(digest(encoder.joined(ids, ends, n)) for n in (encoder.vocab.printed, encoder.vocab.tokens))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,25 +39,19 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def ascii_lower(data: bytes) -> bytes:
-    """bytes.lower() changes A-Z only, and bytes.split() splits at 0x20 and 0x09-0x0D only."""
-    return data.lower()
-
-
 def strings(column: pa.Array) -> list[str]:
     """Python strings, null as empty."""
     return [x or "" for x in column.to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what a task holds of long texts stays bounded."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def stable_seed(text: str) -> int:
-    return zlib.crc32(text.encode())
+def slices(batch: pa.RecordBatch, column: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch cut where its texts come to `size` bytes, so that what a task holds of them stays bounded by that and the longest text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def without(docs: DataFrame, ids: DataFrame, name: str, broadcast_rows: int = 500_000) -> DataFrame:
