@@ -10,7 +10,7 @@ order, so the weights don't depend on how the texts lie in partitions. Word coun
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -49,23 +49,31 @@ def spelt(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return gram[inside[: len(gram)]], ends[:-1] - 2 * np.arange(len(words))
 
 
-def groups_of_words(near: np.ndarray, groups: int, seeds: int = 256) -> np.ndarray:
-    """k-means of words by their neighbours' counts (rows), most frequent first: the first centre is the mean, each next one the word, of the `seeds` most frequent, that is farthest from all."""
-    x = np.sqrt(near.astype(np.float64))
+def groups_of_words(near: np.ndarray, weight: np.ndarray, groups: int, starts: int = 8, rounds: int = 15) -> np.ndarray:
+    """k-means of words by the directions of their neighbours' counts (rows); of several starts, each of words drawn far from those before, the one whose words lie nearest to their centres."""
+    x = np.sqrt(near.astype(np.float32))
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    centre = [x.mean(axis=0)]
-    closest = x[:seeds] @ centre[0]
-    for _ in range(groups - 1):
-        centre.append(x[int(np.argmin(closest))])
-        closest = np.maximum(closest, x[:seeds] @ centre[-1])
-    middle = np.array(centre)
-    for _ in range(20):
-        middle /= np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-9)
-        of = np.argmax(x @ middle.T, axis=1)
-        for g in range(groups):
-            if (of == g).any():
-                middle[g] = x[of == g].mean(axis=0)
-    return of
+    weight, rng = weight / weight.sum(), np.random.default_rng(0)
+    best, chosen = -1.0, np.zeros(len(x), np.int64)
+    for _ in range(starts):
+        centre = [x[rng.choice(len(x), p=weight)]]
+        far = 1 - x @ centre[0]
+        for _ in range(groups - 1):
+            p = weight * np.maximum(far, 0)
+            centre.append(x[rng.choice(len(x), p=p / p.sum() if p.sum() > 0 else weight)])
+            far = np.minimum(far, 1 - x @ centre[-1])
+        middle = np.array(centre)
+        for _ in range(rounds):
+            like = x @ middle.T
+            of = np.argmax(like, axis=1)
+            for g in range(groups):
+                if (of == g).any():
+                    middle[g] = (weight[of == g, None] * x[of == g]).sum(axis=0)
+            middle /= np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-9)
+        good = float((weight * like.max(axis=1)).sum())
+        if good > best:
+            best, chosen = good, of
+    return chosen
 
 
 @dataclass
@@ -92,6 +100,10 @@ class Model:
     def contexts(self) -> int:
         return (self.size + self.named) * self.size
 
+    def light(self) -> Model:
+        """What a round of training needs: no words but those that are features."""
+        return replace(self, words=self.words[:0], counts=self.counts[:0], spelling=self.spelling[:0], classes=self.classes[: self.named])
+
     def rare_class(self, words: pa.Array) -> np.ndarray:
         if not len(words):
             return np.zeros(0, np.int64)
@@ -102,7 +114,7 @@ class Model:
     def settle(self, near: np.ndarray) -> None:
         """Spelling groups from the neighbours of the first words, then the classes of the frequent words: 0 is the end; bins of frequency are powers of eight below the most frequent."""
         n, first = len(self.words), len(near)
-        of = groups_of_words(near, self.groups) if first else np.zeros(0, np.int64)
+        of = groups_of_words(near, np.sqrt(self.counts[:first]), self.groups) if first else np.zeros(0, np.int64)
         total = np.full((_GRAMS, self.groups), 0.05)
         if first:
             gram, starts = spelt(self.words[:first])
@@ -198,12 +210,13 @@ def tally(docs: DataFrame, model: Model, cells: int, keys: Callable[[Model, pa.A
     return docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def prepare(train: DataFrame, counts: DataFrame, frequent: int, singles: int, named: int, bins: int, groups: int, placed: int = 4096, near: int = 512) -> Model:
+def prepare(train: DataFrame, counts: DataFrame, frequent: int, singles: int, named: int, bins: int, groups: int, placed: int = 4096, near: int = 256) -> Model:
     """The model before training: words, classes and their counts. Spelling groups come from the neighbours that the `placed` most frequent words have among the `near` most frequent, in all texts."""
     words = counts.where(F.col("word") != END)
-    top = sorted(((r[0], r[1]) for r in most_frequent(words, "c", frequent).collect()), key=lambda r: (-r[1], r[0]))
+    top = most_frequent(words, "c", frequent).toArrow().combine_chunks().sort_by([("c", "descending"), ("word", "ascending")])
     end = counts.where(F.col("word") == END).first()
-    model = Model(pa.array([w for w, _ in top], pa.string()), np.array([c for _, c in top], np.int64), int(end[1]) if end else 0, singles, named, bins, groups)
+    listed = pa.concat_arrays([pa.array([], pa.string()), *top["word"].cast(pa.string()).chunks])
+    model = Model(listed, top["c"].to_numpy(), int(end[1]) if end else 0, singles, named, bins, groups)
 
     def neighbours(model: Model, texts: pa.Array) -> np.ndarray:
         number, text, _, _ = model.tokens(texts)
@@ -214,7 +227,9 @@ def prepare(train: DataFrame, counts: DataFrame, frequent: int, singles: int, na
     seen = np.zeros((placed, 2 * near), np.int64)
     found = tally(train, model, seen.size, neighbours).toArrow()
     seen.ravel()[found["k"].to_numpy()] = found["n"].to_numpy()
-    model.settle(seen[: len(top)])
+    del found
+    model.settle(seen[: len(listed)])
+    del seen
     shared = counts.sparkSession.sparkContext.broadcast(model)
 
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +278,7 @@ def train_weights(train: DataFrame, model: Model, rounds: int, rate: float, prio
     seen = tally(train, model, model.contexts * size, follows)
     packed = save(seen.mapInArrow(with_block, "block long, k long, n long").groupBy("block").applyInPandas(pack, "block long, k binary, n binary"), "contexts")
     for _ in range(rounds):
-        now = spark.sparkContext.broadcast(model)
+        now = spark.sparkContext.broadcast(model.light())
 
         def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = now.value
@@ -291,11 +306,11 @@ def train_weights(train: DataFrame, model: Model, rounds: int, rate: float, prio
             slope[bucket] += sums[0]
             scale[bucket] += sums[1]
         model.weights += (rate * (slope - prior / FEATURES * model.weights) / scale).astype(np.float32)
-        now.unpersist()
+        now.destroy()
 
 
 def score(
-    docs: DataFrame, held: int = 1, frequent: int = 262_144, singles: int = 24, named: int = 1024, bins: int = 2, groups: int = 16, rounds: int = 16, rate: float = 0.6, prior: float = 4.0
+    docs: DataFrame, held: int = 1, frequent: int = 131_072, singles: int = 24, named: int = 1024, bins: int = 2, groups: int = 16, rounds: int = 16, rate: float = 0.6, prior: float = 4.0
 ) -> DataFrame:
     """Per document: doc_id, held_out (crc32(doc_id as text) mod 5 is `held`), n_tokens, n_known, train_tokens, base_score and the model's score, in log10.
 
