@@ -408,22 +408,89 @@ def test_fm_index_on_repeats():
 # 10 syncmers
 
 
-def test_syncmers(spark, sf):
+def plain_anchors(text, k=16, s=5):
+    """Closed syncmers by their definition, hashed sign by sign in whole numbers."""
+
+    def mixed(x):
+        x = (x + 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def hashed(run):
+        x = 0
+        for c in run:
+            x = (x * 0x100000001B3 + ord(c)) % 2**64
+        return mixed(x)
+
+    inner = [hashed(text[i : i + s]) for i in range(len(text) - s + 1)]
+    found = [(i, hashed(text[i : i + k])) for i in range(len(text) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+    return found or [(0, hashed(text))] * bool(text)
+
+
+def plain_fingerprint_of(text):
+    found = [(i, h >> 32) for i, h in plain_anchors(text)]
+    some = sorted({h for _, h in found})
+    bound = max((2**32 - 1) // 4, some[31] if len(some) > 31 else 2**32 - 1)
+    return (bound, [(i, h) for i, h in found if h <= bound]) if found else None
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    bound = min(a[0], b[0])
+    chains, sides = [], []
+    for _, found in (a, b):
+        seen, side = Counter(), {}
+        for i, h in found:
+            if h <= bound:
+                side[h, seen[h]] = i
+                seen[h] += 1
+        sides.append(side)
+    pairs = sorted((i, sides[1][key]) for key, i in sides[0].items() if key in sides[1])
+    for n, (_, y) in enumerate(pairs):
+        chains.append(1 + max((chains[m] for m in range(n) if pairs[m][1] < y), default=0))
+    return 2 * max(chains, default=0) / (len(sides[0]) + len(sides[1]))
+
+
+def test_syncmers_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
     rows = docs_of(spark, sf).select("doc_id", "text").orderBy("doc_id").collect()
     got = {r["doc_id"]: r for r in syncmers.compare_with_next(docs_of(spark, sf)).collect()}
     assert len(got) == len(rows)
-    for r, n in zip(rows, [*rows[1:], rows[0]], strict=True):
+    prints = [plain_fingerprint_of(r["text"]) for r in rows]
+    for n, (r, after) in enumerate(zip(rows, [*rows[1:], rows[0]], strict=True)):
         m = len(r["text"]) // 4
-        edited = r["text"][: len(r["text"]) - m] + n["text"][:m]
-        assert got[r["doc_id"]]["n_chars"] == len(r["text"]) and got[r["doc_id"]]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        edited = r["text"][: len(r["text"]) - m] + after["text"][:m]
+        g, made = got[r["doc_id"]], plain_fingerprint_of(edited)
+        assert g["n_chars"] == len(r["text"]) and g["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        for text, want in ((g["fingerprint"], prints[n]), (g["edited_fingerprint"], made)):
+            assert text == "".join(f"{i:08x}{h:08x}" for i, h in [(0, want[0]), *want[1]])
+        assert g["near_edited"] == pytest.approx(plain_likeness(prints[n], made)) and g["near_next"] == pytest.approx(plain_likeness(prints[n], prints[(n + 1) % len(rows)]))
     assert np.median([r["near_edited"] for r in got.values()]) > 0.6 and np.median([r["near_next"] for r in got.values()]) < 0.05
 
 
-def test_syncmers_by_definition():
-    text, k, s = "abracadabra the quick brown fox abracadabra the quick" * 3, 16, 5
-    inner = syncmers._rolled(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64), s)
-    want = [i for i in range(len(text) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
-    assert syncmers.anchors(["first", text, ""], k, s)[1][0].tolist() == want
+def test_syncmers_see_order_and_passages():
+    rng = np.random.default_rng(4)
+    words = [["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)] for n in (3000, 3000, 60)]
+    a, b = " ".join(words[0]), " ".join(words[1][:1500] + words[2] + words[1][1500:])
+    with_passage = " ".join(words[0][:700] + words[2] + words[0][700:])
+    swapped = " ".join(words[0][1500:] + words[0][:1500])
+    prints = [syncmers.fingerprint(p, h) for p, h in syncmers.anchors([a, b, with_passage, swapped])]
+    assert syncmers.likeness(prints[0], prints[1]) == 0 < syncmers.likeness(prints[1], prints[2]) < 0.1
+    assert 0.95 < syncmers.likeness(prints[0], prints[2]) < 1 and 0.4 < syncmers.likeness(prints[0], prints[3]) < 0.6
+    assert all((syncmers.from_text(syncmers.to_text(p)) == p).all() for p in prints)
+
+
+def test_syncmers_split_an_id_of_many_rows(spark):
+    lowest = -(2**63)
+    rows = [(7, f"text {i} of one id, with its own words {i * i}") for i in range(300)] + [(i, f"other {i}") for i in range(20)] + [(None, "none"), (lowest, "lowest")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = np.array([7, 7, 7, 9, 12])
+    parts = syncmers.Ranges(cuts).of(np.array([0, 7, 7, 7, 8, 9, 20]), np.array([5, -(2**63), 0, 2**63 - 1, 1, 1, 1]))
+    assert parts.tolist() == [0, 1, 2, 3, 3, 4, 5]
+    out = syncmers.compare_with_next(table).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows) and Counter(r["n_chars"] for r in out) == Counter(len(t) for _, t in rows)
 
 
 def test_syncmers_edges(spark, edge, nothing):
@@ -433,3 +500,4 @@ def test_syncmers_edges(spark, edge, nothing):
     one = syncmers.compare_with_next(edge.where("doc_id = 7")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert syncmers.anchor_table(edge).where("doc_id = 4").count() == 1
+    assert syncmers.fingerprints(edge).where("fingerprint = ''").count() == 2
