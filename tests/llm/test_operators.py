@@ -347,14 +347,32 @@ def test_chat_round_trip(spark):
     assert chat.read_back(*chat.prefix_forest(table.limit(0))[:2]).count() == 0
 
 
-def test_chat_shares_and_splits(spark):
-    rows = [(i, 0, "user", "hello") for i in range(50)] + [(i, 1, "assistant", f"answer {i % 20}") for i in range(50)]
+def test_chat_emits_each_prefix_once(spark):
+    rows = [(i, 0, "user", "hello") for i in range(50)] + [(i, 1, "assistant", f"answer {i % 20}") for i in range(50)] + [(i, 2, "user", f"more {i}") for i in range(0, 50, 2)]
+    rows += [(90, 0, "user", "hello"), (91, 0, "assistant", "alone")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    one, members, _ = chat.prefix_forest(table, most=1000)
-    pack = one.collect()
-    assert len(pack) == 1 and pack[0]["text"].count("hello") == 1 and members.count() == 50
-    many, members, _ = chat.prefix_forest(table, most=5)
-    assert many.count() > 1 and max(len(p["nodes"]) for p in many.collect()) < 20 and chat.read_back(many, members).count() == 50
+    want = {}
+    for conv in {r[0] for r in rows}:
+        turns = [(r, x) for c, _, r, x in sorted(rows) if c == conv]
+        want[conv] = len(turns), sum(len(x) for r, x in turns if r == "assistant"), sum(len(chat.format_turn(*t)) for t in turns)
+    for most in (1000, 5, 1):
+        forest, members, _ = chat.prefix_forest(table, most=most)
+        packs = forest.collect()
+        nodes = [(p["pack"], n) for p in packs for n in p["nodes"]]
+        assert len({n["node"] for _, n in nodes}) == len(nodes) and sum(p["text"].count("hello") for p in packs) == 1
+        assert {r["conv_id"]: (r["n_turns"], r["loss_chars"], r["formatted_chars"]) for r in chat.read_back(forest, members).collect()} == want
+        places = {p: sorted((n["begin"], n["end"]) for q, n in nodes if q == p) for p in {q for q, _ in nodes}}
+        assert all(x[1] == y[0] for spans in places.values() for x, y in itertools.pairwise(spans))
+        assert all(sum(a["end"] - a["begin"] for a in n["ancestors"]) == n["position"] for _, n in nodes)
+    assert len(packs) > 20
+
+
+def test_chat_long_and_repeated_conversations(spark):
+    long = [(1, i, ("user", "assistant")[i % 2], f"turn {i % 7}") for i in range(3000)] + [(2, 0, "assistant", "word " * 100_000)]
+    table = spark.createDataFrame(long + [(c, 0, "user", "the same") for c in range(10, 400)], "conv_id long, turn long, role string, text string")
+    forest, members, _ = chat.prefix_forest(table, most=100)
+    out = {r["conv_id"]: r for r in chat.read_back(forest, members).collect()}
+    assert len(out) == 392 and out[1]["n_turns"] == 3000 and out[2]["loss_chars"] == 500_000 and sum(p["text"].count("the same") for p in forest.collect()) == 1
 
 
 # 9 decontamination
