@@ -1,12 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-The markup is stripped to one line for each block; lines of menus, adverts, forms and the like have no weight, nor has link text, nor, where a page marks its article,
-what lies outside it. Sums of the weights over sliding windows of lines surge where the main text begins and dive where it ends; the text between is kept.
+The markup is stripped to one line for each block; containers of menus, adverts, forms and the like go with it. A line weighs what it has of characters outside links,
+more inside a page's article. Sums of the weights over sliding windows of lines surge where the main text begins and dive where it ends; the text between is kept, with
+the lines that adjoin it.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -30,15 +33,34 @@ _BLOCKS = frozenset(
     " legend li link main menu meta nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("nav footer aside form button head dialog menu label fieldset input option".split())
-#: Parts of class, id and role names that mark what is not the article.
+_DROPPED = frozenset("nav footer aside form button head dialog menu fieldset input option".split())
+#: Names in class, id and role that mark what is not the article: a name counts if all its parts are of these or of the plain ones below.
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies dialog disqus footer gdpr login"
     " masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related respond search share sharing"
     " sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 _TALK = frozenset("comment comments commentlist replies reply discussion".split())
+_PLAIN = frozenset(
+    "article area banner bar block body bottom box button buttons col column container content entry feed first form global group head header heading holder icon icons id inner item items last left line link"
+    " links list main module outer page panel post primary region right row secondary section simple site small sticky sub text the title top user view wrap wrapper".split()
+)
 _WHOLE = frozenset("html body main".split())
+#: How much a character weighs inside an article, inside main alone, and outside both.
+WEIGHTS = {"article": 16, "main": 4, "": 1}
+
+
+@dataclass
+class Line:
+    text: str
+    plain: int  # characters outside links
+    zone: int  # lines of one article, of main outside articles, or between these have one zone
+    kind: str  # article, main or neither
+    run: int  # lines of one run have no dropped container between them
+
+    @property
+    def weight(self) -> int:
+        return WEIGHTS[self.kind] * (len(self.text) if self.kind == "article" else self.plain)
 
 
 def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
@@ -50,29 +72,45 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    names = {p for m in _NAMED.finditer(attributes) for p in _PART.findall((m[1] or m[2] or m[3] or "").lower())}
-    return bool(names & _TALK) or (tag != "article" and (bool(names & _MARKS) or ("header" in names and not inside)))
-
-
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """Text, weight (characters outside links) and whether it lies in an article, of each block that holds text. Dropped containers give none."""
-    out: list[tuple[str, int, bool]] = []
+    for m in _NAMED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = {x for x in _PART.findall(name) if len(x) > 1}
+            marks = (_TALK if tag == "article" else _TALK | _MARKS) & parts
+            if parts <= _MARKS | _TALK | _PLAIN and (marks or ("header" in parts and tag != "article" and not inside)):
+                return True
+    return False
+
+
+def lines(page: str) -> list[Line]:
+    """Each block that holds text, in page order. Dropped containers give none."""
+    out: list[Line] = []
     stack: list[str] = []
     parts: list[str] = []
-    dropped, inside, linked, in_link, last = 0, 0, 0, 0, 0  # dropped: height of the stack at which the outermost dropped container stands
+    inside = {"article": 0, "main": 0}
+    dropped, linked, in_link, last, zone, run = 0, 0, 0, 0, 0, 0  # dropped: height of the stack at which the outermost dropped container stands
+
+    def kind() -> str:
+        return "article" if inside["article"] else "main" if inside["main"] else ""
 
     def close() -> None:
         nonlocal parts, linked
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append((text, max(0, len(text) - linked), inside > 0))
+                out.append(Line(text, max(0, len(text) - linked), zone, kind(), run))
             parts, linked = [], 0
 
+    def entered(tag: str, step: int) -> None:
+        nonlocal zone
+        if tag in inside:
+            before = kind()
+            inside[tag] += step
+            zone += kind() != before or (tag == "article" and inside["article"] == 1 and step > 0)
+
     def pop(height: int) -> None:
-        nonlocal dropped, inside, in_link
+        nonlocal dropped, in_link
         for tag in stack[height:]:
-            inside -= tag in ("article", "main")
+            entered(tag, -1)
             in_link -= tag == "a"
         del stack[height:]
         if dropped > len(stack):
@@ -97,11 +135,12 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag in ("p", "li", "a", "td", "tr") and stack and stack[-1] == tag:
             pop(len(stack) - 1)
+        held = bool(kind())
         stack.append(tag)
-        inside += tag in ("article", "main")
+        entered(tag, 1)
         in_link += tag == "a"
-        if not dropped and _boilerplate(tag, m[4], inside > (tag in ("article", "main"))):
-            dropped = len(stack)
+        if not dropped and _boilerplate(tag, m[4], held):
+            dropped, run = len(stack), run + 1
     if last < len(page) and not dropped:
         parts.append(unescape(page[last:]))
     close()
@@ -119,13 +158,24 @@ def surge_and_dive(weights: np.ndarray, window: int, least: float) -> tuple[int,
 
 
 def main_text(page: str | None, window: int = 3, share: float = 0.3) -> str:
-    """With an article in the page, every line of it counts; else lines do whose window holds a share of the heaviest window."""
-    found = lines(page or "")
-    marked = any(inside for _, _, inside in found)
-    weights = np.array([(len(text) if inside else 0) if marked else weight for text, weight, inside in found], float)
-    heaviest = np.convolve(weights, np.ones(window)).max() if len(weights) else 0
-    begin, end = surge_and_dive(weights, window, 1 if marked else max(1.0, share * heaviest))
-    return "\n".join(text for (text, _, inside) in found[begin:end] if inside or not marked)
+    """In each zone, the lines from the first window that holds `share` of the page's heaviest one to the last, and those that adjoin them.
+
+    An article or main adjoins as a whole; elsewhere lines do that have text outside links and no dropped container between. Windows don't reach over a zone's ends.
+    """
+    zones = [list(z) for _, z in itertools.groupby(lines(page or ""), key=lambda line: line.zone)]
+    weights = [np.array([line.weight for line in z], float) for z in zones]
+    heaviest = max((np.convolve(w, np.ones(window)).max() for w in weights), default=0)
+    kept: list[str] = []
+    for zone, w in zip(zones, weights, strict=True):
+        begin, end = surge_and_dive(w, window, max(1.0, share * heaviest))
+        if begin < end and zone[0].kind:
+            begin, end = 0, len(zone)
+        while 0 < begin < end and zone[begin - 1].plain and zone[begin - 1].run == zone[begin].run:
+            begin -= 1
+        while begin < end < len(zone) and zone[end].plain and zone[end].run == zone[end - 1].run:
+            end += 1
+        kept += [line.text for line in zone[begin:end]]
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

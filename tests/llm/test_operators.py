@@ -118,6 +118,41 @@ def test_html_pages(page, text):
     assert html.main_text(page) == text
 
 
+def test_html_class_names_are_whole_names():
+    body = "Body of the text. " * 5
+    for page in (
+        f"<article><section id='share-prices'><p>{body}</p></section></article>", f"<article class='post'><div class='social-science'><p>{body}</p></div></article>", f"<article><label>{body}</label></article>",
+        f"<div class='sidebar widget-area'>menu text</div><p>{body}</p><div id='comments-section'><p>{body}</p></div>", f"<main><div class='ad-box'>buy</div><p>{body}</p></main><div class='site-footer'>x</div>",
+    ):
+        assert html.main_text(page) == body.strip()
+
+
+def test_html_pages_without_an_article():
+    long, short = "word " * 200, [f"short line {i}" for i in range(5)]
+    body = "".join(f"<p>{x}</p>" for x in [*short, long, *short])
+    want = "\n".join([*short, long.strip(), *short])
+    assert html.main_text(f"<nav>menu</nav><div>{body}</div><footer>f</footer>") == want
+    assert html.main_text(f"<div>Welcome</div><nav>menu</nav><h1>Title</h1><div>{body}</div><form>x</form><div>Some company</div>").endswith(want + "\nSome company") is False
+    teasers = "".join(f"<article><p>teaser {i}</p></article>" for i in range(3))
+    assert html.main_text(f"<div>{body}</div><aside>a</aside>{teasers}") == want  # articles add weight, they don't decide
+    assert html.main_text(f"<div><p>intro</p></div><article><p>{long}</p><p>end</p></article><div>outside</div>") == f"{long.strip()}\nend"
+
+
+def test_surge_and_dive_equals_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        w = rng.choice([0, 0, 1, 5, 40], rng.integers(1, 12)).astype(float)
+        least = float(rng.choice([1, 6, 41, 80]))
+        begin = [i for i in range(len(w)) if w[i] > 0 and sum(w[i : i + 3]) >= least]
+        end = [i + 1 for i in range(len(w)) if w[i] > 0 and sum(w[max(0, i - 2) : i + 1]) >= least]
+        assert html.surge_and_dive(w, 3, least) == ((begin[0], end[-1]) if begin and end else (0, 0))
+
+
+def test_html_long_page():
+    body = [f"paragraph {i} of a very long page" for i in range(40_000)]
+    assert html.main_text("<article>" + "".join(f"<p>{x}" for x in body)) == "\n".join(body)
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "clash"), (2, None, "<p>x", "clash"), (2, None, "<p>x", "clash")], "page_id long, url string, html string, text string")
     assert [r["text"] for r in html.extract(pages).orderBy("page_id").collect()] == ["", "x", "x"]
