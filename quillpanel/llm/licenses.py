@@ -1,4 +1,4 @@
-"""Licence scans: sparse TF-IDF cosine of lines and licence files to templates, then inheritance from the nearest ancestor directory with a licence file."""
+"""Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory with a licence file."""
 
 from __future__ import annotations
 
@@ -15,25 +15,86 @@ from pyspark.sql import functions as F
 from quillpanel.llm.common import save
 from quillpanel.llm.decontam import words_of
 
-#: The usual notices of public licences, by their short names.
+_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS '
+    "FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, "
+    "BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above "
+    "copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution. "
+)
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_GNU = "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+    "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+    "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+)
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_SPDX = "AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 GPL-2.0-or-later GPL-3.0-or-later ISC LGPL-2.1-or-later LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
+#: The texts, file headers and short notices of public licences, by their short names.
 TEMPLATES = {
-    "AGPL-3.0": ["This program is free software under the terms of the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD-2-Clause": ["Distributed under the simplified BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
-    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "AGPL-3.0": [_GNU.format("This program", "Affero", "3"), "This program is free software under the terms of the GNU Affero General Public License, version 3."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+        " See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "BSD-2-Clause": ["Distributed under the simplified BSD 2-Clause License.", _CLAUSES + _DISCLAIMER],
+    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", _CLAUSES + _THIRD + _DISCLAIMER, _THIRD],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "SPDX-License-Identifier: CC0-1.0"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0"],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "SPDX-License-Identifier: MIT"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", _GNU.format("This program", "", "2")],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", _GNU.format("This program", "", "3")],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-2.1": [_GNU.format("This library", "Lesser", "2.1")],
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", _GNU.format("This library", "Lesser", "3")],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License. See LICENSE in the project root for license information.", _MIT + _AS_IS, _MIT],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "Proprietary": ["All rights reserved."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a"
+        " compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to"
+        " anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must"
+        " not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original"
+        " software. 3. This notice may not be removed or altered from any source distribution."
+    ],
 }
+for _name in _SPDX.split():
+    TEMPLATES[_name.removesuffix("-or-later")].append(f"SPDX-License-Identifier: {_name}")
 _FILE = re.compile(r"(?:^|/)(?:licen[sc]e|copying|notice)[^/]*$", re.I)
+#: What opens or closes a comment line in source files.
+_COMMENT = re.compile(r"^\s*(?:/\*+|\*+/|\*|//+|#+|--+|;+|%+|<!--|REM\b)\s?|\s*(?:\*/|-->)\s*$")
+
+
+def passages(text: str) -> list[str]:
+    """What is compared with the templates: each line, each run of lines between blank ones (comment marks taken off; a run ends where comments end), and the whole text."""
+    lines = text.split("\n")
+    bare = [_COMMENT.sub("", x).strip() for x in lines]
+    runs: list[list[str]] = []
+    before = None
+    for line, plain in zip(lines, bare, strict=True):
+        kind = (plain != line.strip()) if plain else None
+        if kind is None or kind != before or not runs:
+            runs.append([])
+        if plain:
+            runs[-1].append(plain)
+        before = kind
+    return [*(x for x in bare if x), *(" ".join(r) for r in runs if len(r) > 1), *([" ".join(bare)] if len(bare) > 1 else [])]
 
 
 @dataclass
@@ -57,20 +118,17 @@ class Scanner:
         return (round(score, 9), name) if score >= self.least else (0.0, None)
 
     def scan(self, text: str | None) -> tuple[str | None, float, float]:
-        """The likeliest licence of a text's lines, or of the whole text, its cosine, and the share of the text's words in lines with a licence."""
+        """The likeliest licence of a text's passages, its cosine, and the share of the text's words that the longest passage of any licence has."""
         words = words_of(text)
         if not words or self.signal.isdisjoint(words):
             return None, 0.0, 0.0
         score, name, covered = 0.0, None, 0
-        for line in (text or "").split("\n"):
-            s, n = self.best(line)
+        for passage in dict.fromkeys(passages(text or "")):
+            s, n = self.best(passage)
             if n:
-                covered += len(words_of(line))
+                covered = max(covered, len(words_of(passage)))
                 score, name = max((score, name), (s, n), key=lambda x: (x[0], x[1] or ""))
-        s, n = self.best(text or "")
-        if n and s > score:
-            score, name, covered = s, n, len(words)
-        return name, score, covered / len(words)
+        return name, score, min(1.0, covered / len(words))
 
 
 def build(docs: DataFrame, templates: dict[str, list[str]], least: float) -> Scanner:
@@ -108,9 +166,10 @@ def build(docs: DataFrame, templates: dict[str, list[str]], least: float) -> Sca
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.75, salts: int = 8) -> DataFrame:
     """path, license, cosine, basis and from_path of each file; other columns but `key`, which is kept if there, are dropped.
 
-    basis: `file` where the file is a licence file (by its name, or because lines with a licence hold half its words), `header` where a line of it names a licence,
-    `inherited` where the nearest directory above with a licence file gives it (of several files the likeliest, then the first by path), else `none`. Lines are
-    searched in whole texts. Null and empty texts can only inherit; a null path inherits nothing. Ties go to the last name. Repeated rows each give a row.
+    basis: `file` where the file is a licence file (by its name, or because nearly all its words are one passage with a licence), `header` where a passage of it has a
+    licence, `inherited` where the nearest directory above with a licence file gives it (of several files the likeliest, then the first by path), else `none`. Passages
+    are lines, paragraphs without their comment marks, and the whole text. Null and empty texts can only inherit; a null path inherits nothing. Ties go to the last
+    name. Repeated rows each give a row.
     """
     files = files.select(*[c for c in ("key", "path", "text") if c in files.columns])
     extra = [c for c in files.columns if c not in ("path", "text")]
@@ -129,7 +188,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least:
 
     schema = StructType([f for f in files.schema.fields if f.name != "text"]).add("license", StringType()).add("cosine", DoubleType()).add("covered", DoubleType())
     own = save(files.mapInArrow(run, schema), "licences")
-    is_file = F.col("license").isNotNull() & (F.coalesce(F.col("path").rlike("(?i)" + _FILE.pattern), F.lit(False)) | (F.col("covered") >= 0.5))
+    is_file = F.col("license").isNotNull() & (F.coalesce(F.col("path").rlike("(?i)" + _FILE.pattern), F.lit(False)) | (F.col("covered") >= 0.95))
     own = own.withColumn("basis", F.when(is_file, "file").when(F.col("license").isNotNull(), "header").otherwise("none"))
     own = own.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
     given = own.where((F.col("basis") == "file") & F.col("path").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "path", "license")).alias("g"))
