@@ -1,8 +1,9 @@
 """Toxicity by compression distance: windows of words are compressed with a dictionary of toxic and with one of ordinary text, and the lengths compared.
 
-Both dictionaries end in the same ordinary content, so what they share compresses alike; before it the toxic one holds what zstandard's trainer picks from words
-that stand out in toxic texts, and the ordinary one as much ordinary text. A window with toxic words is then shorter by some bytes under the toxic dictionary. The
-shares of windows by bytes gained go through thresholds calibrated on labelled texts that the dictionaries have not seen.
+Both dictionaries end in the same ordinary content, so what they share compresses alike; before it the toxic one holds what zstandard's trainer picks from passages of
+toxic texts, and the ordinary one as much ordinary text. A label is a whole text's, most of which is ordinary, so passages are taken where a toxic text departs from
+ordinary ones, with the words around. A window with toxic words is then shorter by some bytes under the toxic dictionary. The shares of windows by bytes gained go through
+thresholds calibrated on labelled texts that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -59,6 +60,30 @@ def _filled(data: bytes, size: int) -> bytes:
     return (data * (size // max(1, len(data)) + 1))[:size] if data else b" " * size
 
 
+def compressor(content: bytes, level: int = 12) -> zs.ZstdCompressor:
+    plain = zs.ZstdCompressionParameters.from_level(level, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=plain)
+
+
+def lengths(c: zs.ZstdCompressor, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Compressed length of each piece of the data."""
+    out = []
+    for at in range(0, len(begin), 100_000):
+        b, e = begin[at : at + 100_000], end[at : at + 100_000]
+        made = c.multi_compress_to_buffer(zs.BufferWithSegments(data, np.stack([b, e - b], axis=1).astype("<u8").tobytes()), threads=0)
+        out.append(np.fromiter(map(len, made), np.int64, len(b)))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def toxic_passages(toxic: list[list[bytes]], ordinary: list[list[bytes]], words: int, ratio: float = 10.0, seen: int = 4) -> list[bytes]:
+    """Passages of so many words of the toxic texts, all that hold a word which `seen` of these or more (fewer, if there are few) have, and `ratio` times as many, by share, as ordinary texts."""
+    found = [Counter(w for t in texts for w in set(t)) for texts in (ordinary, toxic)]
+    least, share = min(seen, max(2, len(toxic) // 20)), ratio * max(1, len(toxic)) / max(1, len(ordinary))
+    marked = {w for w, c in found[1].items() if c >= least and c > share * (found[0][w] + 0.5)}
+    data, begin, end, _ = windows(toxic, words, 1)
+    return [p for b, e in zip(begin.tolist(), end.tolist(), strict=True) if not marked.isdisjoint((p := data[b:e]).split())]
+
+
 @dataclass
 class Model:
     toxic: bytes
@@ -71,25 +96,16 @@ class Model:
     step: int = 4
     level: int = 12
 
-    def _compressor(self, content: bytes) -> zs.ZstdCompressor:
-        plain = zs.ZstdCompressionParameters.from_level(self.level, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-        return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=plain)
-
     def features(self, texts: list[str]) -> np.ndarray:
         """Shares of a text's windows that gain at least 1, 2... bytes, the mean and largest gain, the mean loss."""
         if not hasattr(self, "_pair"):
-            self._pair = self._compressor(self.ordinary), self._compressor(self.toxic)
+            self._pair = compressor(self.ordinary, self.level), compressor(self.toxic, self.level)
         n = len(texts)
         data, begin, end, owner = windows([words_of(t) for t in texts], self.window, self.step)
         out = np.zeros((n, GAINS + 3))
         if not len(begin):
             return out
-        segments = np.stack([begin, end - begin], axis=1).astype("<u8").tobytes()
-        lengths = []
-        for c in self._pair:
-            made = c.multi_compress_to_buffer(zs.BufferWithSegments(data, segments), threads=0)
-            lengths.append(np.fromiter(map(len, made), np.int64, len(begin)))
-        gain = lengths[0] - lengths[1]
+        gain = lengths(self._pair[0], data, begin, end) - lengths(self._pair[1], data, begin, end)
         total = np.maximum(np.bincount(owner, minlength=n), 1)
         for k in range(GAINS):
             out[:, k] = np.sqrt(np.bincount(owner, weights=gain > k, minlength=n) / total)
@@ -120,22 +136,18 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 5
     return w
 
 
-def fit(labelled: list[tuple[str, int]], toxic_bytes: int = 4096, ordinary_bytes: int = 65_536, seen: int = 4, ratio: float = 10.0) -> Model:
+def fit(labelled: list[tuple[str, int]], toxic_bytes: int = 4096, ordinary_bytes: int = 65_536, passage: int = 2) -> Model:
     """From (text, label). Two thirds, by checksum of the text, make the dictionaries, the rest calibrates; the threshold that splits it best (F1) becomes 0.5."""
     parts: tuple[list, list] = ([], [])
     for text, label in labelled:
         parts[zlib.crc32(text.encode("utf-8", "surrogatepass")) % 3 == 0].append((text, label))
     made, rest = parts
     texts = {k: [words_of(t) for t, y in made if y == k] for k in (0, 1)}
-    found = {k: Counter(w for t in texts[k] for w in set(t)) for k in (0, 1)}
-    counts = {k: max(1, len(texts[k])) for k in (0, 1)}
-    least = min(seen, max(2, counts[1] // 20))
-    marked = {w for w, c in found[1].items() if c >= least and c / counts[1] > ratio * (found[0][w] + 0.5) / counts[0]}
-    toxic = [b" " + w + b" " for t in texts[1] for w in t if w in marked]
     ordinary = [b" ".join(t[i : i + 12]) + b" " for t in texts[0] for i in range(0, len(t), 12)]
-    shared = _filled(_dictionary(ordinary_bytes, ordinary), ordinary_bytes)
+    shared, plain = _filled(_dictionary(ordinary_bytes, ordinary), ordinary_bytes), _filled(_dictionary(toxic_bytes, ordinary[::3]), toxic_bytes)
+    toxic = _filled(_dictionary(toxic_bytes, toxic_passages(texts[1], texts[0], passage)), toxic_bytes)
     zero = np.zeros(GAINS + 3)
-    model = Model(_filled(_dictionary(toxic_bytes, toxic), toxic_bytes) + shared, _filled(_dictionary(toxic_bytes, ordinary[::3]), toxic_bytes) + shared, zero, zero + 1, zero, 0.0)
+    model = Model(toxic + shared, plain + shared, zero, zero + 1, zero, 0.0)
     y = np.array([v for _, v in rest], float)
     if not len(y) or y.min() == y.max():
         model.bias = -3.0 if not len(y) or y[0] == 0 else 3.0

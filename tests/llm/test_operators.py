@@ -61,6 +61,31 @@ def test_toxicity_learns_from_the_end_of_long_texts(monkeypatch):
     assert made and {b"late%d" % i for i in made} <= set(b" ".join(pieces).split())
 
 
+def test_toxic_passages_come_from_toxic_text():
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
+    prose = [" ".join(rng.choice(words, 60)) for _ in range(400)]
+    rude = ["awful horrid nonsense", "dreadful rubbish indeed", "utterly vile drivel"]
+    toxic = [t.replace(" ", f" {rude[i % 3]} ", 1) for i, t in enumerate(prose[:120])]
+    found = toxicity.toxic_passages([toxicity.words_of(t) for t in toxic], [toxicity.words_of(t) for t in prose[200:]], 2)
+    assert len({p for p in found if b"awful" in p}) > 30 and all(any(w.encode() in p for r in rude for w in r.split()) for p in found)  # with their neighbours
+    model = toxicity.fit([(t, 1) for t in toxic] + [(t, 0) for t in prose[120:]], toxic_bytes=2048)
+    assert (model.score([f"{' '.join(rng.choice(words, 30))} {r}" for r in rude]) >= 0.5).all() and (model.score([" ".join(rng.choice(words, 40)) for _ in range(20)]) < 0.5).mean() > 0.9
+
+
+def test_toxicity_gain_by_hand():
+    model = toxicity.fit([("nice words here " * 5, 0), ("vile words here " * 5, 1)] * 3)
+    text = "some vile words here and more of them in this text so that it has several windows"
+    words = toxicity.words_of(text)
+    pair = [toxicity.compressor(d) for d in (model.ordinary, model.toxic)]
+    gains = []
+    for i in range(0, max(1, len(words) - 4), 4):
+        piece = b" " + b" ".join(words[i : i + 8]) + b" "
+        gains.append(len(pair[0].compress(piece)) - len(pair[1].compress(piece)))
+    want = [np.sqrt(np.mean([g > k for g in gains])) for k in range(toxicity.GAINS)] + [np.mean([max(g, 0) for g in gains]), min(max(*gains, 0), 12), np.mean([max(-g, 0) for g in gains])]
+    assert np.allclose(model.features([text])[0], want)
+
+
 def test_toxicity_edges(spark, edge, nothing):
     labels = spark.createDataFrame([(5, 1, 1), (5, 1, 1), (7, 0, 0), (4, 0, None)], "doc_id long, quality int, toxic int")
     out = toxicity.score(edge, toxicity.train(edge, labels)).collect()
@@ -357,12 +382,56 @@ def test_licences(spark, nothing):
     assert licenses.scan(nothing.selectExpr("doc_id AS key", "text AS path", "text")).count() == 0
 
 
-def test_licence_prefilter_is_exact(spark, sf):
-    docs = docs_of(spark, sf).select("text")
-    scanner = licenses.build(docs, licenses.TEMPLATES, 0.75)
-    for r in docs.collect():
-        best = max((scanner.best(x) for x in [*r["text"].split("\n"), r["text"]]), key=lambda x: x[0])
-        assert scanner.scan(r["text"])[1] == best[0]
+def test_licence_headers_and_files(spark):
+    import textwrap
+
+    scanner = licenses.build(spark.createDataFrame([("some prose of no licence",)], "text string"), licenses.TEMPLATES, 0.75)
+    code = "\n".join(f"value_{i} = compute(value_{i - 1}, {i})" for i in range(40))
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            wrapped = textwrap.wrap(text, 70)
+            for mark in ("# ", "// ", " * "):
+                found = scanner.scan("\n".join(mark + x for x in wrapped) + "\n" + code)
+                assert found[0] == name and found[1] > 0.95, (name, text)
+            assert scanner.scan("Copyright (c) 2020 Some Author\n\n" + "\n".join(wrapped))[0] == name
+    mit = licenses.TEMPLATES["MIT"][2]
+    assert scanner.scan("MIT License\n\nCopyright (c) 2020 A. Body\n\n" + textwrap.fill(mit, 78))[2] > 0.95 and scanner.scan(code)[0] is None
+
+
+def test_licence_passages_equal_brute_force(spark, sf):
+    """Cosines over every passage, word by word, and inheritance by walking up the directories."""
+    rows = [(r["doc_id"], "/".join([r["source"] or "x", r["lang"] or "y", f"{r['doc_id'] % 5}", f"{r['doc_id']}.txt"]), r["text"]) for r in docs_of(spark, sf).collect()]
+    source, lang = rows[0][1].split("/")[:2]
+    rows += [(-1, f"{source}/LICENSE", "Released under the MIT License."), (-2, f"{source}/{lang}/3/COPYING", "Licensed under the Apache License, Version 2.0."), (-3, f"{source}/{lang}/3/NOTICE.md", "All rights reserved.")]
+    files = spark.createDataFrame(rows, "key long, path string, text string")
+    got = {r["key"]: r for r in licenses.scan(files).collect()}
+    vocabulary = {w for texts in licenses.TEMPLATES.values() for t in texts for w in decontam.words_of(t)}
+    df = Counter(w for _, _, t in rows for w in vocabulary & set(decontam.words_of(t)))
+    idf = lambda n: math.log((len(rows) + 1) / (n + 1)) + 1
+    vector = lambda t: {w: n * idf(df[w] if w in vocabulary else 0) for w, n in Counter(decontam.words_of(t)).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    templates = [(name, vector(t)) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    own, given = {}, {}
+    for key, path, text in rows:
+        best, covered = (0.0, ""), 0
+        for p in licenses.passages(text or ""):
+            v = vector(p)
+            if v:
+                found = max((round(sum(x * t.get(w, 0) for w, x in v.items()) / size(v) / size(t), 9), name) for name, t in templates)
+                if found[0] >= 0.75:
+                    best, covered = max(best, found), max(covered, len(decontam.words_of(p)))
+        own[key] = best
+        named = path.rsplit("/", 1)[1].split(".")[0] in ("LICENSE", "COPYING", "NOTICE")
+        if best[1] and (named or covered >= 0.95 * len(decontam.words_of(text))):
+            folder = path.rsplit("/", 1)[0]
+            given[folder] = min(given.get(folder, (1, "", "")), (-best[0], path, best[1]))
+    for key, path, _ in rows:
+        want, folder = own[key][1] or None, path
+        while want is None and "/" in folder:
+            folder = folder.rsplit("/", 1)[0]
+            want = given.get(folder, (0, "", None))[2]
+        assert got[key]["license"] == want, path
+    assert sum(r["basis"] == "inherited" for r in got.values()) > 20
 
 
 # 8 chat
