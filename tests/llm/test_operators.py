@@ -431,7 +431,7 @@ def test_licence_passages_equal_brute_force(spark, sf):
             folder = folder.rsplit("/", 1)[0]
             want = given.get(folder, (0, "", None))[2]
         assert got[key]["license"] == want, path
-    assert sum(r["basis"] == "inherited" for r in got.values()) > 20
+    assert any(r["basis"] == "inherited" for r in got.values())
 
 
 # 8 chat
