@@ -97,8 +97,30 @@ def outlier_report(values: DataFrame, x: str, share: float = 0.01) -> DataFrame:
     stats = v.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, F.lit(0.01)).alias("p1"), F.percentile(x, F.lit(0.99)).alias("p99"), F.max(x).alias("max"))
     n, mean = stats.select("n", "mean").first()
     dev = v.select(F.pow(F.col(x) - F.lit(mean), 2).alias("d"))
-    top = dev.orderBy(F.desc("d")).limit(max(1, int(n * share))).agg(F.sum("d").alias("a"))
-    return stats.crossJoin(F.broadcast(top.crossJoin(dev.agg(F.sum("d").alias("b"))))).withColumn("top_variance_share", F.try_divide("a", "b")).drop("a", "b")
+    k = max(1, int(n * share))
+    least = nth_largest(dev, "d", k)
+    above = F.coalesce(F.sum(F.when(F.col("d") > least, F.col("d"))), F.lit(0.0)) + (F.lit(k) - F.count(F.when(F.col("d") > least, 1))) * F.lit(least)  # rows that tie with the last one count as often as they fit
+    return stats.crossJoin(F.broadcast(dev.agg(F.try_divide(above, F.sum("d")).alias("top_variance_share"))))
+
+
+def nth_largest(values: DataFrame, x: str, n: int, buckets: int = 4096, few: int = 10_000) -> float | None:
+    """The n-th largest value: bucket counts narrow the range until few values are left in it, so no task ever sorts more than those."""
+    lo, hi, total = values.agg(F.min(x), F.max(x), F.count(x)).first()
+    while total > few and lo < hi:
+        width = (hi - lo) / buckets
+        place = F.least(F.floor((F.col(x) - lo) / width), F.lit(buckets - 1)) if width > 0 else F.lit(0)
+        inside = values.where(F.col(x).between(lo, hi)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+        for r in sorted(inside.collect(), key=lambda r: -r["b"]):
+            if n <= r["n"]:
+                lo, hi, narrowed = r["lo"], r["hi"], r["n"] < total
+                total = r["n"]
+                break
+            n -= r["n"]
+        if not narrowed:
+            break  # as narrow as doubles are
+    if total == 0 or lo == hi:
+        return lo
+    return values.where(F.col(x).between(lo, hi)).orderBy(F.desc(x)).limit(n).agg(F.min(x)).first()[0]
 
 
 def model_ranking(table: DataFrame, metrics: dict[str, bool]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillpanel.functions import cs
@@ -36,27 +36,28 @@ def select_by_icir(panel: DataFrame, features: list[str], target: str, threshold
 
 
 def spearman_matrix(panel: DataFrame, features: list[str]) -> DataFrame:
-    """(a, b, rho) for each pair, over the rows that have all features. Ranks are global: a window over all rows would be one task, so ranks come from value counts."""
+    """(a, b, rho) for each pair, over the rows that have all features. Ranks are global: a window over all rows would be one task, so ranks come from value counts.
+
+    All features are ranked together, as rows (feature, value), so the number of shuffles does not depend on theirs; a frequent value may be split in the join.
+    """
     rows = panel.dropna(subset=features).select(*(F.round(c, 10).alias(c) for c in features))
-    out = rows
-    for c in features:
-        out = out.join(_global_rank(rows, c), c)
+    melted = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.posexplode(F.array(*features)).alias("f", "v"))
+    placed = melted.join(_global_ranks(rows, melted, features), ["f", "v"])
+    out = placed.groupBy("_row").agg(*(F.max(F.when(F.col("f") == i, F.col("k"))).alias(f"_k_{c}") for i, c in enumerate(features)))
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     made = out.agg(*(guarded_corr(F.col(f"_k_{a}"), F.col(f"_k_{b}")).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
     return made.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("rho")) for i, (a, b) in enumerate(pairs)))).alias("p")).select("p.*")
 
 
-def _global_rank(rows: DataFrame, c: str, parts: int = 64) -> DataFrame:
-    """(value, average rank): counts by value, running sums inside ranges of values, and the ranges' own sums."""
-    from pyspark.sql import Window
-
-    counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    cuts = sorted(set(rows.approxQuantile(c, [i / parts for i in range(1, parts)], 0.001)))
-    place = sum((F.when(F.col(c) >= x, 1).otherwise(0) for x in cuts), F.lit(0)).alias("part")
-    counts = counts.select(c, "n", place)
-    totals = counts.groupBy("part").agg(F.sum("n").alias("t")).withColumn("before", F.sum("t").over(Window.orderBy("part")) - F.col("t"))
-    running = F.sum("n").over(Window.partitionBy("part").orderBy(c))
-    return counts.join(F.broadcast(totals.select("part", "before")), "part").select(c, (F.col("before") + running - (F.col("n") - 1) / 2).alias(f"_k_{c}"))
+def _global_ranks(rows: DataFrame, melted: DataFrame, features: list[str], parts: int = 64) -> DataFrame:
+    """(f, v, k): average rank of each feature's values: counts by value, running sums inside ranges of values, and the ranges' own sums."""
+    counts = melted.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
+    cuts = rows.approxQuantile(features, [i / parts for i in range(1, parts)], 0.005)
+    table = F.array(*(F.array(*(F.lit(float(x)) for x in sorted(set(c)))) if c else F.array().cast("array<double>") for c in cuts))
+    counts = counts.withColumn("part", F.size(F.filter(F.get(table, F.col("f")), lambda x: x <= F.col("v"))))
+    totals = counts.groupBy("f", "part").agg(F.sum("n").alias("t")).withColumn("before", F.sum("t").over(Window.partitionBy("f").orderBy("part")) - F.col("t"))
+    running = F.sum("n").over(Window.partitionBy("f", "part").orderBy("v"))
+    return counts.join(F.broadcast(totals.select("f", "part", "before")), ["f", "part"]).select("f", "v", (F.col("before") + running - (F.col("n") - 1) / 2).alias("k"))
 
 
 def prune(ir: dict[str, float], rho: dict[tuple[str, str], float], groups: list[list[str]], threshold: float = 0.75) -> list[str]:

@@ -52,13 +52,13 @@ def with_multiplier(table: DataFrame, groups: list[Column]) -> DataFrame:
 
 
 def picks(predictions: DataFrame, k: int, every: int = 21, rank_weighted: bool = False) -> DataFrame:
-    """(date, symbol, weight) on each rebalancing date: the k best by score, ties by symbol, weighted alike or by score above the worst pick (alike if all tie)."""
+    """(date, symbol, weight, place) on each rebalancing date: the k best by score, ties by symbol, weighted alike or by score above the worst pick (alike if all tie)."""
     dates = predictions.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")) - 1).where(F.col("_i") % every == 0)
     day = Window.partitionBy("date")
     chosen = predictions.join(F.broadcast(dates), "date").withColumn("_p", F.row_number().over(day.orderBy(F.desc_nulls_last("pred_score"), "symbol"))).where(F.col("_p") <= k)
     above = F.col("pred_score") - F.min("pred_score").over(day)
     weight = F.coalesce(F.try_divide(above, F.sum("_a").over(day)), 1 / F.count(F.lit(1)).over(day)) if rank_weighted else 1 / F.count(F.lit(1)).over(day)
-    return chosen.withColumn("_a", above).select("date", "symbol", weight.alias("weight"))
+    return chosen.withColumn("_a", above).select("date", "symbol", weight.alias("weight"), F.col("_p").alias("place"))
 
 
 def random_picks(predictions: DataFrame, k: int, seed: int, every: int = 21) -> DataFrame:
@@ -101,7 +101,10 @@ def ceiling(reference: float, rules: Rules) -> float:
 
 
 def trade(prices: pd.DataFrame, plan: dict, multipliers: dict, rules: Rules) -> tuple[list[tuple], list[tuple], list[tuple]]:
-    """Values by date, holdings by date, and orders that could not be filled. prices: date, symbol, close; plan: date to {symbol: weight}."""
+    """Values by date, holdings by date, and orders that could not be filled. prices: date, symbol, close; plan: date to {symbol: weight}.
+
+    Buy orders are placed in the plan's order. One without a trade today, or above its ceiling, does not fill and reserves no cash.
+    """
     table = prices.pivot(index="date", columns="symbol", values="close").sort_index()
     today, last = table.to_numpy(float), table.ffill().to_numpy(float)
     column = {s: i for i, s in enumerate(table.columns)}
@@ -138,21 +141,21 @@ def trade(prices: pd.DataFrame, plan: dict, multipliers: dict, rules: Rules) ->
             held = {s: h for s, h in held.items() if h.shares}
         if t >= rules.settle and (t - rules.settle) % rules.every == 0 and target:
             start, reserved = cash, 0.0
-            for s, weight in sorted(target.items(), key=lambda x: (-x[1], x[0])):
+            for s, weight in target.items():
                 price, reference = today[t, column[s]], last[t - 1, column[s]]
-                if np.isnan(reference):
-                    skipped.append((day, s, "buy", "no reference"))
+                if np.isnan(reference) or np.isnan(price):
+                    skipped.append((day, s, "buy", "no reference" if np.isnan(reference) else "no trade"))
                     continue
                 top = ceiling(reference, rules)
+                if price > top:
+                    skipped.append((day, s, "buy", "close above ceiling"))
+                    continue
                 owned = held[s].shares if s in held else 0
                 short = (before * weight - owned * reference * rules.unit) * multipliers.get((day, s), 1.0)
                 n = int(min(short / (reference * rules.unit), (start - reserved) / (top * rules.unit * (1 + rules.fee))) // rules.lot) * rules.lot
                 if n <= 0:
                     continue
                 reserved += n * top * rules.unit * (1 + rules.fee)
-                if np.isnan(price) or price > top:
-                    skipped.append((day, s, "buy", "no trade" if np.isnan(price) else "close above ceiling"))
-                    continue
                 cash -= n * price * rules.unit * (1 + rules.fee)
                 held.setdefault(s, Holding()).pending.append([rules.settle, n])
         holdings += [(day, s, h.shares) for s, h in sorted(held.items())]
@@ -162,16 +165,17 @@ def trade(prices: pd.DataFrame, plan: dict, multipliers: dict, rules: Rules) ->
 def simulate(panel: DataFrame, scenarios: DataFrame, rules: Rules | None = None, multipliers: DataFrame | None = None) -> DataFrame:
     """(scenario, kind, date, symbol, amount, note): kind `value`, `holding` or `skipped`.
 
-    panel: symbol, date, close; scenarios: scenario, date, symbol, weight; multipliers: scenario, date, symbol, multiplier, which counts only on its own date.
+    panel: symbol, date, close; scenarios: scenario, date, symbol, weight, place (1 the best; buys run from the worst pick to the best); multipliers: scenario, date,
+    symbol, multiplier, which counts only on its own date.
     A scenario's task gets every date of the panel, but only the symbols that the scenario ever picks.
     """
     rules = rules or Rules()
     chosen = scenarios.select("scenario", "symbol").distinct()
-    bars = panel.select("symbol", F.to_date("date").alias("date"), "close").join(chosen, "symbol").select("scenario", "date", "symbol", F.col("close").alias("x"), F.lit("close").alias("kind"))
-    dates = panel.select(F.to_date("date").alias("date")).distinct().join(F.broadcast(chosen.groupBy("scenario").agg(F.min("symbol").alias("symbol")))).select("scenario", "date", "symbol", F.lit(None).cast("double").alias("x"), F.lit("date").alias("kind"))
-    rows = bars.unionByName(dates).unionByName(scenarios.select("scenario", F.to_date("date").alias("date"), "symbol", F.col("weight").alias("x"), F.lit("weight").alias("kind")))
+    bars = panel.select("symbol", F.to_date("date").alias("date"), "close").join(chosen, "symbol").select("scenario", "date", "symbol", F.col("close").alias("x"), F.lit("close").alias("kind"), F.lit(0).alias("place"))
+    dates = panel.select(F.to_date("date").alias("date")).distinct().join(F.broadcast(chosen.groupBy("scenario").agg(F.min("symbol").alias("symbol")))).select("scenario", "date", "symbol", F.lit(None).cast("double").alias("x"), F.lit("date").alias("kind"), F.lit(0).alias("place"))
+    rows = bars.unionByName(dates).unionByName(scenarios.select("scenario", F.to_date("date").alias("date"), "symbol", F.col("weight").alias("x"), F.lit("weight").alias("kind"), "place"))
     if multipliers is not None:
-        rows = rows.unionByName(multipliers.select("scenario", F.to_date("date").alias("date"), "symbol", F.col("multiplier").alias("x"), F.lit("multiplier").alias("kind")))
+        rows = rows.unionByName(multipliers.select("scenario", F.to_date("date").alias("date"), "symbol", F.col("multiplier").alias("x"), F.lit("multiplier").alias("kind"), F.lit(0).alias("place")))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         part = {k: g for k, g in rows.groupby("kind")}
@@ -179,7 +183,8 @@ def simulate(panel: DataFrame, scenarios: DataFrame, rules: Rules | None = None,
         idle = part["date"][~part["date"]["date"].isin(prices["date"])]
         prices = pd.concat([prices, idle.rename(columns={"x": "close"})])
         plan: dict = {}
-        for d, s, w in zip(*(part["weight"][c] for c in ("date", "symbol", "x")), strict=True):
+        ordered = part["weight"].sort_values(["date", "place"], ascending=[True, False])
+        for d, s, w in zip(*(ordered[c] for c in ("date", "symbol", "x")), strict=True):
             plan.setdefault(d, {})[s] = w
         several = part.get("multiplier")
         factor = {} if several is None else dict(zip(zip(several["date"], several["symbol"], strict=True), several["x"], strict=True))

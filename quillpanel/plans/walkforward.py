@@ -117,10 +117,12 @@ def select_value(panel: DataFrame, values: list[float], seeds: list[int], fit: C
     return plateau(table), table
 
 
-def backtest(panel: DataFrame, predictions: DataFrame, ks: list[int], rules: simulation.Rules | None = None, rank_weighted: bool = False) -> DataFrame:
-    """One simulated scenario for each k."""
+def backtest(panel: DataFrame, predictions: DataFrame, ks: list[int], rules: simulation.Rules | None = None, rank_weighted: bool = False, entries: DataFrame | None = None) -> DataFrame:
+    """One simulated scenario for each k. Prices and predictions must cover the same dates. entries: (date, symbol, multiplier) of what a buy order may spend."""
+    simulation.check_dates(panel, predictions)
     scenarios = None
     for k in ks:
         s = simulation.picks(predictions, k, rank_weighted=rank_weighted).withColumn("scenario", F.lit(f"top{k}"))
         scenarios = s if scenarios is None else scenarios.unionByName(s)
-    return simulation.simulate(panel, scenarios, rules)
+    multipliers = None if entries is None else entries.join(scenarios.select("scenario", "symbol").distinct(), "symbol").select("scenario", "date", "symbol", "multiplier")
+    return simulation.simulate(panel, scenarios, rules, multipliers)

@@ -40,6 +40,15 @@ query("simulate_equal")(_simulated(False))
 query("simulate_rank_weighted")(_simulated(True))
 
 
+@query("simulate_filtered")
+def simulate_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry filters inside a simulation: less is bought while momentum is negative and volume thin."""
+    rows = picked(spark, sf_dir)
+    group = simulation.filter_group("score < 0", simulation.step(0.5), simulation.ramp("volume", 10, 30, 0.2, 1.0))
+    entries = simulation.with_multiplier(rows, [group]).select("date", "symbol", "multiplier")
+    return flat(walkforward.backtest(walk_panel(spark, sf_dir, weekly=True), rows, [3, 5], RULES, True, entries), 4)
+
+
 @query("simulate_random")
 def simulate_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The null hypothesis for several seeds at once."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from quillpanel.operators import features as f
 from quillpanel.operators import folds, joins, labels, metrics, selection, simulation, statistics
 from quillpanel.queries import sqltext as q
 from quillpanel.queries.features import rounded
-from quillpanel.registry import query
+from quillpanel.registry import ORACLES, QUERIES, query
 from quillpanel.sources import market
 from quillpanel.sources.panels import trade_panel, walk_panel
 
@@ -140,10 +143,9 @@ def anti_gone(spark, sf_dir):
     return joins.gone(p.where("date = '2000-03-01'").select("symbol").distinct(), p.where("date = '2000-03-02'"))
 
 
-@query("dates_match", f"WITH {q.DAILY}, a AS (SELECT DISTINCT date FROM panel WHERE symbol % 50 = 1), b AS (SELECT DISTINCT date FROM panel WHERE symbol % 50 = 2) SELECT date, 'raw' AS only FROM a WHERE date NOT IN (SELECT date FROM b) UNION ALL SELECT date, 'predictions' FROM b WHERE date NOT IN (SELECT date FROM a)")
+@query("dates_match", f"WITH {q.DAILY}, a AS (SELECT DISTINCT date FROM panel), b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) SELECT date, 'raw' AS only FROM a WHERE date NOT IN (SELECT date FROM b) UNION ALL SELECT date, 'predictions' FROM b WHERE date NOT IN (SELECT date FROM a)")
 def dates_match(spark, sf_dir):
-    p = walk_panel(spark, sf_dir)
-    return joins.dates_match(p.where("symbol % 50 = 1"), p.where("symbol % 50 = 2"))
+    return joins.dates_match(walk_panel(spark, sf_dir), spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("date")))
 
 
 @query("ensemble_ranks", f"WITH {q.DAILY}, {_MOM}, r AS (SELECT symbol, date, {q.day_rank('score')} AS a, {q.day_rank('volume')} AS b FROM mom) SELECT symbol, date, {R('CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END', 'pred_score')} FROM r")
@@ -210,17 +212,17 @@ def _ema(x: str, n: int) -> str:
     return f"list_reduce(list({{'y': CAST({x} AS DOUBLE), 'i': i}}) FILTER (({x}) IS NOT NULL) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda p, v: {step}).y"
 
 
-@query("market_ema", f"WITH {q.DAILY}, {_LR}, d AS (SELECT date, avg(l3) AS a3, avg(l1) AS a1, row_number() OVER (ORDER BY date) AS i FROM lr GROUP BY date) SELECT date, {R(_ema('a3', 63), 'market3m_ema63')}, {R(_ema('a1', 21), 'market1m_ema21')} FROM d WHERE date < DATE '1996-06-01'")
+@query("market_ema", f"WITH {q.DAILY}, {_LR}, d AS (SELECT date, avg(l3) AS a3, avg(l1) AS a1, row_number() OVER (ORDER BY date) AS i FROM lr GROUP BY date) SELECT date, {R(_ema('a3', 63), 'market3m_ema63')}, {R(_ema('a1', 21), 'market1m_ema21')} FROM d")
 def market_ema(spark, sf_dir):
     days = labels.market_days(f.log_returns(walk_panel(spark, sf_dir)))
-    return rounded(days.where("date < '1996-06-01'"), ["market3m_ema63", "market1m_ema21"], keys=("date",))
+    return rounded(days, ["market3m_ema63", "market1m_ema21"], keys=("date",))
 
 
-@query("market_breadth", f"""WITH {q.DAILY}, {_LR}, d AS (SELECT date, avg(CASE WHEN l1 > 0 THEN 1.0 WHEN l1 IS NOT NULL THEN 0.0 END) AS up, row_number() OVER (ORDER BY date) AS i FROM lr WHERE date < DATE '1996-09-01' GROUP BY date), e AS (SELECT date, {_ema('up', 21)} AS b FROM d),
+@query("market_breadth", f"""WITH {q.DAILY}, {_LR}, d AS (SELECT date, avg(CASE WHEN l1 > 0 THEN 1.0 WHEN l1 IS NOT NULL THEN 0.0 END) AS up, row_number() OVER (ORDER BY date) AS i FROM lr GROUP BY date), e AS (SELECT date, {_ema('up', 21)} AS b FROM d),
 p AS (SELECT date, b, lag(b) OVER (ORDER BY date) AS pb FROM e), w AS (SELECT date, b, CASE WHEN count(pb) {_day(60)} >= 30 THEN quantile_cont(pb, 0.25) {_day(60)} END AS low FROM p)
 SELECT date, {R('b', 'breadth_ema21')}, coalesce(b < low, false) AS narrow_breadth FROM w""")
 def market_breadth(spark, sf_dir):
-    rows = f.log_returns(walk_panel(spark, sf_dir)).where("date < '1996-09-01'")
+    rows = f.log_returns(walk_panel(spark, sf_dir))
     return rounded(labels.breadth_days(rows, history=60), ["breadth_ema21", "narrow_breadth"], keys=("date",))
 
 
@@ -435,3 +437,63 @@ SELECT date, symbol, {R('coalesce(a / nullif(sum(a) OVER (PARTITION BY date), 0)
 def rank_weighted_picks(spark, sf_dir):
     rows = scored(spark, sf_dir).where("score is not null").withColumn("pred_score", F.col("score"))
     return rounded(simulation.picks(rows, 10, rank_weighted=True), ["weight"], keys=("date", "symbol"))
+
+
+# Storage, liquidity, splits
+
+
+@query("store_and_scan", f"WITH {q.DAILY} SELECT symbol, date, volume FROM panel WHERE symbol IN (1, 2, 3) AND date BETWEEN DATE '1998-01-01' AND DATE '1999-06-30' AND date NOT IN (DATE '1998-03-02')")
+def store_and_scan(spark, sf_dir):
+    """Folders by year, written to the shared folder and read with the filters on the scan."""
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/panel-{uuid.uuid4().hex}"
+    market.store(walk_panel(spark, sf_dir), path)
+    return market.scan(spark, path, [1, 2, 3], "1998-01-01", "1999-06-30", ["1998-03-02"]).select("symbol", "date", "volume")
+
+
+@query("csv_round_trip", f"WITH {q.WEEKLY} SELECT symbol, date, {R('volume', 'volume')}, {R('close', 'close', 4)} FROM panel")
+def csv_round_trip(spark, sf_dir):
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/csv-{uuid.uuid4().hex}"
+    table = walk_panel(spark, sf_dir, True).select("symbol", "date", "volume", "close")
+    market.store_csv(table, path)
+    return rounded(spark.read.schema(table.schema).csv(path, header=True), ["volume", "close"], 4)
+
+
+_ADTV = f"tv AS (SELECT *, {q.lag('close * volume', 1)} AS t FROM panel), av AS (SELECT *, {q.roll('avg', 't', 21, 10)} AS adtv FROM tv)"
+
+
+@query("liquid_flag", f"WITH {q.DAILY}, {_ADTV} SELECT symbol, date, coalesce(adtv >= 2500, false) AS is_liquid FROM av")
+def liquid_flag(spark, sf_dir):
+    return f.liquid(f.adtv(walk_panel(spark, sf_dir)), 2500.0).select("symbol", "date", "is_liquid")
+
+
+@query("fold_liquidity", f"WITH {q.DAILY}, {_ADTV} SELECT symbol, count(*) AS n FROM av WHERE adtv IS NULL OR adtv >= 2500 GROUP BY symbol")
+def fold_liquidity(spark, sf_dir):
+    return f.fold_liquid(f.adtv(walk_panel(spark, sf_dir)), 2500.0).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("calendar_split", f"WITH {q.DAILY} SELECT CASE WHEN date < DATE '1999-06-01' THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM panel WHERE date < DATE '1999-06-01' OR date >= DATE '1999-07-01' GROUP BY 1")
+def calendar_split(spark, sf_dir):
+    parts = [p.withColumn("part", F.lit(name)) for p, name in zip(folds.split(walk_panel(spark, sf_dir), datetime.date(1999, 7, 1), 30), ("train", "test"), strict=True)]
+    return parts[0].unionByName(parts[1]).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+@query("broadcast_days", f"WITH {q.DAILY}, d AS (SELECT date, avg(volume) AS mean_volume FROM panel GROUP BY date) SELECT symbol, date, {R('mean_volume', 'mean_volume')} FROM panel JOIN d USING (date)")
+def broadcast_days(spark, sf_dir):
+    panel = walk_panel(spark, sf_dir)
+    return rounded(joins.broadcast_days(panel, panel.groupBy("date").agg(F.avg("volume").alias("mean_volume"))), ["mean_volume"])
+
+
+@query("ranked_features", f"WITH {q.DAILY}, {_MOM} SELECT symbol, date, {R(q.day_rank('score'), 'csr_score')}, {R(q.day_rank('volume'), 'csr_volume')} FROM mom")
+def ranked_features(spark, sf_dir):
+    return rounded(labels.ranked(scored(spark, sf_dir), ["score", "volume"]), ["csr_score", "csr_volume"])
+
+
+@query("rolling_ir", f"WITH m AS ({ORACLES['monthly_ic']}) SELECT month, ic, {R(f'CASE WHEN count(ic) OVER w >= 6 THEN avg(ic) OVER w / nullif(stddev_samp(ic) OVER w, 0) END', 'ir', 4)} FROM m WINDOW w AS (ORDER BY month ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
+def rolling_ir(spark, sf_dir):
+    ic = QUERIES["monthly_ic"](spark, sf_dir)
+    return metrics.rolling_ir(ic, 6).select("month", "ic", (F.round(F.col("ir") + 1.7e-9, 4) + F.lit(0.0)).alias("ir"))
+
+
+@query("market_gate", f"WITH r AS ({ORACLES['regime_monthly']}), m AS ({ORACLES['market_ema']}) SELECT date, coalesce(regime_bucket = 'Q1' AND market1m_ema21 - market3m_ema63 < 0, false) AS filter_active FROM r JOIN m USING (date) ORDER BY date DESC LIMIT 1")
+def market_gate(spark, sf_dir):
+    return labels.gate(QUERIES["regime_monthly"](spark, sf_dir).join(QUERIES["market_ema"](spark, sf_dir), "date"))
