@@ -112,7 +112,10 @@ class Scanner:
         if not tf:
             return 0.0, None
         line = {w: n * self.weight.get(w, self.unknown) for w, n in tf.items()}
-        norm = math.sqrt(sum(x * x for x in line.values()))
+        total = sum(x * x for x in line.values())
+        if sum(x * x for w, x in line.items() if w in self.weight) < (self.least - 1e-6) ** 2 * total:
+            return 0.0, None  # words that no template has keep every cosine below
+        norm = math.sqrt(total)
         found = [(sum(x * v.get(w, 0.0) for w, x in line.items()) / (norm * size), name) for name, v, size in self.vectors]
         score, name = max(found, key=lambda s: (s[0], s[1]))
         return (round(score, 9), name) if score >= self.least else (0.0, None)
