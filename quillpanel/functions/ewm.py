@@ -10,17 +10,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 def decay(x: np.ndarray, alpha: float) -> np.ndarray:
     """adjust=False; leading gaps stay empty, an inner gap lets the old weight decay once for each row passed."""
-    out, state, weight = np.full(len(x), np.nan), np.nan, 1.0
-    for i, v in enumerate(x.tolist()):
-        if state != state:
-            state = v
-        else:
-            weight *= 1 - alpha
-            if v == v:
-                state = (weight * state + alpha * v) / (weight + alpha)
-                weight = 1.0
-        out[i] = state
-    return out
+    return pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
 
 
 def averages(panel: DataFrame, columns: dict[str, tuple[str, float]], key: str = "symbol") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -445,14 +444,14 @@ def rank_weighted_picks(spark, sf_dir):
 @query("store_and_scan", f"WITH {q.DAILY} SELECT symbol, date, volume FROM panel WHERE symbol IN (1, 2, 3) AND date BETWEEN DATE '1998-01-01' AND DATE '1999-06-30' AND date NOT IN (DATE '1998-03-02')")
 def store_and_scan(spark, sf_dir):
     """Folders by year, written to the shared folder and read with the filters on the scan."""
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/panel-{uuid.uuid4().hex}"
+    path = market.shared_path(spark, "panel")
     market.store(walk_panel(spark, sf_dir), path)
     return market.scan(spark, path, [1, 2, 3], "1998-01-01", "1999-06-30", ["1998-03-02"]).select("symbol", "date", "volume")
 
 
 @query("csv_round_trip", f"WITH {q.WEEKLY} SELECT symbol, date, {R('volume', 'volume')}, {R('close', 'close', 4)} FROM panel")
 def csv_round_trip(spark, sf_dir):
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = market.shared_path(spark, "csv")
     table = walk_panel(spark, sf_dir, True).select("symbol", "date", "volume", "close")
     market.store_csv(table, path)
     return rounded(spark.read.schema(table.schema).csv(path, header=True), ["volume", "close"], 4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime, time, timedelta
 
@@ -19,6 +21,17 @@ def scan(spark: SparkSession, path: str, symbols: list[str] | None = None, first
     return panel
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all machines see; where none is set, on one machine, in a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='quillpanel-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def store(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet in folders by year, so that date filters prune them."""
     panel.withColumn("year", F.year("date")).repartition("year").sortWithinPartitions("symbol", "date").write.mode(mode).partitionBy("year").parquet(path)
