@@ -257,7 +257,7 @@ class Lexicon:
 class Encoder:
     """Texts to ids, with a bounded cache of the chunks that this worker has met: a chunk's number, and the place of its ids in one array."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None, cached: int = 500_000):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None, cached: int = 400_000):
         self.vocab, self.lexicon, self.cached = vocab, lexicon, cached
         self.forget()
 
@@ -319,7 +319,7 @@ def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
-def frequent_words(docs: DataFrame, path: str, size: int, held: int = 1_000_000) -> list[str]:
+def frequent_words(docs: DataFrame, path: str, size: int, held: int = 600_000) -> list[str]:
     """The most frequent words of all the texts (ties by the word), `size` at most: what the lexicon holds; all others are merged. A task counts about `held` chunks at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +374,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", lex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, shared.value)
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, 3_000_000):
                 found, ends = encoder.encode_all(strings(part.column(at)))
                 columns = [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(found)), encoder.joined(found, ends, encoder.vocab.tokens)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, ids, f"{ids}_decoded"])
@@ -396,7 +396,7 @@ def digests(docs: DataFrame, path: str, lexicon_size: int = 65_536) -> DataFrame
         encoder = _encoder(path, shared.value)
         digest = lambda texts: pa.array([hashlib.sha256(t).hexdigest() for t in texts.cast(pa.binary()).to_pylist()], pa.string())
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 3_000_000):
                 ids, ends = encoder.encode_all(strings(part.column(1)))
                 columns = [part.column(0), pa.array(np.diff(ends).astype(np.int64)), *(digest(encoder.joined(ids, ends, n)) for n in (encoder.vocab.printed, encoder.vocab.tokens))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -18,9 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where none is (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; where none is set, a temporary one on one machine (tests), and an error on a cluster, whose executors would not share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quillpanel-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

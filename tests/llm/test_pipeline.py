@@ -91,3 +91,27 @@ def test_set_links_equal_brute_force(spark):
     for tile in (1 << 19, 500):
         found = {r["node"]: r["label"] for r in graph.components(simhash.exact_links(table, tile)).collect()}
         assert [found.get(i, i) for i in range(len(sets))] == want
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, component_id long, held_out boolean"
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_edge_cases(spark, tmp_path, name, stage):
+    """Nulls everywhere, empty and very long texts, repeated rows, ties, clashing columns, and empty tables."""
+    sf, extra = str(tmp_path), (0.5, "s", 3, True)
+    spark.createDataFrame([(1, "one two three of the benchmark"), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 1), (5, 0, 0), (None, None, None)], "doc_id long, quality long, toxic long").write.parquet(f"{sf}/labels.parquet")
+    rows = [(1, None), (2, ""), (3, "  "), (4, "a text of some plain words that is short"), (4, "a text of some plain words that is short"), (5, "a text of some plain words that is short"), (None, None), (7, "long words " * 60_000), (8, "x" * 200_000)]
+    docs = spark.createDataFrame([(i, t, "en" if t else None, None, None, *extra) for i, t in rows], COLUMNS)
+    out = stage(spark, docs, sf)
+    kept = out.collect()
+    assert out.columns[: len(docs.columns)] == docs.columns and len(kept) <= len(rows)
+    assert {(r["doc_id"], r["text"]) for r in kept} <= set(rows) and all((r["score"], r["spans"], r["component_id"], r["held_out"]) == extra for r in kept)
+    if name in ("toxicity", "language ID"):
+        assert {r["doc_id"] for r in kept} >= {4, 5, 7, 8}
+    elif name == "SimHash near-dedup":
+        assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None and r["text"] and r["text"].strip()) == [4, 7, 8]
+    else:
+        assert len(kept) == len(rows)
+    assert stage(spark, docs.limit(0), sf).count() == 0
