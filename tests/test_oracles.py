@@ -9,7 +9,7 @@ from quillpanel import registry
 NAMES = (
     "panel_trade flag_ohlcv taint_forward merge_upsert source_reconcile log_returns rolling_volatility ema_rsi limit_bias alpha_002 alpha_013 alpha_039 alpha_104 asof_previous asof_next"
     " ensemble_ranks cs_rank_masked magnitude_label quintile_label adaptive_bucket regime_monthly market_ema market_breadth rolling_folds fold_range_join spearman_matrix ndcg_daily"
-    " precision_at_k performance_report regime_islands outlier_report block_sign_flip moving_block_bootstrap holm_correction suggested_block price_limits rank_weighted_picks"
+    " store_and_scan csv_round_trip fold_liquidity calendar_split rolling_ir market_gate precision_at_k performance_report regime_islands outlier_report block_sign_flip moving_block_bootstrap holm_correction suggested_block price_limits rank_weighted_picks"
 ).split()
 
 
