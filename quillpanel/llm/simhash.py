@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quillpanel.llm.common import save
+from quillpanel.llm.common import save, slices
 from quillpanel.llm.graph import components
 
 #: The odd constants of the public splitmix64 generator.
@@ -134,12 +134,19 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def link_groups(group: np.ndarray, rows: np.ndarray, radius: int, block: int = 4096) -> np.ndarray:
-    """Each row's label: the first row of what it reaches inside its group over links of at most the radius. Links are joined at once, never listed."""
+def link_groups(group: np.ndarray, rows: np.ndarray, radius: int, pairs: int = 1 << 20) -> np.ndarray:
+    """Each row's label: the first row of what it reaches inside its group over links of at most the radius. Links are joined at once, never listed.
+
+    Rows are searched in blocks that meet `pairs` rows of their groups at most (or are one row), so the search's memory doesn't follow the size of a group.
+    """
     labels, forest = np.arange(len(rows)), BKForest(group, rows)
-    for at in range(0, len(rows), block):
-        a, b = forest.within(np.arange(at, min(at + block, len(rows))), radius)
+    met = np.cumsum(np.bincount(group, minlength=1)[group]) if len(rows) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(met, (met[at - 1] if at else 0) + pairs, side="right")))
+        a, b = forest.within(np.arange(at, end), radius)
         labels = join_labels(labels, a[a > b], b[a > b])
+        at = end
     return labels
 
 
@@ -349,15 +356,16 @@ def copies(docs: DataFrame, shingle: int = 5, wide: int = 4, radius: int = 80, b
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, row = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            out = np.zeros((batch.num_rows, 2 + wide + bands), np.uint64)
-            for i, text in enumerate(batch.column(1)):
-                hashes = np.unique(shingle_hashes(text.as_py(), shingle))
-                out[i, 0], out[i, 1] = xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 42), len(hashes)
-                out[i, 2 : 2 + wide], out[i, 2 + wide :] = fingerprint(hashes, wide), band_keys(hashes, bands, rows)
-            number = np.arange(task + row, task + row + batch.num_rows)
-            row += batch.num_rows
-            columns = [pa.array(np.ascontiguousarray(c)) for c in out.view(np.int64).T]
-            yield pa.RecordBatch.from_arrays([pa.array(number), batch.column(0), *columns, batch.column(1)], names=[*longs, "text"])
+            for part in slices(batch, 1):
+                out = np.zeros((part.num_rows, 2 + wide + bands), np.uint64)
+                for i, text in enumerate(part.column(1)):
+                    hashes = np.unique(shingle_hashes(text.as_py(), shingle))
+                    out[i, 0], out[i, 1] = xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 42), len(hashes)
+                    out[i, 2 : 2 + wide], out[i, 2 + wide :] = fingerprint(hashes, wide), band_keys(hashes, bands, rows)
+                number = np.arange(task + row, task + row + part.num_rows)
+                row += part.num_rows
+                columns = [pa.array(np.ascontiguousarray(c)) for c in out.view(np.int64).T]
+                yield pa.RecordBatch.from_arrays([pa.array(number), part.column(0), *columns, part.column(1)], names=[*longs, "text"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
