@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,11 +75,15 @@ def lengths(c: zs.ZstdCompressor, data: bytes, begin: np.ndarray, end: np.ndarra
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def toxic_passages(toxic: list[list[bytes]], ordinary: list[list[bytes]], words: int, ratio: float = 10.0, seen: int = 4) -> list[bytes]:
-    """Passages of so many words of the toxic texts, all that hold a word which `seen` of these or more (fewer, if there are few) have, and `ratio` times as many, by share, as ordinary texts."""
-    found = [Counter(w for t in texts for w in set(t)) for texts in (ordinary, toxic)]
-    least, share = min(seen, max(2, len(toxic) // 20)), ratio * max(1, len(toxic)) / max(1, len(ordinary))
-    marked = {w for w, c in found[1].items() if c >= least and c > share * (found[0][w] + 0.5)}
+def word_texts(texts: list[list[bytes]]) -> Counter:
+    """In how many of the texts each word is."""
+    return Counter(w for t in texts for w in set(t))
+
+
+def toxic_passages(toxic: list[list[bytes]], ordinary: Counter, count: int, words: int, ratio: float = 10.0, seen: int = 4) -> list[bytes]:
+    """Passages of so many words of the toxic texts, all that hold a word which `seen` of these or more (fewer, if there are few) have, and `ratio` times as many, by share, as the `count` ordinary texts, by word_texts()."""
+    least, share = min(seen, max(2, len(toxic) // 20)), ratio * max(1, len(toxic)) / max(1, count)
+    marked = {w for w, c in word_texts(toxic).items() if c >= least and c > share * (ordinary[w] + 0.5)}
     data, begin, end, _ = windows(toxic, words, 1)
     return [p for b, e in zip(begin.tolist(), end.tolist(), strict=True) if not marked.isdisjoint((p := data[b:e]).split())]
 
@@ -136,23 +140,31 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 5
     return w
 
 
-def fit(labelled: list[tuple[str, int]], toxic_bytes: int = 4096, ordinary_bytes: int = 65_536, passage: int = 2) -> Model:
+def fit(labelled: Iterable[tuple[str, int]], toxic_bytes: int = 4096, ordinary_bytes: int = 65_536, passage: int = 2) -> Model:
     """From (text, label). Two thirds, by checksum of the text, make the dictionaries, the rest calibrates; the threshold that splits it best (F1) becomes 0.5."""
-    parts: tuple[list, list] = ([], [])
-    for text, label in labelled:
-        parts[zlib.crc32(text.encode("utf-8", "surrogatepass")) % 3 == 0].append((text, label))
-    made, rest = parts
-    texts = {k: [words_of(t) for t, y in made if y == k] for k in (0, 1)}
-    ordinary = [b" ".join(t[i : i + 12]) + b" " for t in texts[0] for i in range(0, len(t), 12)]
+    rest: list[tuple[str, int]] = []
+    ordinary, toxic_texts, usual, count = [], [], Counter(), 0
+    for text, label in labelled:  # ordinary texts are the most, so their words are not held, only passages and counts
+        if zlib.crc32(text.encode("utf-8", "surrogatepass")) % 3 == 0:
+            rest.append((text, label))
+        elif label == 1:
+            toxic_texts.append(words_of(text))
+        elif label == 0:
+            words = words_of(text)
+            ordinary += [b" ".join(words[i : i + 12]) + b" " for i in range(0, len(words), 12)]
+            usual.update(set(words))
+            count += 1
     shared, plain = _filled(_dictionary(ordinary_bytes, ordinary), ordinary_bytes), _filled(_dictionary(toxic_bytes, ordinary[::3]), toxic_bytes)
-    toxic = _filled(_dictionary(toxic_bytes, toxic_passages(texts[1], texts[0], passage)), toxic_bytes)
+    del ordinary
+    toxic = _filled(_dictionary(toxic_bytes, toxic_passages(toxic_texts, usual, count, passage)), toxic_bytes)
+    del toxic_texts, usual
     zero = np.zeros(GAINS + 3)
     model = Model(toxic + shared, plain + shared, zero, zero + 1, zero, 0.0)
     y = np.array([v for _, v in rest], float)
     if not len(y) or y.min() == y.max():
         model.bias = -3.0 if not len(y) or y[0] == 0 else 3.0
         return model
-    x = model.features([t for t, _ in rest])
+    x = np.concatenate([model.features([t for t, _ in rest[at : at + 200]]) for at in range(0, len(rest), 200)])
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = logistic((x - model.mean) / model.scale, y)
     model.weights, model.bias = w[:-1], float(w[-1])
@@ -172,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, ordinary_r
     known = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in ((1, toxic_rows), (0, ordinary_rows))]
     sample = docs.select("doc_id", "text").join(F.broadcast(known[0].union(known[1])), F.col("doc_id") == F.col("id")).where("text is not null")
     rows = sorted((r[0], r[1], r[2]) for r in sample.select("doc_id", "text", "label").collect())
-    return fit([(text, label) for _, text, label in rows])
+    return fit((text, label) for _, text, label in rows)
 
 
 def score(docs: DataFrame, model: Model, held_out: bool = True) -> DataFrame:

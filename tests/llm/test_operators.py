@@ -67,7 +67,7 @@ def test_toxic_passages_come_from_toxic_text():
     prose = [" ".join(rng.choice(words, 60)) for _ in range(400)]
     rude = ["awful horrid nonsense", "dreadful rubbish indeed", "utterly vile drivel"]
     toxic = [t.replace(" ", f" {rude[i % 3]} ", 1) for i, t in enumerate(prose[:120])]
-    found = toxicity.toxic_passages([toxicity.words_of(t) for t in toxic], [toxicity.words_of(t) for t in prose[200:]], 2)
+    found = toxicity.toxic_passages([toxicity.words_of(t) for t in toxic], toxicity.word_texts([toxicity.words_of(t) for t in prose[200:]]), len(prose[200:]), 2)
     assert len({p for p in found if b"awful" in p}) > 30 and all(any(w.encode() in p for r in rude for w in r.split()) for p in found)  # with their neighbours
     model = toxicity.fit([(t, 1) for t in toxic] + [(t, 0) for t in prose[120:]], toxic_bytes=2048)
     assert (model.score([f"{' '.join(rng.choice(words, 30))} {r}" for r in rude]) >= 0.5).all() and (model.score([" ".join(rng.choice(words, 40)) for _ in range(20)]) < 0.5).mean() > 0.9
