@@ -16,12 +16,12 @@ def masked(x: Column, mask: Column | None) -> Column:
 
 
 def rank(x: str | Column, mask: Column | None = None, day=None) -> Column:
-    """Average-tie rank over the count of values; NULL where x is NULL or masked. Both windows are partitioned by the date alone: one exchange for all ranks."""
+    """Average-tie rank over the count of values; NULL where x is NULL or masked. A rank needs one sort: the first place of a value and how many are up to it come from the same window."""
     day = day or per_date()
     x = masked(F.col(x) if isinstance(x, str) else x, mask)
-    n = F.count(x).over(day)
-    low, high = F.rank().over(day.orderBy(x.asc_nulls_last())), F.rank().over(day.orderBy(x.desc_nulls_last()))
-    return F.when(x.isNotNull(), (low + n + 1 - high) / 2 / n)
+    order = day.orderBy(x.asc_nulls_last())
+    first, last = F.rank().over(order), F.count(x).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(x.isNotNull(), (first + last) / 2 / F.count(x).over(day))
 
 
 def mean(x: str | Column, mask: Column | None = None) -> Column:

@@ -152,10 +152,12 @@ for _name in [*alphas.DEFAULT, *alphas.OPTIONAL]:
     _alpha(_name)
 
 
-@query("alpha_catalogue")
+_CATALOGUE = "WITH " + ",\n".join(f"a{n} AS ({_alpha_sql(n)})" for n in alphas.DEFAULT) + "\nSELECT symbol, date, " + ", ".join(f"a{n}.alpha AS WQ_Alpha_{n}" for n in alphas.DEFAULT)
+_CATALOGUE += f" FROM a{alphas.DEFAULT[0]}" + "".join(f" JOIN a{n} USING (symbol, date)" for n in alphas.DEFAULT[1:])
+
+
+@query("alpha_catalogue", _CATALOGUE)
 def alpha_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All default alphas together; each has its own query with an oracle."""
+    """All default alphas together."""
     table = alphas.generate(walk_panel(spark, sf_dir))
     return rounded(table, [c for c in table.columns if c.startswith("WQ_Alpha_")])
-
-

@@ -1,4 +1,4 @@
-"""Models, simulations and plans: stateful or fitted, so without an SQL oracle; tests compare them with brute force."""
+"""Models, simulations and plans. What is stateful or fitted has no SQL oracle; tests compare it with brute force."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from quillpanel.operators import labels, metrics, models, simulation, statistics
 from quillpanel.operators import features as f
 from quillpanel.plans import build, walkforward
 from quillpanel.queries.features import rounded
-from quillpanel.queries.relational import delta, flat, scored
+from quillpanel.queries import sqltext as q
+from quillpanel.queries.relational import _MOM, _PLACED, R, _hash, delta, flat, scored
 from quillpanel.registry import query
 from quillpanel.sources.panels import walk_panel
 
@@ -88,7 +89,7 @@ def signals_today(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = weekly(spark, sf_dir)
     last = table.agg(F.max("date")).first()[0]
     today, past = table.where(F.col("date") == F.lit(last)), table.where(F.col("date") < F.lit(last))
-    held = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("symbol")).where("symbol % 7 = 0")
+    held = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal > 6000").select(F.col("s_suppkey").alias("symbol"))
     return flat(walkforward.signals(past, today, held, FEATURES, "boosted_mse", dates=200, buy=5, rounds=3))
 
 
@@ -103,7 +104,23 @@ def sharpe_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(statistics.sharpe_difference(days, iterations=1000))
 
 
-@query("significance_family")
+def _flips(name: str, block: int) -> str:
+    """SQL of the p-values of 500 sign flips of blocks, for each comparison c of the series n."""
+    return f"""{name}b AS (SELECT c, CAST(i // {block} AS BIGINT) AS b, sum(delta) AS s, any_value(n) AS n FROM n GROUP BY 1, 2), {name}o AS (SELECT c, sum(s) / max(n) AS mean, max(n) AS n FROM {name}b GROUP BY c),
+{name}f AS (SELECT c, it, sum(s * ({_hash('it', 'b')} % 2 * 2 - 1)) / max(n) AS f FROM {name}b, (SELECT unnest(range(0, 500)) AS it) GROUP BY c, it),
+{name} AS (SELECT c, max(o.n) AS n_days, max(mean) AS mean, (sum(CASE WHEN abs(f) >= abs(mean) - 1e-12 THEN 1 ELSE 0 END) + 1) / 501.0 AS p FROM {name}f JOIN {name}o AS o USING (c) GROUP BY c)"""
+
+
+_FAMILY = f"""WITH {q.DAILY}, {_MOM}, {_PLACED}, s AS ({' UNION ALL '.join(f"SELECT 'top{k} vs universe' AS c, date, avg(CASE WHEN p <= {k} THEN ret END) - avg(ret) AS delta FROM pl GROUP BY date" for k in (3, 5))}),
+n AS (SELECT c, delta, row_number() OVER (PARTITION BY c ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY c) AS n FROM s WHERE delta IS NOT NULL), {_flips('blocks', 21)}, {_flips('days', 1)},
+l AS (SELECT c, list(delta ORDER BY i) AS v, count(*) AS n FROM n GROUP BY c),
+g AS (SELECT c, it, b, n, v, {_hash('it', 'b')} % (n - 21 + 1) AS s FROM l, (SELECT unnest(range(0, 500)) AS it), (SELECT unnest(range(0, 1000)) AS b) WHERE b <= (n - 1) // 21),
+m AS (SELECT c, it, sum(list_sum(list_slice(v, s + 1, s + least(21, n - b * 21)))) / max(n) AS m FROM g GROUP BY c, it), ci AS (SELECT c, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY c),
+k AS (SELECT *, (2 - row_number() OVER (ORDER BY p, c) + 1) * p AS h, row_number() OVER (ORDER BY p, c) AS r FROM blocks), h AS (SELECT *, least(1, max(h) OVER (ORDER BY r)) AS p_holm FROM k)
+SELECT c AS comparison, {R('h.mean', 'mean_delta')}, h.n_days, 21 AS block, {R('h.p', 'p_value')}, {R('days.p', 'p_naive')}, {R('lo', 'ci_lo')}, {R('hi', 'ci_hi')}, {R('p_holm', 'p_holm')}, h.p < 0.05 AS significant, p_holm < 0.05 AS significant_holm FROM h JOIN days USING (c) JOIN ci USING (c)"""
+
+
+@query("significance_family", _FAMILY)
 def significance_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = scored(spark, sf_dir)
     universe = statistics.universe_average(t, "ret")
@@ -120,7 +137,21 @@ def select_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(table.withColumn("chosen", F.lit(chosen)))
 
 
-@query("score_models")
+def _place_sql(x: str) -> str:
+    return f"row_number() OVER (PARTITION BY model, date ORDER BY {x} DESC NULLS LAST, symbol)"
+
+
+def _mean_rank(x: str) -> str:
+    return f"rank() OVER (ORDER BY {x} DESC) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0"
+
+
+@query("score_models", f"""WITH {q.DAILY}, {_MOM}, m AS ({' UNION ALL '.join(f"SELECT '{n}' AS model, symbol, date, {s} AS s, volume AS g, ret FROM mom WHERE score IS NOT NULL" for n, s in (('momentum', 'score'), ('reversal', '-score')))}),
+p AS (SELECT *, {_place_sql('s')} AS ps, {_place_sql('g')} AS pg, {_place_sql('ret')} AS pr FROM m), e AS (SELECT *, {_place_sql('s')} AS pe FROM m WHERE ret IS NOT NULL),
+t AS (SELECT model, date, sum(g) * avg(1 / log2(ps + 1)) AS dcg, sum(g / log2(pg + 1)) AS ideal, count(*) AS n FROM p GROUP BY model, date, s),
+a AS (SELECT model, avg(x) AS ndcg FROM (SELECT model, sum(dcg) / nullif(sum(ideal), 0) AS x FROM t GROUP BY model, date HAVING sum(n) > 1) GROUP BY model),
+b AS (SELECT model, avg(x) AS precision FROM (SELECT model, sum(CASE WHEN ps <= 5 AND pr <= 5 THEN 1 ELSE 0 END) / 5.0 AS x FROM p GROUP BY model, date HAVING count(*) >= 5) GROUP BY model),
+c AS (SELECT model, avg(x) AS excess FROM (SELECT model, avg(CASE WHEN pe <= 5 THEN ret END) - avg(ret) AS x FROM e GROUP BY model, date HAVING count(*) >= 5) GROUP BY model)
+SELECT model, {R('ndcg', 'ndcg')}, {R('precision', 'precision')}, {R('excess', 'excess')}, {R(f"({_mean_rank('ndcg')} + {_mean_rank('precision')} + {_mean_rank('excess')}) / 3", 'average_rank')} FROM a JOIN b USING (model) JOIN c USING (model)""")
 def score_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).where("score is not null").withColumn("pred_score", F.col("score")).withColumn("gain", F.col("volume"))
     table = walkforward.score(rows, "gain", "ret", 5).withColumn("model", F.lit("momentum"))
