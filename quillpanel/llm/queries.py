@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillpanel.llm import bpe, chat, decontam, html, langid, licenses, maxent, simhash, syncmers, toxicity
+from quillpanel.llm import bpe, chat, decontam, html, importance, infill, langid, licenses, maxent, simhash, syncmers, tokencount, toxicity
 from quillpanel.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,25 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_next(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.with_counts(docs, vocabulary_path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infill.restored(F.col("output"), F.col("form"))["sha256"]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", back.alias("restored_sha256"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -123,3 +142,36 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(length({_ESCAPE.format("role")}) + length({_ESCAPE.format("text")}) + 15) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id
 """
+
+ORACLES["op12_importance"] = rf"""
+WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT {_WORDS} AS w FROM benchmark),
+df AS (SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS f FROM b),
+names AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+sums AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(h, 2 * i + 1, 2))::BIGINT for i in range(0, len(h) // 2)]), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM names, t),
+ds AS (SELECT doc_id, bucket FROM df JOIN sums USING (f)),
+s AS (SELECT bucket, count(*) AS s FROM ds GROUP BY 1),
+tt AS (SELECT bucket, count(*) AS t FROM bf JOIN sums USING (f) GROUP BY 1),
+gains AS (SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM ds) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000)))) AS g FROM s LEFT JOIN tt USING (bucket)),
+w AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM ds JOIN gains USING (bucket) GROUP BY 1),
+scored AS (SELECT d.doc_id, len(d.w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT + 0.5) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN w USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= (SELECT count(*) FROM scored WHERE n_words >= 20) * 25 // 100 THEN r END AS rank FROM placed
+"""
+
+_HASH = "('0x' || substr(h, {}, 8))::BIGINT"
+
+ORACLES["op13_infill"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+c AS (SELECT *, len(u) AS n, {_HASH.format(1)} % (len(u) + 1) AS a, {_HASH.format(9)} % (len(u) + 1) AS b, {_HASH.format(17)} % 100 AS p, {_HASH.format(25)} % 100 AS q FROM d),
+f AS (SELECT *, CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR p >= 50 THEN 'plain' WHEN q < 80 THEN 'spm' ELSE 'psm' END AS form,
+  coalesce(array_to_string(list_slice(u, 1, least(a, b)), ''), '') AS pre, coalesce(array_to_string(list_slice(u, least(a, b) + 1, greatest(a, b)), ''), '') AS mid,
+  coalesce(array_to_string(list_slice(u, greatest(a, b) + 1, len(u)), ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256
+FROM f
+"""
