@@ -22,22 +22,34 @@ from quillpanel.llm.decontam import words_of
 
 #: part of a row that lists a block's documents, and of a row with the bucket counts of a whole task.
 DOCUMENTS, COUNTS = -1, -2
-SCHEMA = "part int, block long, doc_ids array<long>, n_words array<long>, n_features array<long>, buckets binary, docs binary, counts binary, totals array<long>"
+SCHEMA = "part int, block long, n long, doc_ids array<long>, n_words array<long>, n_features array<long>, buckets binary, docs binary, counts binary, totals array<long>"
 
 
-def features_of(words: list[bytes], runs: int, buckets: int) -> list[int]:
-    """The bucket of every run of 1 to `runs` consecutive words, repeats included. A longer run's checksum goes on from the shorter one's."""
-    sums = [zlib.crc32(w) for w in words]
-    out, spaced = sums, [b" " + w for w in words]
-    for n in range(1, runs):
-        sums = [zlib.crc32(w, c) for w, c in zip(spaced[n:], sums, strict=False)]
-        out = out + sums
-    return [c % buckets for c in out]
+def features_of(words: list[bytes], runs: int, buckets: int, step: int = 50_000) -> np.ndarray:
+    """The bucket of every run of 1 to `runs` consecutive words, repeats included. A longer run's checksum goes on from the shorter one's. `step` words are taken at a time."""
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, len(words), step):
+        sums = [zlib.crc32(w) for w in words[at : at + step]]
+        out.append(np.array(sums, np.int64) % buckets)
+        for n in range(1, runs):
+            sums = [zlib.crc32(b" " + w, c) for w, c in zip(words[at + n : at + n + step], sums, strict=False)]
+            out.append(np.array(sums, np.int64) % buckets)
+    return np.concatenate(out).astype(np.int32)
 
 
-def postings(docs: DataFrame, runs: int, buckets: int, parts: int, size: int = 3_000_000) -> DataFrame:
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0, each in 1, 2 or 4 bytes, as the largest needs."""
+    top = int(values.max(initial=0))
+    return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(data: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}")
+
+
+def postings(docs: DataFrame, runs: int, buckets: int, parts: int, size: int = 2_000_000) -> DataFrame:
     """The rows of SCHEMA for docs (doc_id, text): for each block one that lists its documents and one for each part with postings; for each task one with its counts."""
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("doc_ids", "n_words", "n_features")), *((c, pa.binary()) for c in ("buckets", "docs", "counts")), ("totals", pa.list_(pa.int64()))])
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("doc_ids", "n_words", "n_features")), *((c, pa.binary()) for c in ("buckets", "docs", "counts")), ("totals", pa.list_(pa.int64()))])
 
     def rows(found: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(found, schema=schema)
@@ -46,18 +58,21 @@ def postings(docs: DataFrame, runs: int, buckets: int, parts: int, size: int = 3
         block, totals = TaskContext.get().partitionId() << 32, np.zeros(buckets, np.int64)
         for batch in batches:
             for piece in slices(batch, 1, size):
-                words = [words_of(t) for t in piece.column(1).to_pylist()]
-                found = [np.array(features_of(w, runs, buckets), np.int64) for w in words]
+                found, n_words = [], []
+                for text in piece.column(1):
+                    words = words_of(text.as_py())
+                    found.append(features_of(words, runs, buckets))
+                    n_words.append(len(words))
                 n = [len(f) for f in found]
                 key, count = np.unique(np.repeat(np.arange(len(n)), n) * buckets + np.concatenate(found), return_counts=True)
                 doc, bucket = key // buckets, key % buckets
                 totals += np.bincount(bucket, weights=count, minlength=buckets).astype(np.int64)
-                out = [{"part": DOCUMENTS, "block": block, "doc_ids": piece.column(0).to_pylist(), "n_words": [len(w) for w in words], "n_features": n}]
+                out = [{"part": DOCUMENTS, "block": block, "doc_ids": piece.column(0).to_pylist(), "n_words": n_words, "n_features": n}]
                 for part in range(parts):
                     mine = np.flatnonzero(bucket % parts == part)
                     if len(mine):
-                        packed = {"buckets": bucket[mine].astype("<u4"), "docs": doc[mine].astype("<u2"), "counts": count[mine].astype("<u4")}
-                        out.append({"part": part, "block": block} | {k: v.tobytes() for k, v in packed.items()})
+                        columns = {"buckets": bucket, "docs": doc, "counts": count}
+                        out.append({"part": part, "block": block, "n": len(mine)} | {k: packed(v[mine]) for k, v in columns.items()})
                 yield rows(out)
                 block += 1
         yield rows([{"part": COUNTS, "block": block, "totals": totals.tolist()}])
@@ -78,34 +93,36 @@ def gain(s: int, t: int, S: int, T: int, buckets: int) -> int:
 def contributions(posted: DataFrame, counts: DataFrame, S: int, T: int, buckets: int, parts: int) -> DataFrame:
     """block, pos (of the document in it), total: the part of a document's gains that one part of the buckets makes up.
 
-    A part's blocks are dealt over salts, sixteen blocks of a part or so for each, since a part with a very common bucket may hold most postings; the part's counts (buckets / parts rows) go to each
-    of its salts. Sorted, the counts come first and the blocks stream past them, so a task holds one block at a time.
+    A part's blocks are dealt over salts, about sixteen for each, since a part with a very common bucket may hold most postings; the part's counts (buckets / parts
+    entries) go to each of its salts. Sorted, the counts come first and the blocks stream past them, so a task holds one block at a time.
     """
     blocks = posted.where(F.col("part") == DOCUMENTS).count()
     salts = max(1, blocks // 16)
     both = counts.groupBy(F.pmod("bucket", F.lit(parts)).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("bucket", "s", "t"))).alias("known"))
     both = both.select("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(-1).cast("long").alias("block"), "known")
-    dealt = posted.where(F.col("part") >= 0).select("part", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), "block", "buckets", "docs", "counts")
+    dealt = posted.where(F.col("part") >= 0).select("part", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), "block", "n", "buckets", "docs", "counts")
     together = both.unionByName(dealt, allowMissingColumns=True).repartition("part", "salt").sortWithinPartitions("part", "salt", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains, at = np.zeros(buckets, np.int64), None
         for batch in batches:
-            sent: dict[str, list] = {"block": [], "sums": []}
-            for r in batch.to_pylist():
-                if r["block"] < 0:
-                    at = r["part"]
-                    for k in r["known"]:
+            blocks, sums, ends = [], [np.zeros(0, np.int64)], [0]
+            for row in range(batch.num_rows):
+                part, block, known, n, bucket, doc, count = (c[row] for c in batch.columns)
+                if block.as_py() < 0:
+                    at = part.as_py()
+                    for k in known.as_py():
                         gains[k["bucket"]] = gain(k["s"], k["t"], S, T, buckets)
                     continue
-                assert at == r["part"]
-                bucket, doc, count = (np.frombuffer(r[c], kind) for c, kind in (("buckets", "<u4"), ("docs", "<u2"), ("counts", "<u4")))
-                sums = np.bincount(doc, weights=(gains[bucket] * count).astype(np.float64))
-                sent["block"].append(r["block"])
-                sent["sums"].append(sums.astype(np.int64).tolist())
-            yield pa.RecordBatch.from_pydict(sent, schema=pa.schema([("block", pa.int64()), ("sums", pa.list_(pa.int64()))]))
-
-    return together.select("part", "block", "known", "buckets", "docs", "counts").mapInArrow(run, "block long, sums array<long>").select("block", F.posexplode("sums").alias("pos", "total"))
+                assert at == part.as_py()
+                bucket, doc, count = (unpacked(c.as_buffer(), n.as_py()) for c in (bucket, doc, count))
+                sums.append(np.bincount(doc, weights=gains[bucket] * count.astype(np.float64)).astype(np.int64))
+                ends.append(ends[-1] + len(sums[-1]))
+                blocks.append(block.as_py())
+            values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sums)))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), values], names=["block", "sums"])
+
+    return together.select("part", "block", "known", "n", "buckets", "docs", "counts").mapInArrow(run, "block long, sums array<long>").select("block", F.posexplode("sums").alias("pos", "total"))
 
 
 def importance(docs: DataFrame, target: DataFrame, runs: int = 2, buckets: int = 10_000, parts: int = 16) -> DataFrame:
