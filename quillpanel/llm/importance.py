@@ -125,13 +125,13 @@ def contributions(posted: DataFrame, counts: DataFrame, S: int, T: int, buckets:
     return together.select("part", "block", "known", "n", "buckets", "docs", "counts").mapInArrow(run, "block long, sums array<long>").select("block", F.posexplode("sums").alias("pos", "total"))
 
 
-def importance(docs: DataFrame, target: DataFrame, runs: int = 2, buckets: int = 10_000, parts: int = 16) -> DataFrame:
+def importance(docs: DataFrame, target: DataFrame, runs: int = 2, buckets: int = 10_000, parts: int = 16, block_bytes: int = 2_000_000) -> DataFrame:
     """doc_id, block, pos, n_words, n_features and weight (the floored mean of its features' gains, 0 without features) of each row of docs; block and pos number the rows.
 
     docs needs doc_id and text, target a text; other columns are ignored. A null text has no words. Repeated rows count as often as they stand there and each give a
     row. With an empty target all of its counts are 0. The postings are written once, so numbers of blocks stay what they are if a task runs again.
     """
-    posted = save(postings(docs, runs, buckets, parts), "importance-postings")
+    posted = save(postings(docs, runs, buckets, parts, block_bytes), "importance-postings")
     aimed = bucket_counts(postings(target.select(F.lit(0).alias("doc_id"), "text"), runs, buckets, parts))
     counts = bucket_counts(posted).select("bucket", F.col("n").alias("s"), F.lit(0).cast("long").alias("t")).unionByName(aimed.select("bucket", F.lit(0).cast("long").alias("s"), F.col("n").alias("t")))
     counts = save(counts.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "importance-counts")
