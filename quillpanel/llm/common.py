@@ -63,6 +63,27 @@ def without(docs: DataFrame, ids: DataFrame, name: str, broadcast_rows: int = 50
     return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
+def bounded_sample(rows: DataFrame, name: str, per_label: int, most_bytes: int) -> list[tuple]:
+    """(id, text, label) in order of id, text and label, for the driver to fit on: of rows (id, label, text) at most `per_label` ids of each label and `most_bytes` of UTF-8 in all.
+
+    An id that repeats counts once for each label, with the text of the smallest hash. Ids come in order of their hash; a text too long for what is left is passed over.
+    """
+    once = rows.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("text"))
+    once = save(once.where("text is not null"), name)
+    taken: dict = {}
+    passed = []
+    for r in once.select("id", "label", F.octet_length("text").alias("n"), F.xxhash64("id").alias("h")).orderBy("h", "id", "label").toLocalIterator():
+        if taken.get(r["label"], 0) < per_label and r["n"] <= most_bytes:
+            taken[r["label"]] = taken.get(r["label"], 0) + 1
+            most_bytes -= r["n"]
+        else:
+            passed.append((r["id"], r["label"]))
+    if passed:
+        gone = rows.sparkSession.createDataFrame(passed, once.select("id", "label").schema)
+        once = once.join(F.broadcast(gone), ["id", "label"], "left_anti")
+    return sorted((r["id"], r["text"], r["label"]) for r in once.collect())
+
+
 def aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
     """docs with its columns but doc_id and text under names that no operator uses, and the columns that bring the old names back."""
     names = {c: c if c in ("doc_id", "text") else f"_kept_{i}" for i, c in enumerate(docs.columns)}

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillpanel.llm.common import save
+
 #: A-Z to a-z; what is neither a digit, a letter nor beyond ASCII becomes a space.
 _WORD_BYTES = bytes(b if b in b"0123456789abcdefghijklmnopqrstuvwxyz" or b > 127 else b + 32 if b in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 32 for b in range(256))
 
@@ -126,9 +128,9 @@ class FMIndex:
 class Phrases:
     """The windows of a block of benchmark items: distinct word sequences, each with its items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.ids: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             symbols = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
             for at in range(max(1, len(symbols) - window + 1) if symbols else 0):
@@ -170,33 +172,35 @@ def _search_shard(phrases: Phrases, runs: list[np.ndarray], places: list[tuple[i
     return out
 
 
-SCHEMA = "doc_id long, n_words long, spans array<struct<begin: long, end: long>>, items array<string>"
+SCHEMA = "row long, doc_id long, n_words long, spans array<struct<begin: long, end: long>>, items array<string>"
 
 
 def benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = 200_000, block_words: int = 2_000_000) -> DataFrame:
     """Per document: n_words, the merged removal spans (word offsets, end excluded) and the benchmark items that occur.
 
     docs needs doc_id and text, benchmark item_id and text; other columns are ignored. A null or empty text has no words and no spans; an item without words has
-    no window; a null item_id is named "null". Repeated rows of documents each give a row, repeated items count once by id. No item crosses a document's end.
-    The benchmark is read in blocks of block_words words by hash of the item, each broadcast and searched in a pass of its own, so no broadcast grows with it.
+    no window; items with a null id count as one, which is null in `items` too. Repeated rows of documents each give a row, repeated items count once by id. No item
+    crosses a document's end. The benchmark is read in blocks of block_words words by hash of the item, each broadcast and searched in a pass of its own, so no broadcast
+    grows with it. With several blocks the documents are written once with a number for each row, and what the passes find is put together by that number, so rows
+    that share an id, or have none, stay apart; a number has one row of each block at most.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.size(F.split(F.col("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if blocks > 1:
+        docs = save(docs.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
     passes = []
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         passes.append(_pass(docs, Phrases([(r[0], r[1]) for r in mine], window), shard_words))
     if blocks == 1:
-        return passes[0]
-    rows = passes[0].withColumn("block", F.lit(0))
-    for i, more in enumerate(passes[1:], 1):
-        rows = rows.unionByName(more.where(F.size("spans") > 0).withColumn("block", F.lit(i)))
-    merged = rows.groupBy("doc_id", "block", "n_words").agg(F.collect_list("spans").alias("s"), F.collect_list("items").alias("i"), F.count(F.lit(1)).alias("n"))
-    merged = merged.groupBy("doc_id", "n_words").agg(F.flatten(F.flatten(F.collect_list("s"))).alias("s"), F.array_distinct(F.flatten(F.flatten(F.collect_list("i")))).alias("items"), F.max(F.when(F.col("block") == 0, F.col("n"))).alias("n"))
-    merged = merged.withColumn("spans", _merge(F.array_sort("s"))).withColumn("items", F.array_sort("items"))
-    return merged.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("doc_id", "n_words", "spans", "items")
+        return passes[0].drop("row")
+    rows = passes[0]
+    for more in passes[1:]:
+        rows = rows.unionByName(more.where(F.size("spans") > 0))
+    merged = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
+    return merged.select("doc_id", "n_words", _merge(F.array_sort("s")).alias("spans"), F.array_distinct("i").alias("items"))
 
 
 def _merge(spans):
@@ -210,11 +214,11 @@ def _merge(spans):
 
 def _pass(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
     def rows(held: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict(
-            {"doc_id": [h[0] for h in held], "n_words": [h[1] for h in held], "spans": [[{"begin": b, "end": e} for b, e in h[2]] for h in held], "items": [h[3] for h in held]},
+            {"row": [h[0] for h in held], "doc_id": [h[1] for h in held], "n_words": [h[2] for h in held], "spans": [[{"begin": b, "end": e} for b, e in h[3]] for h in held], "items": [h[4] for h in held]},
             schema=schema,
         )
 
@@ -230,14 +234,14 @@ def _pass(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
             nonlocal held, runs, places, size
             if runs:
                 for doc, (spans, items) in _search_shard(phrases, runs, places).items():
-                    held[doc][2:] = merge_spans(spans), sorted(items)
+                    held[doc][3:] = merge_spans(spans), list(items)
             out, held, runs, places, size = rows(held), [], [], [], 0
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = words_of(text.as_py())
-                held.append([doc_id, len(words), [], []])
+                held.append([row, doc_id, len(words), [], []])
                 if phrases.items and len(words) >= shortest:
                     ids = np.fromiter((known(w, 0) for w in words), np.int64, len(words))
                     gaps = np.flatnonzero(np.concatenate(([0], ids, [0])) == 0)
@@ -255,12 +259,12 @@ def _pass(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, **options) -> DataFrame:
-    """benchmark_spans() with the digest columns: n_hit, n_items, items_sha256, contaminated (a twentieth of the words at least)."""
+    """benchmark_spans() with the digest columns: n_hit, n_items, items_sha256, contaminated (a twentieth of the words at least). A null item is written as null in the digest."""
     found = benchmark_spans(docs, benchmark, window, **options)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["begin"])
-    found = found.withColumn("n_hit", hit)
+    found, names = found.withColumn("n_hit", hit), F.array_sort(F.transform("items", lambda x: F.coalesce(x, F.lit("null"))))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"), "spans",
     )
 

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillpanel.llm.common import fold, strings
+from quillpanel.llm.common import bounded_sample, fold, strings
 
 _LETTER = regex.compile(r"\p{L}")
 #: Odd multipliers that spread n-grams over the hashed features.
@@ -116,13 +116,14 @@ def fit(labelled: list[tuple[str, str]], size: int = 4096, rounds: int = 150, ra
     return Model(languages, code, w, b, size)
 
 
-def train(docs: DataFrame, per_language: int = 600) -> Model:
-    """Learns from text and non-null lang of documents outside fold 0; about per_language rows of each language (the documented bound), chosen by hash of the id."""
+def train(docs: DataFrame, per_language: int = 600, most_bytes: int = 96_000_000) -> Model:
+    """Learns from text and non-null lang of documents outside fold 0: of each language about per_language documents, and no more, and so many bytes in all (the documented
+    bounds), chosen by hash of the id. An id counts once for each of its languages, however often it is repeated."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("of"), "n")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * per_language)
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(counts), F.col("lang") == F.col("of")).where(draw)
-    rows = sorted((r[0], r[1], r[2]) for r in sample.select("doc_id", "text", "lang").collect())
+    rows = bounded_sample(sample.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text"), "languages", per_language, most_bytes)
     return fit([(text, lang) for _, text, lang in rows])
 
 

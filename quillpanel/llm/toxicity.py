@@ -19,7 +19,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillpanel.llm.common import fold, strings
+from quillpanel.llm.common import bounded_sample, fold, strings
 
 #: Bytes gained by a window, from none to this many and more.
 GAINS = 8
@@ -178,13 +178,15 @@ def fit(labelled: Iterable[tuple[str, int]], toxic_bytes: int = 4096, ordinary_b
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, ordinary_rows: int = 5000) -> Model:
-    """Learns from labelled documents outside fold 0; of each label so many rows at most (the documented bound), the first by hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, ordinary_rows: int = 5000, most_bytes: int = 96_000_000) -> Model:
+    """Learns from labelled documents outside fold 0; of each label so many at most, and so many bytes of each (the documented bounds), the first by hash of the id. An id counts once, however often it stands in either table."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold(F.col("id")) != 0)).dropDuplicates(["id"])
-    known = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in ((1, toxic_rows), (0, ordinary_rows))]
-    sample = docs.select("doc_id", "text").join(F.broadcast(known[0].union(known[1])), F.col("doc_id") == F.col("id")).where("text is not null")
-    rows = sorted((r[0], r[1], r[2]) for r in sample.select("doc_id", "text", "label").collect())
-    return fit((text, label) for _, text, label in rows)
+    rows = []
+    for label, most in ((1, toxic_rows), (0, ordinary_rows)):
+        some = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most)
+        sample = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id")).where("text is not null")
+        rows += bounded_sample(sample.select("id", "label", "text"), f"toxic-{label}", most, most_bytes)
+    return fit((text, label) for _, text, label in sorted(rows))
 
 
 def score(docs: DataFrame, model: Model, held_out: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from quillpanel.llm import bpe, chat, decontam, graph, html, langid, licenses, maxent, simhash, syncmers, toxicity
+from quillpanel.llm import bpe, chat, common, decontam, graph, html, langid, licenses, maxent, simhash, syncmers, toxicity
 from quillpanel.llm.queries import QUERIES, vocabulary_path
 
 DOCS = "doc_id long, text string, lang string, score double, node string, word string"
@@ -513,6 +513,40 @@ def test_decontamination_edges(spark, edge, nothing):
     assert decontam.contamination(edge, bench, block_words=2).count() == len(EDGE)
 
 
+def test_decontamination_in_any_number_of_blocks(spark):
+    """Rows without an id, or that share one, keep their own hits; an item called null is not the one without an id."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[i : i + 13]) for i in (0, 20, 40)]
+    docs = [(None, texts[0]), (None, texts[1]), (None, " ".join(reversed(words[:13]))), (7, texts[0]), (7, texts[2]), (7, " ".join(words[5:18])), (8, None), (9, f"{texts[0]} x {texts[1]}"), (9, f"{texts[0]} x {texts[1]}")]
+    table = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, row int").repartition(3)
+    bench = spark.createDataFrame([("null", texts[0]), (None, texts[0]), ("b", texts[1]), ("c", texts[2]), ("c", texts[2])], "item_id string, text string")
+    shown = lambda **o: sorted(map(repr, (tuple(r) for r in decontam.contamination(table, bench, **o).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans").collect())))
+    one = shown()
+    assert one == shown(block_words=5) == shown(block_words=30, shard_words=10)
+    assert sorted(eval(r.replace("Row", "dict"))[1:4] for r in one) == sorted([(13, 13, 2), (13, 13, 1), (13, 0, 0), (13, 13, 2), (13, 13, 1), (13, 0, 0), (0, 0, 0), (27, 26, 3), (27, 26, 3)])
+
+
+def test_samples_to_fit_on_are_bounded(spark):
+    rows = [(5, "hot", f"hot text {i}") for i in range(3000)] + [(i, "en", "x" * i) for i in range(10, 60)] + [(i, "de", "y") for i in range(40)] + [(99, "en", None)]
+    table = spark.createDataFrame(rows, "id long, label string, text string")
+    found = common.bounded_sample(table, "test", 20, 500)
+    assert max(Counter(r[2] for r in found).values()) <= 20 and sum(len(r[1]) for r in found) <= 500
+    assert found == common.bounded_sample(table.repartition(7), "test", 20, 500) and len(common.bounded_sample(table, "test", 3000, 10**6)) == 91
+    assert common.bounded_sample(table.limit(0), "test", 20, 500) == []
+
+
+def test_a_hot_labelled_id_is_one_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"vile words {i}", "en") for i in range(2000)] + [(i, f"nice words here {i}", "de") for i in range(2, 40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 40)] + [(1, 1)] * 50, "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda rows: seen.setdefault("toxic", list(rows)))
+    monkeypatch.setattr(langid, "fit", lambda rows: seen.setdefault("lang", list(rows)))
+    toxicity.train(docs, labels)
+    langid.train(docs, per_language=3000)
+    kept = {i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5}
+    assert len(seen["toxic"]) == len(kept) == len(seen["lang"])
+
+
 def test_fm_index_on_repeats():
     rng = np.random.default_rng(1)
     runs = [rng.integers(1, 4, n) for n in (50, 3, 80)] + [np.array([1, 1, 1, 1, 1, 1])] * 3
