@@ -124,7 +124,7 @@ def nth_largest(values: DataFrame, x: str, n: int, buckets: int = 4096, few: int
 
 
 def model_ranking(table: DataFrame, metrics: dict[str, bool]) -> DataFrame:
-    """(model, average_rank) over the metrics; True where more is better. A table of models is tiny."""
+    """(model, average_rank) over the metrics; True where more is better. Metrics are rounded first: the last bit of an average depends on the order of its rows. A table of models is tiny."""
     one = Window.partitionBy(F.lit(0))
-    ranks = [cs.rank(F.col(m) * (-1 if best else 1), day=one) * F.count(m).over(one) for m, best in metrics.items()]
+    ranks = [cs.rank(F.round(m, 10) * (-1 if best else 1), day=one) * F.count(m).over(one) for m, best in metrics.items()]
     return table.select("model", (sum(ranks[1:], ranks[0]) / len(ranks)).alias("average_rank"))

@@ -142,7 +142,7 @@ def _place_sql(x: str) -> str:
 
 
 def _mean_rank(x: str) -> str:
-    return f"rank() OVER (ORDER BY {x} DESC) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0"
+    return f"rank() OVER (ORDER BY round({x}, 10) DESC) + (count(*) OVER (PARTITION BY round({x}, 10)) - 1) / 2.0"
 
 
 @query("score_models", f"""WITH {q.DAILY}, {_MOM}, m AS ({' UNION ALL '.join(f"SELECT '{n}' AS model, symbol, date, {s} AS s, volume AS g, ret FROM mom WHERE score IS NOT NULL" for n, s in (('momentum', 'score'), ('reversal', '-score')))}),
