@@ -9,8 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,13 +68,29 @@ def without(docs: DataFrame, ids: DataFrame, name: str, broadcast_rows: int = 50
 def bounded_sample(rows: DataFrame, name: str, per_label: int, most_bytes: int) -> list[tuple]:
     """(id, text, label) in order of id, text and label, for the driver to fit on: of rows (id, label, text) at most `per_label` ids of each label and `most_bytes` of UTF-8 in all.
 
-    An id that repeats counts once for each label, with the text of the smallest hash. Ids come in order of their hash; a text too long for what is left is passed over.
+    An id that repeats counts once for each label, with the text of the smallest hash: tasks keep one text of an id before and after the shuffle, without a sort, so a hot
+    id is never more than a text in each. Ids come in order of their hash; a text too long for what is left is passed over.
     """
-    once = rows.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("text"))
-    once = save(once.where("text is not null"), name)
+
+    def one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            for key, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2), strict=True):
+                if text.is_valid:
+                    data = text.as_buffer().to_pybytes()
+                    order = (xxhash.xxh64_intdigest(data), data)
+                    if key not in best or order < best[key]:
+                        best[key] = order
+        for (i, label), (_, data) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], kinds[0]), pa.array([label], kinds[1]), pa.array([data], pa.binary()).cast(pa.string())], names=["id", "label", "text"])
+
+    rows = rows.select("id", "label", "text")
+    kinds = [to_arrow_type(f.dataType) for f in rows.schema.fields]
+    once = save(rows.mapInArrow(one_each, rows.schema).repartition(8, "id", "label").mapInArrow(one_each, rows.schema), name)
     taken: dict = {}
     passed = []
-    for r in once.select("id", "label", F.octet_length("text").alias("n"), F.xxhash64("id").alias("h")).orderBy("h", "id", "label").toLocalIterator():
+    sizes = once.select("id", "label", F.octet_length("text").alias("n"), F.xxhash64("id").alias("h")).collect()
+    for r in sorted(sizes, key=lambda r: (r["h"], r["id"], r["label"])):
         if taken.get(r["label"], 0) < per_label and r["n"] <= most_bytes:
             taken[r["label"]] = taken.get(r["label"], 0) + 1
             most_bytes -= r["n"]
