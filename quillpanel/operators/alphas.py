@@ -11,7 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillpanel.functions import cs, ts
+from quillpanel.functions import cs, kernel, ts
+from quillpanel.sources.market import saved
 
 DEFAULT = (
     "002 006 007 013 016 019 024 028 035 039 040 043 052 055 102 103 104 105 110 111 112 113 114 115 116 117 118"
@@ -40,10 +41,34 @@ def _first() -> dict[str, Column]:
     _c, _, _h, _, _ = _bars()
     return {
         "dlr": F.ln(_c) - ts.delay(F.ln(_c), 1), "r": ts.ratio(_c, ts.delay("c", 1)) - 1, "r21": _logs(0, 21), "r252": _logs(0, 252), "m20c": ts.mean("c", 20), "m20v": ts.mean("v", 20),
-        "m20v10": ts.mean("v", 20, 10), "m100c": ts.mean("c", 100), "lnh": F.ln(_h), "min21l": ts.lowest("l", 21), "dc21": -ts.delta("c", 21),
+        "m20v10": ts.mean("v", 20, 10), "m100c": ts.mean("c", 100), "lnh": F.ln(_h), "dc21": -ts.delta("c", 21),
     }
 
 
+#: The columns of _first() that each alpha needs.
+NEEDS = {
+    "007": "r21 m20v", "013": "m20c m20v", "016": "m20c m20v", "019": "r21 r252", "024": "r21 m100c", "028": "m20v", "035": "dlr", "039": "r21 r252 m20v10", "040": "lnh", "043": "m20v dc21", "104": "r",
+    "110": "dlr", "111": "dlr", "113": "dlr", "114": "r252 r", "202": "r",
+}
+
+
+def _ordered() -> dict[str, dict[str, tuple[Column, kernel.Along]]]:
+    """Order statistics that each alpha takes of a symbol's rows: what of, and which. Sources are rounded where ties of computed values decide."""
+    col = F.col
+    _c, _, _h, _l, _v = _bars()
+    exact = lambda x: F.round(x, 10)
+    return {
+        "007": {"k7": (exact(F.abs(col("r21"))), kernel.rank(60, 10))},
+        "024": {"low24": (_c, kernel.lowest(100))},
+        "035": {"k35a": (_v, kernel.rank(32)), "k35b": (exact(_c + _h - _l), kernel.rank(16)), "k35c": (exact(col("dlr")), kernel.rank(32))},
+        "043": {"k43a": (exact(_v / (col("m20v") + 1)), kernel.rank(63)), "k43b": (exact(col("dc21")), kernel.rank(63))},
+        "052": {"min21l": (_l, kernel.lowest(21)), "k52": (_v, kernel.rank(21))},
+        "055": {"low55": (_l, kernel.lowest(63, 30)), "high55": (_h, kernel.highest(63, 30))},
+        "103": {"high103": (_c, kernel.highest(252, 60))},
+        "110": {"high110": (col("dlr"), kernel.highest(21))},
+    }
+
+
 def _second() -> dict[str, dict[str, Column]]:
     """Columns that stage A computes for each alpha; `aN` alone is a finished alpha."""
     col = F.col
@@ -52,27 +77,26 @@ def _second() -> dict[str, dict[str, Column]]:
     rise = F.try_divide(col("m100c") - ts.delay("m100c", 100), ts.delay("c", 100) + 0.001)
     defined = ts.delay("m100c", 100).isNotNull() & col("m100c").isNotNull()
     strong = F.coalesce(_v > col("m20v"), L(False))
-    abs_rank = ts.rank(F.round(F.abs(col("r21")), 10), 60, 10)
     return {
         "002": {"x2a": F.ln(_v + 1) - ts.delay(F.ln(_v + 1), 7), "x2b": (_c - _o) / (_o + 0.001)},
         "006": {"a006": -ts.corr("o", "v", 21)},
-        "007": {"a007": F.when(abs_rank.isNotNull(), F.when(strong, -abs_rank * F.signum("r21")).otherwise(0.0))},
+        "007": {"a007": F.when(col("k7").isNotNull(), F.when(strong, -col("k7") * F.signum("r21")).otherwise(0.0))},
         "013": {"x13a": ts.log_ratio(_c, col("m20c")), "x13b": F.ln((_v + 1) / (col("m20v") + 1))},
         "016": {"x16a": ts.log_ratio(_h, col("m20c")), "x13b": F.ln((_v + 1) / (col("m20v") + 1))},
         "019": {"x252": col("r252")},
-        "024": {"a024": F.when(defined, F.when(rise <= 0.05, -ts.log_ratio(_c, ts.lowest("c", 100))).otherwise(-col("r21")))},
+        "024": {"a024": F.when(defined, F.when(rise <= 0.05, -ts.log_ratio(_c, col("low24"))).otherwise(-col("r21")))},
         "028": {"x28a": ts.corr("m20v", "l", 21), "x28b": F.ln((_h + _l) / 2 / _c)},
-        "035": {"a035": ts.rank("v", 32) * (1 - ts.rank(F.round(_c + _h - _l, 10), 16)) * (1 - ts.rank(F.round(col("dlr"), 10), 32))},
+        "035": {"a035": col("k35a") * (1 - col("k35b")) * (1 - col("k35c"))},
         "039": {"x39": ts.mean(_v / (col("m20v10") + 1), 21, 10), "x252": col("r252")},
         "040": {"x40": ts.std("lnh", 21, 5), "y40": ts.corr("h", "v", 21)},
-        "043": {"a043": ts.rank(F.round(_v / (col("m20v") + 1), 10), 63) * ts.rank(F.round(col("dc21"), 10), 63)},
-        "052": {"x52": _logs(21, 252), "y52": ts.log_ratio(ts.delay("min21l", 21), col("min21l")) * ts.rank("v", 21)},
-        "055": {"x55": (_c - ts.lowest("l", 63, 30)) / (ts.highest("h", 63, 30) - ts.lowest("l", 63, 30) + 1e-8), "x55v": _v},
+        "043": {"a043": col("k43a") * col("k43b")},
+        "052": {"x52": _logs(21, 252), "y52": ts.log_ratio(ts.delay("min21l", 21), col("min21l")) * col("k52")},
+        "055": {"x55": (_c - col("low55")) / (col("high55") - col("low55") + 1e-8), "x55v": _v},
         "102": {"a102": F.ln(_c) - 2 * F.ln(ts.delay("c", 21)) + F.ln(ts.delay("c", 42))},
-        "103": {"a103": _c / (ts.highest("c", 252, 60) + 0.001) - 1},
+        "103": {"a103": _c / (col("high103") + 0.001) - 1},
         "104": {},
         "105": {"a105": _logs(21, 252)},
-        "110": {"a110": -ts.highest("dlr", 21)},
+        "110": {"a110": -col("high110")},
         "111": {"a111": -ts.skew("dlr", 63)},
         "112": {"a112": _logs(126, 252)},
         "113": {"a113": _logs(21, 126) / (ts.std("dlr", 126, 63) * math.sqrt(105) + 1e-8)},
@@ -90,15 +114,25 @@ def _second() -> dict[str, dict[str, Column]]:
 RANKED = {"002": ["x2a", "x2b"], "013": ["x13a", "x13b"], "016": ["x16a", "x13b"], "019": ["x252"], "028": ["x28a", "x28b"], "039": ["x39", "x252"], "040": ["x40"], "052": ["x52"], "055": ["x55", "x55v"]}
 
 
-def generate(panel: DataFrame, names: list[str] | None = None, prefix: str = "WQ_Alpha_") -> DataFrame:
-    """symbol, date and a column for each alpha; the 27 default ones unless named. Rows that is_liquid masks are not ranked, but stay."""
+def generate(panel: DataFrame, names: list[str] | None = None, prefix: str = "WQ_Alpha_", stored: bool = False) -> DataFrame:
+    """symbol, date and a column for each alpha; the 27 default ones unless named. Rows that is_liquid masks are not ranked, but stay.
+
+    stored: the rows are written after each stage, so that a lost executor repeats one stage, and no stage is planned with the expressions of those before it.
+    """
     names = names or DEFAULT
     col, mask = F.col, F.col("is_liquid")
-    a = lagged(panel).withColumns(_first())
+    keep = (lambda t, stage: saved(t, f"alphas-{stage}")) if stored else (lambda t, stage: t)
+    needed = {x for n in names for x in NEEDS.get(n, "").split()}
+    a = lagged(panel).withColumns({k: v for k, v in _first().items() if k in needed})
+    ordered = {k: v for n in names for k, v in _ordered().get(n, {}).items()}
+    if ordered:
+        a = kernel.along(a.withColumns({f"_{k}": x for k, (x, _) in ordered.items()}), {k: (f"_{k}", f) for k, (_, f) in ordered.items()}).drop(*(f"_{k}" for k in ordered))
+    a = keep(a, "lagged")
     extra = {k: v for n in names for k, v in _second()[n].items()}
     a = a.withColumns(extra) if extra else a
     if "115" in names:
         a = a.withColumn("a115", ts.mean("x115", 21, 10))
+    a = keep(a, "symbols")
     ranked = list(dict.fromkeys(x for n in names for x in RANKED.get(n, [])))
     b = {f"R_{x}": cs.rank(F.round(col(x), 10), mask) for x in ranked}
     if {"104", "202"} & set(names):
@@ -107,7 +141,7 @@ def generate(panel: DataFrame, names: list[str] | None = None, prefix: str = "WQ
         a = a.withColumns({f"R_{x}": cs.rank(F.round(col(x), 10), mask) for x in ("x39",)})
         b["R_039"] = cs.rank(F.round(col("r21") * (1 - col("R_x39")), 10), mask)
         b.pop("R_x39")
-    a = a.withColumns(b) if b else a
+    a = keep(a.withColumns(b), "dates") if b else a
     done = {n: col(f"a{n}") for n in names if f"a{n}" in a.columns}
     final = {
         "002": lambda: -ts.corr("R_x2a", "R_x2b", 21), "019": lambda: -F.signum("r21") * (1 + col("R_x252")), "028": lambda: col("R_x28a") + col("R_x28b"),

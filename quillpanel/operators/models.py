@@ -1,21 +1,20 @@
-"""Ranking models behind one registry: fit(train, test, features, parameters) gives the test rows with pred_score."""
+"""Ranking models behind one registry: fit(train, test, features, parameters) gives the test rows with pred_score. train and test have a column fold; features are named for each fold."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillpanel.functions import cs
-from quillpanel.operators.labels import by_date, with_qid
+from quillpanel.operators import boosting, lasso, recurrent
 
-Fit = Callable[[DataFrame, DataFrame, list[str], dict], DataFrame]
+Features = dict[int, list[str]]
+Fit = Callable[[DataFrame, DataFrame, Features, dict], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -36,178 +35,34 @@ def register(name: str, target: str, **parameters) -> Callable[[Fit], Fit]:
     return add
 
 
-def vectors(table: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(table)
-
-
-def _scored(table: DataFrame, drop: tuple = ()) -> DataFrame:
-    return table.withColumn("pred_score", F.col("prediction")).drop("_x", "_z", "prediction", *drop)
-
-
-@register("boosted_mse", "target_magnitude", depth=3, rounds=20, rate=0.1, subsample=0.7, seed=42)
-def boosted_mse(train: DataFrame, test: DataFrame, features: list[str], p: dict) -> DataFrame:
-    """Boosted trees on squared error; column sampling and L1/L2 penalties are not offered by the library."""
-    trees = GBTRegressor(featuresCol="_x", labelCol=p["target"], maxDepth=p["depth"], maxIter=p["rounds"], stepSize=p["rate"], subsamplingRate=p["subsample"], seed=p["seed"])
-    return _scored(trees.fit(vectors(train, features)).transform(vectors(test, features)))
-
-
-@register("linear", "target_magnitude", folds=5, penalties=8, span=1e-3)
-def linear(train: DataFrame, test: DataFrame, features: list[str], p: dict) -> DataFrame:
-    """Lasso on standardised features; its penalty is chosen over contiguous blocks of dates from a log-spaced path below the largest useful one."""
-    scale = StandardScaler(inputCol="_x", outputCol="_z", withMean=True).fit(vectors(train, features))
-    rows = scale.transform(vectors(train.where(F.col(p["target"]).isNotNull()), features)).drop("_x")
-    dates = rows.select("date").distinct()
-    n = dates.count()
-    block = dates.withColumn("_b", F.floor((F.row_number().over(by_date()) - 1) * p["folds"] / n).cast("int"))
-    rows = rows.join(F.broadcast(block), "date").select("_z", F.col(p["target"]).alias("_y"), "_b").cache()
-    mean = rows.agg(F.avg("_y")).first()[0] or 0.0
-    from pyspark.ml.functions import vector_to_array
-
-    z = vector_to_array("_z")
-    inner = rows.agg(*(F.avg(F.get(z, F.lit(i)) * (F.col("_y") - mean)) for i in range(len(features)))).first()
-    largest = max(max(abs(v or 0.0) for v in inner), 1e-12)
-    path = [largest * p["span"] ** (i / (p["penalties"] - 1)) for i in range(p["penalties"])]
-    lasso = lambda penalty: LinearRegression(featuresCol="_z", labelCol="_y", elasticNetParam=1.0, regParam=penalty, standardization=False)
-
-    def loss(penalty: float) -> float:
-        parts = [lasso(penalty).fit(rows.where(F.col("_b") != b)).transform(rows.where(F.col("_b") == b)) for b in range(p["folds"])]
-        return sum(part.agg(F.coalesce(F.sum(F.pow(F.col("prediction") - F.col("_y"), 2)), F.lit(0.0))).first()[0] for part in parts)
-
-    best = min(path, key=loss)
-    out = _scored(lasso(best).fit(rows).transform(scale.transform(vectors(test, features))))
-    rows.unpersist()
-    return out
-
-
-@register("ranked_trees", "target_magnitude", depth=3, rounds=5, rate=0.1, pairs=20, penalty=5.0, seed=42)
-def ranked_trees(train: DataFrame, test: DataFrame, features: list[str], p: dict) -> DataFrame:
-    """LambdaMART (Burges 2010): each round takes the pairs of a date that touch the current top, weighs their swap's change of NDCG (linear gain), and grows a tree on
-    the Newton steps. A date's rows are a cross-section, so they fit in a task."""
-    target, now = p["target"], "_s"
-    rows = vectors(train.where(F.col(target).isNotNull()), features).select("date", "symbol", "_x", F.col(target).alias("_y")).withColumn(now, F.lit(0.0))
-    out = vectors(test, features).withColumn(now, F.lit(0.0))
-
-    def slopes(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values(["_s", "symbol"], ascending=[False, True])
-        y, s, n = day["_y"].to_numpy(float), day["_s"].to_numpy(float), len(day)
-        top = min(p["pairs"], n)
-        discount = 1 / np.log2(np.arange(n) + 2)
-        ideal = max((np.sort(y)[::-1] * discount).sum(), 1e-12)
-        better = y[:top, None] - y[None, :]
-        rho = 1 / (1 + np.exp(np.sign(better) * (s[:top, None] - s[None, :])))
-        gain = np.abs(better * (discount[:top, None] - discount[None, :])) / ideal
-        gain[np.arange(n)[None, :] < np.arange(top)[:, None]] = 0  # each pair once
-        lam, hess = np.sign(better) * rho * gain, rho * (1 - rho) * gain
-        g, h = np.zeros(n), np.zeros(n)
-        g[:top] += lam.sum(axis=1)
-        h[:top] += hess.sum(axis=1)
-        g -= lam.sum(axis=0)
-        h += hess.sum(axis=0)
-        h += p["penalty"] / max(n, 1) * 1e-3
-        return pd.DataFrame({"date": day["date"], "symbol": day["symbol"], "_g": g / np.maximum(h, 1e-12), "_h": h})
-
-    schema = f"date {dict(rows.dtypes)['date']}, symbol {dict(rows.dtypes)['symbol']}, _g double, _h double"
-    for _ in range(p["rounds"]):
-        steps = rows.select("date", "symbol", "_y", now).groupBy("date").applyInPandas(slopes, schema)
-        grown = rows.join(steps, ["date", "symbol"])
-        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", weightCol="_h", maxDepth=p["depth"], seed=p["seed"]).fit(grown)
-        rows, out = (tree.transform(t).withColumn(now, F.col(now) + p["rate"] * F.col("prediction")).drop("prediction") for t in (rows, out))
-    return out.withColumn("pred_score", F.col(now)).drop("_x", now)
-
-
-def sequences(panel: DataFrame, features: list[str], length: int) -> DataFrame:
-    """_q: the last `length` rows of features of each symbol's row, its own included; NULL where there are fewer."""
-    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(-(length - 1), 0)
-    q = F.collect_list(F.array(*(F.col(c).cast("float") for c in features))).over(w)
-    return panel.withColumn("_q", F.when(F.size(q) == length, q))
-
-
-@register("recurrent_mse", "target_magnitude", length=10, hidden=8, rounds=6, rate=0.05, seed=42)
-def recurrent_mse(train: DataFrame, test: DataFrame, features: list[str], p: dict) -> DataFrame:
-    """An LSTM on each symbol's last rows. Rounds of distributed training: tasks take gradient steps from the same weights, and the results are averaged by rows.
-
-    Test rows see the end of the training rows; a short history gets the median prediction of the training rows, and 0 where nothing could be trained.
-    """
-    n, h, target = len(features), p["hidden"], p["target"]
-    stats = train.agg(*(F.avg(c) for c in features), *(F.stddev_samp(c) for c in features), F.avg(target), F.stddev_samp(target)).first()
-    mean, spread = np.array([v or 0.0 for v in stats[:n]]), np.array([v or 1.0 for v in stats[n : 2 * n]])
-    base, scale = stats[2 * n] or 0.0, stats[2 * n + 1] or 1.0
-    rng = np.random.default_rng(p["seed"])
-    weights = {"W": rng.normal(0, 0.3, (n + h, 4 * h)), "b": np.zeros(4 * h), "v": rng.normal(0, 0.3, h), "c": np.zeros(1)}
-    both = sequences(train.withColumn("_t", F.lit(0)).unionByName(test.withColumn("_t", F.lit(1)), allowMissingColumns=True), features, p["length"])
-    known = both.where((F.col("_t") == 0) & F.col("_q").isNotNull() & F.col(target).isNotNull()).select("_q", F.col(target).alias("y"))
-    size = int(sum(w.size for w in weights.values()))
-
-    def pack(w: dict) -> list[float]:
-        return np.concatenate([w[k].ravel() for k in sorted(w)]).tolist()
-
-    def unpack(flat) -> dict:
-        out, at = {}, 0
-        for k in sorted(weights):
-            out[k] = np.array(flat[at : at + weights[k].size]).reshape(weights[k].shape)
-            at += weights[k].size
-        return out
-
-    def run(w: dict, x: np.ndarray) -> tuple[np.ndarray, list]:
-        state, memory, trace = np.zeros((len(x), h)), np.zeros((len(x), h)), []
-        for t in range(x.shape[1]):
-            joined = np.concatenate([x[:, t], state], axis=1)
-            a = joined @ w["W"] + w["b"]
-            i, f, o, g = 1 / (1 + np.exp(-a[:, :h])), 1 / (1 + np.exp(-a[:, h : 2 * h] - 1)), 1 / (1 + np.exp(-a[:, 2 * h : 3 * h])), np.tanh(a[:, 3 * h :])
-            old, memory = memory, f * memory + i * g
-            state = o * np.tanh(memory)
-            trace.append((joined, i, f, o, g, old, memory))
-        return state @ w["v"] + w["c"][0], [state, trace]
-
-    def slope(w: dict, x: np.ndarray, y: np.ndarray) -> dict:
-        made, (state, trace) = run(w, x)
-        err = (made - y)[:, None] / len(y)
-        out = {"W": np.zeros_like(w["W"]), "b": np.zeros_like(w["b"]), "v": (state * err).sum(axis=0), "c": err.sum(axis=0)}
-        ds, dm = err * w["v"], np.zeros_like(state)
-        for joined, i, f, o, g, old, memory in reversed(trace):
-            tm = np.tanh(memory)
-            dm = dm + ds * o * (1 - tm * tm)
-            da = np.concatenate([dm * g * i * (1 - i), dm * old * f * (1 - f), ds * tm * o * (1 - o), dm * i * (1 - g * g)], axis=1)
-            out["W"] += joined.T @ da
-            out["b"] += da.sum(axis=0)
-            ds, dm = (da @ w["W"].T)[:, n:], dm * f
-        return out
-
-    def array(column: pd.Series) -> np.ndarray:
-        x = np.stack([np.stack([np.asarray(r, float) for r in q]) for q in column])
-        return np.nan_to_num((x - mean) / np.where(spread > 0, spread, 1))
-
-    spark = train.sparkSession
-    for _ in range(p["rounds"]):
-        shared = spark.sparkContext.broadcast(pack(weights))
-
-        def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            w, rows = unpack(shared.value), 0
-            for batch in batches:
-                x, y = array(batch["_q"]), (batch["y"].to_numpy(float) - base) / scale
-                for at in range(0, len(y), 64):
-                    for k, g in slope(w, x[at : at + 64], y[at : at + 64]).items():
-                        w[k] -= p["rate"] * np.clip(g, -1, 1)
-                rows += len(y)
-            if rows:
-                yield pd.DataFrame({"rows": [float(rows)], "w": [pack(w)]})
-
-        made = known.mapInPandas(steps, "rows double, w array<double>").select("rows", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("rows")) / F.sum("rows")).alias("x")).orderBy("i").collect()
-        if len(made) == size:
-            weights = unpack([r["x"] for r in made])
-    shared = spark.sparkContext.broadcast(pack(weights))
-
-    @F.pandas_udf("double")
-    def predict(column: pd.Series) -> pd.Series:
-        out = np.full(len(column), np.nan)
-        live = column.notna().to_numpy()
-        if live.any():
-            out[live] = run(unpack(shared.value), array(column[live]))[0] * scale + base
-        return pd.Series(out)
-
-    scored = both.withColumn("pred_score", F.nanvl(predict("_q"), F.lit(None).cast("double")))
-    middle = scored.where((F.col("_t") == 0) & F.col("pred_score").isNotNull()).agg(F.median("pred_score")).first()[0]
-    return scored.where("_t = 1").withColumn("pred_score", F.coalesce("pred_score", F.lit(float(middle or 0.0)))).drop("_t", "_q")
+def known(p: dict, kind: type) -> dict:
+    """Those of the parameters that a settings class has."""
+    return {k: v for k, v in p.items() if k in kind.__dataclass_fields__}
+
+
+@register("boosted_mse", "target_magnitude")
+def boosted_mse(train: DataFrame, test: DataFrame, features: Features, p: dict) -> DataFrame:
+    """Boosted trees on squared error."""
+    return boosting.predict(test, boosting.fit(train, features, p["target"], boosting.Settings(**(known(p, boosting.Settings) | {"loss": "squared"}))), features)
+
+
+@register("ranked_trees", "target_magnitude")
+def ranked_trees(train: DataFrame, test: DataFrame, features: Features, p: dict) -> DataFrame:
+    """Boosted trees on the pairwise gradients of NDCG, date by date."""
+    return boosting.predict(test, boosting.fit(train, features, p["target"], boosting.Settings(**(known(p, boosting.Settings) | {"loss": "ndcg"}))), features)
+
+
+@register("linear", "target_magnitude", folds=5, penalties=100, span=1e-3)
+def linear(train: DataFrame, test: DataFrame, features: Features, p: dict) -> DataFrame:
+    """Lasso on standardised features; its penalty is chosen over contiguous blocks of rows from a log-spaced path below the largest useful one."""
+    return lasso.predict(test, lasso.fit(train, features, p["target"], p["folds"], p["penalties"], p["span"]))
+
+
+@register("recurrent_mse", "target_magnitude")
+def recurrent_mse(train: DataFrame, test: DataFrame, features: Features, p: dict) -> DataFrame:
+    """An LSTM on each symbol's last rows."""
+    settings = recurrent.Settings(**known(p, recurrent.Settings))
+    return recurrent.predict(train, test, recurrent.fit(train, features, p["target"], settings), features, settings)
 
 
 def combine(panel: DataFrame, features: list[str], target: str, window: int | None = 40, lag: int = 22, ic_least: float = 0.02, ir_least: float = 0.2, most: int = 10, penalty: float = 1.0) -> DataFrame:
@@ -262,13 +117,25 @@ def combine(panel: DataFrame, features: list[str], target: str, window: int | No
 
 
 @register("combined_factors", "next_1m_ret", window=40, lag=22)
-def combined_factors(train: DataFrame, test: DataFrame, features: list[str], p: dict) -> DataFrame:
-    """combine() over a fold's own dates, training and test together; positions are the fold's."""
-    both = train.withColumn("_t", F.lit(0)).unionByName(test.withColumn("_t", F.lit(1)), allowMissingColumns=True)
-    return combine(both, features, p["target"], p["window"], p["lag"]).where("_t = 1").drop("_t")
+def combined_factors(train: DataFrame, test: DataFrame, features: Features, p: dict) -> DataFrame:
+    """combine() over each fold's own dates, training and test together; positions are the fold's."""
+    made = None
+    for f, mine in features.items():
+        both = train.where(F.col("fold") == f).withColumn("_t", F.lit(0)).unionByName(test.where(F.col("fold") == f).withColumn("_t", F.lit(1)), allowMissingColumns=True)
+        one = combine(both, mine, p["target"], p["window"], p["lag"]).where("_t = 1").drop("_t")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+def fit_predict_folds(name: str, train: DataFrame, test: DataFrame, features: Features, **parameters) -> DataFrame:
+    """Both tables have a column fold, so a row may stand in several folds of train. All folds are fitted together; test rows come back with pred_score and their fold's qid."""
+    model = REGISTRY[name]
+    p = {"target": model.target} | model.parameters | parameters
+    made = model.fit(train, test, features, p).drop("qid")
+    days = made.select("fold", "date").distinct()
+    days = days.withColumn("qid", (F.row_number().over(Window.partitionBy("fold").orderBy("date")) - 1).cast("int"))
+    return made.join(F.broadcast(days), ["fold", "date"])
 
 
 def fit_predict(name: str, train: DataFrame, test: DataFrame, features: list[str], **parameters) -> DataFrame:
-    model = REGISTRY[name]
-    p = {"target": model.target} | model.parameters | parameters
-    return with_qid(model.fit(train, test, features, p).drop("qid"))
+    return fit_predict_folds(name, train.withColumn("fold", F.lit(0)), test.withColumn("fold", F.lit(0)), {0: features}, **parameters).drop("fold")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quillpanel.functions import cs
 from quillpanel.operators import metrics, models, selection, simulation, statistics
 from quillpanel.operators.features import fold_liquid
-from quillpanel.operators.folds import Expanding, Rolling, Windows, date_index, fold_table
+from quillpanel.operators.folds import Expanding, Rolling, Windows, assign, date_index, fold_table
+from quillpanel.sources.market import saved
 
 
 def choose_features(train: DataFrame, features: list[str], target: str, threshold: float | None = 0.02, prune_at: float | None = None, groups: list[list[str]] | None = None) -> list[str]:
@@ -26,33 +27,45 @@ def choose_features(train: DataFrame, features: list[str], target: str, threshol
 
 def walk_forward(
     panel: DataFrame, features: list[str], model: str, initial: int = 756, gap: int = 21, ratio: float = 0.8, expanding: bool = False, adtv_limit: float | None = None,
-    threshold: float | None = None, prune_at: float | None = None, groups: list[list[str]] | None = None, ret: str = "next_1m_ret", k: int = 20, parallel: int = 2, **parameters,
+    threshold: float | None = None, prune_at: float | None = None, groups: list[list[str]] | None = None, ret: str = "next_1m_ret", k: int = 20, parallel: int = 4, **parameters,
 ) -> tuple[DataFrame, DataFrame]:
     """All folds' test rows with pred_score, qid and pred_quintile, and a row for each fold: fold_index, test_start, test_end, ndcg, precision, excess.
 
-    Folds do not depend on each other; some are run at a time from driver threads, over one feature table.
+    The feature table is written once. Folds are chosen features for by a few driver threads, and fitted together: a model's passes go over the training rows of all folds.
     """
     windows: Windows = (Expanding if expanding else Rolling)(initial, gap, ratio)
     target = parameters.get("target", models.REGISTRY[model].target)
-
-    def one(fold) -> tuple[DataFrame, DataFrame]:
-        train, test = panel.where(F.col("date").between(fold["train_lo"], fold["train_hi"])), panel.where(F.col("date").between(fold["test_lo"], fold["test_hi"]))
-        if adtv_limit is not None:
-            train, test = fold_liquid(train, adtv_limit), fold_liquid(test, adtv_limit)
-        used = choose_features(train, features, target, threshold, prune_at, groups) if threshold is not None or prune_at is not None else features
-        made = models.fit_predict(model, train, test, used, **parameters).withColumn("fold_index", F.lit(fold["fold"]))
-        made = made.withColumn("pred_quintile", cs.bucket(F.col("symbol"), F.round("pred_score", 10), 5))
-        return made, score(made, target, ret, k).select(F.lit(fold["fold"]).alias("fold_index"), F.lit(fold["test_lo"]).alias("test_start"), F.lit(fold["test_hi"]).alias("test_end"), "*")
-
+    panel = saved(panel, "walk-forward-panel")
     folds = fold_table(panel, windows).orderBy("fold").collect()
     if not folds:
         raise ValueError("the panel has too few dates for a fold")
+    spark = panel.sparkSession
+    table = spark.createDataFrame(folds, "fold int, train_lo date, train_hi date, test_lo date, test_hi date")
+    both = assign(panel, table)
+    if adtv_limit is not None:
+        both = fold_liquid(both, adtv_limit)
+    train, test = (both.where(F.col("part") == part).drop("part") for part in ("train", "test"))
+
+    def used(f: int) -> list[str]:
+        if threshold is None and prune_at is None:
+            return features
+        return choose_features(train.where(F.col("fold") == f), features, target, threshold, prune_at, groups)
+
     with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(one, folds))
-    tables, scores = done[0]
-    for t, s in done[1:]:
-        tables, scores = tables.unionByName(t), scores.unionByName(s)
-    return tables, scores
+        chosen = dict(zip((r["fold"] for r in folds), pool.map(used, (r["fold"] for r in folds)), strict=True))
+    made = models.fit_predict_folds(model, train, test, chosen, **parameters)
+    made = made.withColumn("pred_quintile", cs.bucket(F.col("symbol"), F.round("pred_score", 10), 5, Window.partitionBy("fold", "date"))).withColumnRenamed("fold", "fold_index")
+    return made, fold_scores(made, table, target, ret, k)
+
+
+def fold_scores(made: DataFrame, folds: DataFrame, label: str, ret: str, k: int) -> DataFrame:
+    """A row for each fold: its test dates and the means of its days' NDCG, precision and excess return. Test windows don't overlap, so a date tells its fold."""
+    rows = made.where(F.col(label).isNotNull())
+    days = made.select("date", "fold_index").distinct()
+    out = folds.select(F.col("fold").alias("fold_index"), F.col("test_lo").alias("test_start"), F.col("test_hi").alias("test_end"))
+    for daily, name in ((metrics.ndcg(rows, "pred_score", label), "ndcg"), (metrics.precision_at_k(rows, "pred_score", ret, k), "precision"), (metrics.topk_excess(rows, "pred_score", ret, k), "excess")):
+        out = out.join(F.broadcast(daily.join(days, "date").groupBy("fold_index").agg(F.avg(name).alias(name))), "fold_index", "left")
+    return out
 
 
 def score(table: DataFrame, label: str, ret: str, k: int = 20) -> DataFrame:

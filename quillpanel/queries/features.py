@@ -159,5 +159,5 @@ _CATALOGUE += f" FROM a{alphas.DEFAULT[0]}" + "".join(f" JOIN a{n} USING (symbol
 @query("alpha_catalogue", _CATALOGUE)
 def alpha_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All default alphas together."""
-    table = alphas.generate(walk_panel(spark, sf_dir))
+    table = alphas.generate(walk_panel(spark, sf_dir), stored=True)
     return rounded(table, [c for c in table.columns if c.startswith("WQ_Alpha_")])

@@ -32,6 +32,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def saved(table: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: the rows are written to the shared folder and read again."""
+    path = shared_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def store(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet in folders by year, so that date filters prune them."""
     panel.withColumn("year", F.year("date")).repartition("year").sortWithinPartitions("symbol", "date").write.mode(mode).partitionBy("year").parquet(path)
