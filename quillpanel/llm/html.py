@@ -1,13 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-The markup is stripped to one line for each block; containers of menus, adverts, forms and the like go with it. A line weighs what it has of characters outside links,
-more inside a page's article. Sums of the weights over sliding windows of lines surge where the main text begins and dive where it ends; the text between is kept, with
-the lines that adjoin it.
+The markup is stripped to one line for each block; containers of menus, adverts, forms and the like go with it. A line weighs what it has of characters outside links, a
+heading all of its characters. Sums of the weights over sliding windows of lines surge where the main text begins and dive where it ends; the text between is kept, with
+the lines that adjoin it. Articles, main parts and the rest are zones, each with a surge and a dive of its own: an article begins and ends with its first and last line that is
+more than links, other zones must reach a share of the page's heaviest window.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -46,6 +48,7 @@ _PLAIN = frozenset(
     " links list main module outer page panel post primary region right row secondary section simple site small sticky sub text the title top user view wrap wrapper".split()
 )
 _WHOLE = frozenset("html body main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: How much a character weighs inside an article, inside main alone, and outside both.
 WEIGHTS = {"article": 16, "main": 4, "": 1}
 
@@ -60,7 +63,7 @@ class Line:
 
     @property
     def weight(self) -> int:
-        return WEIGHTS[self.kind] * (len(self.text) if self.kind == "article" else self.plain)
+        return WEIGHTS[self.kind] * self.plain
 
 
 def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
@@ -73,9 +76,10 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     if _HIDDEN.search(attributes):
         return True
     for m in _NAMED.finditer(attributes):
+        topic = tag == "article" or (inside and m[0][:2].lower() == "id")  # an id inside an article names what a section is about
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             parts = {x for x in _PART.findall(name) if len(x) > 1}
-            marks = (_TALK if tag == "article" else _TALK | _MARKS) & parts
+            marks = (_TALK if topic else _TALK | _MARKS) & parts
             if parts <= _MARKS | _TALK | _PLAIN and (marks or ("header" in parts and tag != "article" and not inside)):
                 return True
     return False
@@ -85,9 +89,10 @@ def lines(page: str) -> list[Line]:
     """Each block that holds text, in page order. Dropped containers give none."""
     out: list[Line] = []
     stack: list[str] = []
+    opened: Counter[str] = Counter()  # how often each tag is on the stack
     parts: list[str] = []
     inside = {"article": 0, "main": 0}
-    dropped, linked, in_link, last, zone, run = 0, 0, 0, 0, 0, 0  # dropped: height of the stack at which the outermost dropped container stands
+    dropped, linked, in_link, in_heading, last, zone, run = 0, 0, 0, 0, 0, 0, 0  # dropped: height of the stack at which the outermost dropped container stands
 
     def kind() -> str:
         return "article" if inside["article"] else "main" if inside["main"] else ""
@@ -107,12 +112,17 @@ def lines(page: str) -> list[Line]:
             inside[tag] += step
             zone += kind() != before or (tag == "article" and inside["article"] == 1 and step > 0)
 
-    def pop(height: int) -> None:
-        nonlocal dropped, in_link
-        for tag in stack[height:]:
+    def pop(last_tag: str) -> None:
+        """Closes what stands above the tag's last opening, and that."""
+        nonlocal dropped, in_link, in_heading
+        while True:
+            tag = stack.pop()
+            opened[tag] -= 1
             entered(tag, -1)
             in_link -= tag == "a"
-        del stack[height:]
+            in_heading -= tag in _HEADINGS
+            if tag == last_tag:
+                break
         if dropped > len(stack):
             dropped = 0
 
@@ -120,7 +130,7 @@ def lines(page: str) -> list[Line]:
         if m.start() > last and not dropped:
             text = unescape(page[last : m.start()])
             parts.append(text)
-            linked += len(text) if in_link else 0
+            linked += len(text) if in_link and not in_heading else 0
         last = m.end()
         tag = (m[3] or "").lower()
         if not tag:
@@ -128,17 +138,19 @@ def lines(page: str) -> list[Line]:
         if tag in _BLOCKS:
             close()
         if m[2]:
-            if tag in stack:
-                pop(len(stack) - 1 - stack[::-1].index(tag))
+            if opened[tag]:
+                pop(tag)
             continue
         if tag in _VOID or m[4].endswith("/"):
             continue
         if tag in ("p", "li", "a", "td", "tr") and stack and stack[-1] == tag:
-            pop(len(stack) - 1)
+            pop(tag)
         held = bool(kind())
         stack.append(tag)
+        opened[tag] += 1
         entered(tag, 1)
         in_link += tag == "a"
+        in_heading += tag in _HEADINGS
         if not dropped and _boilerplate(tag, m[4], held):
             dropped, run = len(stack), run + 1
     if last < len(page) and not dropped:
@@ -158,17 +170,19 @@ def surge_and_dive(weights: np.ndarray, window: int, least: float) -> tuple[int,
 
 
 def main_text(page: str | None, window: int = 3, share: float = 0.3) -> str:
-    """In each zone, the lines from the first window that holds `share` of the page's heaviest one to the last, and those that adjoin them.
+    """In each zone, the lines from the surge to the dive of its window sums, and those that adjoin them.
 
-    An article or main adjoins as a whole; elsewhere lines do that have text outside links and no dropped container between. Windows don't reach over a zone's ends.
+    In an article the sums surge and dive with its first and last line that has text outside links (a heading's count), however short it is beside the rest of the page; an
+    article of links alone has none. Elsewhere a window must reach `share` of the page's heaviest one, and lines adjoin that have text outside links and no dropped container
+    between; main adjoins as a whole. Windows don't reach over a zone's ends.
     """
     zones = [list(z) for _, z in itertools.groupby(lines(page or ""), key=lambda line: line.zone)]
     weights = [np.array([line.weight for line in z], float) for z in zones]
     heaviest = max((np.convolve(w, np.ones(window)).max() for w in weights), default=0)
     kept: list[str] = []
     for zone, w in zip(zones, weights, strict=True):
-        begin, end = surge_and_dive(w, window, max(1.0, share * heaviest))
-        if begin < end and zone[0].kind:
+        begin, end = surge_and_dive(w, window, 1.0 if zone[0].kind == "article" else max(1.0, share * heaviest))
+        if begin < end and zone[0].kind == "main":
             begin, end = 0, len(zone)
         while 0 < begin < end and zone[begin - 1].plain and zone[begin - 1].run == zone[begin].run:
             begin -= 1

@@ -74,6 +74,53 @@ TEMPLATES = {
         " software. 3. This notice may not be removed or altered from any source distribution."
     ],
 }
+_CC = (
+    "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution{0} 4.0 International Public License (\"Public License\"). "
+    "To the extent this Public License may be interpreted as a contract, You are granted the Licensed Rights in consideration of Your acceptance of these terms and conditions, and the Licensor grants You such "
+    "rights in consideration of benefits the Licensor receives from making the Licensed Material available under these terms and conditions."
+)
+#: Opening paragraphs of long licence texts, by which a file that holds one whole is known.
+BODIES = {
+    "AGPL-3.0": [
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    ],
+    "Apache-2.0": [
+        '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.',
+        "2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable"
+        " copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    ],
+    "CC-BY-4.0": [_CC.format("")],
+    "CC-BY-NC-4.0": [_CC.format("-NonCommercial")],
+    "CC-BY-SA-4.0": [_CC.format("-ShareAlike")],
+    "CC0-1.0": [
+        'The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an'
+        ' original work of authorship and/or a database (each, a "Work").',
+    ],
+    "GPL-2.0": [
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free"
+        " software--to make sure the software is free for all its users. This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to"
+        " using it. (Some other Free Software Foundation software is covered by the GNU Lesser General Public License instead.) You can apply it to your programs, too.",
+    ],
+    "GPL-3.0": [
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your"
+        " freedom to share and change all versions of a program--to make sure it remains free software for all its users. We, the Free Software Foundation, use the GNU General Public License for most of our"
+        " software; it applies also to any other work released this way by its authors. You can apply it to your programs, too.",
+    ],
+    "LGPL-2.1": [
+        "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it. You"
+        " can use it too, but we suggest you first think carefully about whether this license or the ordinary General Public License is the better strategy to use in any particular case, based on the explanations below.",
+    ],
+    "LGPL-3.0": [
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    ],
+    "MPL-2.0": [
+        'means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.',
+        'means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor\'s Contribution.',
+    ],
+}
+for _name, _texts in BODIES.items():
+    TEMPLATES[_name] += _texts
 for _name in _SPDX.split():
     TEMPLATES[_name.removesuffix("-or-later")].append(f"SPDX-License-Identifier: {_name}")
 _FILE = re.compile(r"(?:^|/)(?:licen[sc]e|copying|notice)[^/]*$", re.I)

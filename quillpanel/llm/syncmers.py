@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers: runs of k characters whose smallest inner run of s characters lies at an edge.
 
-Whether a run is chosen depends on its own characters only, so texts that share a passage share its anchors, wherever it stands. A fingerprint holds the anchors whose
-hash is below a bound, with their positions, so it grows with the text; two fingerprints are matched by anchors that follow in the same order in both.
+Whether a run is chosen depends on its own characters only, so texts that share a passage share its anchors, wherever it stands. A fingerprint holds all anchors with
+their positions, so it grows with the text; two fingerprints are matched by anchors that follow in the same order in both. Of any k - s + 1 runs that follow each other
+one at least is an anchor, so no step between two is longer; a text's first and last run are anchors too. So a change of one character always changes an anchor.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def _rolled(signs: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(texts: list[str], k: int = 16, s: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Positions and hashes of each text's closed syncmers. A text without one (fewer than k characters, mostly) has one anchor of all its characters, an empty one none."""
+    """Positions and hashes of each text's closed syncmers, and of its first and last k characters, near which no syncmer need lie. A text without one (fewer than k characters, mostly) has one anchor of all its characters, an empty one none."""
     lengths = np.array([len(t) for t in texts], np.int64)
     signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(lengths)
@@ -44,6 +45,8 @@ def anchors(texts: list[str], k: int = 16, s: int = 5) -> list[tuple[np.ndarray,
             least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
         n = len(least)
         at = np.flatnonzero((inner[:n] == least) | (inner[w - 1 : w - 1 + n] == least))
+        long = lengths >= k
+        at = np.union1d(at, np.concatenate(((ends - lengths)[long], (ends - k)[long])))
         owner = np.searchsorted(ends, at, side="right")
         whole = at + k <= ends[owner]
         at, owner = at[whole], owner[whole]
@@ -66,26 +69,30 @@ def anchors(texts: list[str], k: int = 16, s: int = 5) -> list[tuple[np.ndarray,
     return out
 
 
-def fingerprint(position: np.ndarray, hashes: np.ndarray, share: int = 4, least: int = 32) -> np.ndarray:
-    """Rows (position, upper half of the hash) of the anchors below a bound, in order; the first row holds the bound. None for an empty text.
-
-    The bound lets one of `share` anchors through, whatever the text, and where that leaves less than `least` different ones it is the `least`-th smallest hash, or the largest number.
-    """
-    high = (hashes >> np.uint64(32)).astype(np.uint32)
-    if not len(high):
-        return np.zeros((0, 2), np.uint32)
-    some = np.unique(high)
-    bound = max(0xFFFFFFFF // share, int(some[least - 1]) if len(some) >= least else 0xFFFFFFFF)
-    kept = high <= bound
-    return np.concatenate(([[0, bound]], np.stack([position[kept], high[kept]], axis=1))).astype(np.uint32)
+def fingerprint(position: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Rows (position, upper half of the hash) of all anchors, in order. None for an empty text."""
+    return np.stack([position, (hashes >> np.uint64(32)).astype(np.int64)], axis=1).astype(np.uint32)
 
 
 def to_text(found: np.ndarray) -> str:
-    return found.astype(">u4").tobytes().hex()
+    """Hexadecimal: a byte for the step from each anchor to the next (255 and four bytes more for a longer one), then four bytes for each hash."""
+    steps = np.diff(found[:, 0].astype(np.int64), prepend=0)
+    if (steps < 255).all():
+        head = steps.astype(np.uint8).tobytes()
+    else:
+        head = b"".join(bytes([x]) if x < 255 else b"\xff" + x.to_bytes(4, "big") for x in steps.tolist())
+    return (head + found[:, 1].astype(">u4").tobytes()).hex()
 
 
 def from_text(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), ">u4").astype(np.uint32).reshape(-1, 2)
+    data, at, steps = bytes.fromhex(text), 0, []
+    while len(data) - at > 4 * len(steps):
+        step = data[at]
+        at += 1
+        if step == 255:
+            step, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        steps.append(step)
+    return np.stack([np.cumsum(np.array(steps, np.int64)), np.frombuffer(data, ">u4", len(steps), at).astype(np.int64)], axis=1).astype(np.uint32)
 
 
 def _numbered(high: np.ndarray) -> np.ndarray:
@@ -98,11 +105,9 @@ def _numbered(high: np.ndarray) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of anchors (Dice), below the lower of the two bounds, that match: the longest run of equal hashes whose positions rise in both texts. Two empty texts are alike."""
+    """The share of anchors (Dice) that match: the longest run of equal hashes whose positions rise in both texts. Two empty texts are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    bound = min(a[0, 1], b[0, 1])
-    a, b = a[1:][a[1:, 1] <= bound], b[1:][b[1:, 1] <= bound]
     if len(a) == len(b) and (a[:, 1] == b[:, 1]).all():
         return 1.0
     _, i, j = np.intersect1d(_numbered(a[:, 1]), _numbered(b[:, 1]), assume_unique=True, return_indices=True)

@@ -3,7 +3,9 @@
 import hashlib
 import itertools
 import math
+import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -158,11 +160,72 @@ def test_html_pages_without_an_article():
     want = "\n".join([*short, long.strip(), *short])
     assert html.main_text(f"<nav>menu</nav><div>{body}</div><footer>f</footer>") == want
     assert html.main_text(f"<div>Welcome</div><nav>menu</nav><h1>Title</h1><div>{body}</div><form>x</form><div>Some company</div>").endswith(want + "\nSome company") is False
-    teasers = "".join(f"<article><p>teaser {i}</p></article>" for i in range(3))
-    assert html.main_text(f"<div>{body}</div><aside>a</aside>{teasers}") == want  # articles add weight, they don't decide
+    teasers = "".join(f"<article><p><a href=x>teaser {i}</a></p></article>" for i in range(3))
+    assert html.main_text(f"<div>{body}</div><aside>a</aside>{teasers}") == want  # articles of links alone are none
     assert html.main_text(f"<div><p>intro</p></div><article><p>{long}</p><p>end</p></article><div>outside</div>") == f"{long.strip()}\nend"
 
 
+def test_html_articles_are_never_lost():
+    other = "word " * 250
+    assert html.main_text(f"<article><p>Short.</p></article><div>{other}</div>").split("\n")[0] == "Short."
+    assert html.main_text("<article><p>a</p><section id='search'><p>b</p></section><section class='comments'><p>c</p></section><p>d</p></article>") == "a\nb\nd"
+    assert html.main_text("<article><ul><li><a>share</a></li><li><a>print</a></li></ul><h1><a>Title</a></h1><p>x</p><p><a>y</a></p><p>z</p><p><a>tweet</a></p></article>") == "Title\nx\ny\nz"
+
+
+def test_html_deep_nesting_takes_linear_time():
+    began = time.time()
+    for page in ("<div>" * 100_000 + "</span>" * 100_000 + "x", "<div>" * 100_000 + "x" + "</div>" * 100_000, "<div><b>" * 50_000 + "x" + "</b></div>" * 50_000):
+        assert html.main_text(page) == "x"
+    assert time.time() - began < 6
+
+
+def plain_main_text(zones, window=3, share=0.3):
+    """The rule on zones of (kind, [(text, characters outside links, run)]), by its words."""
+    weigh = {"article": 16, "main": 4, "": 1}
+    sums = lambda w, i: sum(w[max(i, 0) : i + window])
+    heaviest = max((sums([weigh[k] * p for _, p, _ in z], i) for k, z in zones for i in range(len(z))), default=0)
+    out = []
+    for kind, z in zones:
+        w = [weigh[kind] * p for _, p, _ in z]
+        least = 1 if kind == "article" else max(1, share * heaviest)
+        begin = next((i for i in range(len(z)) if w[i] and sum(w[i : i + window]) >= least), None)
+        end = next((i for i in reversed(range(len(z))) if w[i] and sum(w[max(0, i - window + 1) : i + 1]) >= least), None)
+        if begin is None or end is None or begin > end:
+            continue
+        if kind == "main":
+            begin, end = 0, len(z) - 1
+        while begin and z[begin - 1][1] and z[begin - 1][2] == z[begin][2]:
+            begin -= 1
+        while end + 1 < len(z) and z[end + 1][1] and z[end + 1][2] == z[end][2]:
+            end += 1
+        out += [t for t, _, _ in z[begin : end + 1]]
+    return "\n".join(out)
+
+
+def test_html_equals_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        page, zones, run, count = "", [], 0, 0
+        for _ in range(rng.integers(1, 5)):
+            kind = str(rng.choice(["article", "main", ""]))
+            made, lines = "", []
+            for _ in range(rng.integers(1, 7)):
+                if rng.random() < 0.2:
+                    made, run = made + "<nav><p>menu</p></nav>", run + 1
+                    continue
+                count += 1
+                text = f"line {count} " + "w" * int(rng.integers(1, 60) if rng.random() < 0.7 else 400)
+                linked = rng.random() < 0.3
+                made += f"<p><a href=x>{text}</a></p>" if linked else f"<p>{text}</p>"
+                lines.append((text, 0 if linked else len(text), run))
+            page += f"<{kind}>{made}</{kind}>" if kind else f"<div>{made}</div>"
+            if kind or not zones or zones[-1][0]:
+                zones.append((kind, lines))
+            else:
+                zones[-1][1].extend(lines)
+        assert html.main_text(page) == plain_main_text([z for z in zones if z[1]]), page
+
+
 def test_surge_and_dive_equals_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(300):
@@ -398,6 +461,18 @@ def test_licence_headers_and_files(spark):
     assert scanner.scan("MIT License\n\nCopyright (c) 2020 A. Body\n\n" + textwrap.fill(mit, 78))[2] > 0.95 and scanner.scan(code)[0] is None
 
 
+def test_whole_licence_files(spark):
+    """Licence files as they are shipped, where this machine has them."""
+    folder, named = "/usr/share/common-licenses", {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    there = [n for n in named if os.path.exists(f"{folder}/{n}")]
+    if not there:
+        pytest.skip("no licence files here")
+    rows = [(i, f"p{i}/LICENSE", open(f"{folder}/{n}", encoding="utf-8").read()) for i, n in enumerate(there)] + [(100 + i, f"p{i}/src/a.py", "x = 1") for i in range(len(there))]
+    out = {r["key"]: r for r in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    for i, n in enumerate(there):
+        assert (out[i]["license"], out[i]["basis"]) == (named[n], "file") and (out[100 + i]["license"], out[100 + i]["basis"]) == (named[n], "inherited")
+
+
 def test_licence_passages_equal_brute_force(spark, sf):
     """Cosines over every passage, word by word, and inheritance by walking up the directories."""
     rows = [(r["doc_id"], "/".join([r["source"] or "x", r["lang"] or "y", f"{r['doc_id'] % 5}", f"{r['doc_id']}.txt"]), r["text"]) for r in docs_of(spark, sf).collect()]
@@ -580,28 +655,23 @@ def plain_anchors(text, k=16, s=5):
         return mixed(x)
 
     inner = [hashed(text[i : i + s]) for i in range(len(text) - s + 1)]
-    found = [(i, hashed(text[i : i + k])) for i in range(len(text) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+    found = [(i, hashed(text[i : i + k])) for i in range(len(text) - k + 1) if i in (0, len(text) - k) or min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
     return found or [(0, hashed(text))] * bool(text)
 
 
 def plain_fingerprint_of(text):
-    found = [(i, h >> 32) for i, h in plain_anchors(text)]
-    some = sorted({h for _, h in found})
-    bound = max((2**32 - 1) // 4, some[31] if len(some) > 31 else 2**32 - 1)
-    return (bound, [(i, h) for i, h in found if h <= bound]) if found else None
+    return [(i, h >> 32) for i, h in plain_anchors(text)]
 
 
 def plain_likeness(a, b):
     if not a or not b:
         return float(a == b)
-    bound = min(a[0], b[0])
     chains, sides = [], []
-    for _, found in (a, b):
+    for found in (a, b):
         seen, side = Counter(), {}
         for i, h in found:
-            if h <= bound:
-                side[h, seen[h]] = i
-                seen[h] += 1
+            side[h, seen[h]] = i
+            seen[h] += 1
         sides.append(side)
     pairs = sorted((i, sides[1][key]) for key, i in sides[0].items() if key in sides[1])
     for n, (_, y) in enumerate(pairs):
@@ -621,7 +691,8 @@ def test_syncmers_equal_brute_force(spark):
         g, made = got[r["doc_id"]], plain_fingerprint_of(edited)
         assert g["n_chars"] == len(r["text"]) and g["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         for text, want in ((g["fingerprint"], prints[n]), (g["edited_fingerprint"], made)):
-            assert text == "".join(f"{i:08x}{h:08x}" for i, h in [(0, want[0]), *want[1]])
+            steps = [y - x for x, y in zip([0, *(i for i, _ in want)], (i for i, _ in want), strict=False)]
+            assert text == "".join(f"{x:02x}" for x in steps) + "".join(f"{h:08x}" for _, h in want)
         assert g["near_edited"] == pytest.approx(plain_likeness(prints[n], made)) and g["near_next"] == pytest.approx(plain_likeness(prints[n], prints[(n + 1) % len(rows)]))
     assert np.median([r["near_edited"] for r in got.values()]) > 0.6 and np.median([r["near_next"] for r in got.values()]) < 0.05
 
@@ -638,6 +709,20 @@ def test_syncmers_see_order_and_passages():
     assert all((syncmers.from_text(syncmers.to_text(p)) == p).all() for p in prints)
 
 
+def test_a_changed_word_always_shows():
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghijklm"), rng.integers(2, 9))) for _ in range(900)]
+    for n in (40, 400):
+        for _ in range(100):
+            text = [words[i] for i in rng.integers(0, 900, n)]
+            other = list(text)
+            other[rng.integers(0, n)] = "zz"
+            a, b = (syncmers.fingerprint(p, h) for p, h in syncmers.anchors([" ".join(text), " ".join(other)]))
+            assert 0 < syncmers.likeness(a, b) < 1
+    far = np.array([[300, 5], [301, 2**32 - 1], [70_000, 0]], np.uint32)
+    assert (syncmers.from_text(syncmers.to_text(far)) == far).all() and len(syncmers.from_text("")) == 0
+
+
 def test_syncmers_split_an_id_of_many_rows(spark):
     lowest = -(2**63)
     rows = [(7, f"text {i} of one id, with its own words {i * i}") for i in range(300)] + [(i, f"other {i}") for i in range(20)] + [(None, "none"), (lowest, "lowest")]
