@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,8 +96,10 @@ def regime_islands(days: DataFrame, column: str) -> DataFrame:
 def outlier_report(values: DataFrame, x: str, share: float = 0.01) -> DataFrame:
     """One row: n, mean, std, min, p1, p99, max and the share of variance that the most extreme values hold."""
     v = values.where(F.col(x).isNotNull())
-    stats = v.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, F.lit(0.01)).alias("p1"), F.percentile(x, F.lit(0.99)).alias("p99"), F.max(x).alias("max"))
+    stats = v.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
     n, mean = stats.select("n", "mean").first()
+    p1, p99 = (percentile(v, x, q, n) for q in (0.01, 0.99))
+    stats = stats.select("n", "mean", "std", "min", F.lit(p1).cast("double").alias("p1"), F.lit(p99).cast("double").alias("p99"), "max")
     dev = v.select(F.pow(F.col(x) - F.lit(mean), 2).alias("d"))
     k = max(1, int(n * share))
     least = nth_largest(dev, "d", k)
@@ -123,6 +127,15 @@ def nth_largest(values: DataFrame, x: str, n: int, buckets: int = 4096, few: int
     return values.where(F.col(x).between(lo, hi)).orderBy(F.desc(x)).limit(n).agg(F.min(x)).first()[0]
 
 
+def percentile(values: DataFrame, x: str, share: float, n: int) -> float | None:
+    """Between the two values of n that the share falls between, in proportion."""
+    if not n:
+        return None
+    at = share * (n - 1)
+    low, up = (nth_largest(values, x, n - k) for k in (math.floor(at), math.ceil(at)))
+    return low + (up - low) * (at - math.floor(at))
+
+
 def model_ranking(table: DataFrame, metrics: dict[str, bool]) -> DataFrame:
     """(model, average_rank) over the metrics; True where more is better. Metrics are rounded first: the last bit of an average depends on the order of its rows. A table of models is tiny."""
     one = Window.partitionBy(F.lit(0))

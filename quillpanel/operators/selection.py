@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +77,47 @@ def prune(ir: dict[str, float], rho: dict[tuple[str, str], float], groups: list[
 
 def correlations(panel: DataFrame, features: list[str]) -> dict[tuple[str, str], float]:
     return {(r["a"], r["b"]): r["rho"] for r in spearman_matrix(panel, features).collect()}
+
+
+def permuted(panel: DataFrame, features: list[str], seed: int = 42) -> DataFrame:
+    """panel once as it is (feature NULL) and once for each feature, with that feature's values shuffled within each date.
+
+    The shuffle orders a date's rows by a hash of (symbol, feature, seed) and hands the k-th row of that order the value of the k-th row by symbol. All features are shuffled in
+    one aggregation by date; a date's cross-section fits in a task.
+    """
+    others = [c for c in panel.columns if c not in ("date", *features)]
+    row = F.struct("symbol", *(F.col(c).alias(f"v{i}") for i, c in enumerate(features)), *(F.col(c).alias(f"o{i}") for i, c in enumerate(others)))
+    shuffled = [F.array_sort(F.collect_list(F.struct(shuffle_key("symbol", i, seed).alias("h"), "symbol", row.alias("r")))).alias(f"h{i}") for i in range(len(features))]
+    day = panel.groupBy("date").agg(F.array_sort(F.collect_list(row)).alias("rows"), *shuffled)
+
+    def version(i: int | None) -> Column:
+        """All rows of the date, with feature i taken from the row by symbol that stands in the same place."""
+
+        def made(own: Column, given: Column) -> Column:
+            values = ((given if j == i else own)[f"v{j}"].alias(f"v{j}") for j in range(len(features)))
+            return F.struct(F.lit(None if i is None else features[i]).cast("string").alias("feature"), *(own[f"o{j}"].alias(f"o{j}") for j in range(len(others))), *values)
+
+        if i is None:
+            return F.transform("rows", lambda r: made(r, r))
+        return F.zip_with(f"h{i}", "rows", lambda h, r: made(h["r"], r))
+
+    every = day.select("date", F.explode(F.concat(*(version(i) for i in [None, *range(len(features))]))).alias("x"))
+    return every.select("date", *(F.col(f"x.o{j}").alias(c) for j, c in enumerate(others)), *(F.col(f"x.v{j}").alias(c) for j, c in enumerate(features)), "x.feature")
+
+
+def shuffle_key(symbol: str, feature: int, seed: int) -> Column:
+    """A whole number that any engine can repeat: a multiplicative mix of the symbol's number, the feature's and the seed."""
+    h = (F.col(symbol).cast("long") * 1000003 + feature * 7919 + seed) % 2147483647
+    for _ in range(3):
+        h = (h * 48271 + 11) % 2147483647
+    return h
+
+
+def importances(panel: DataFrame, features: list[str], target: str, score: Callable[[DataFrame], DataFrame], seed: int = 42) -> DataFrame:
+    """(feature, mean_ic, importance): how much a model's mean daily rank correlation with the target falls when the feature is shuffled. score adds pred_score to a table."""
+    rows = score(permuted(panel, features, seed)).select("date", F.coalesce("feature", F.lit("")).alias("feature"), F.round("pred_score", 10).alias("s"), F.round(target, 10).alias("y"))
+    of = Window.partitionBy("date", "feature")
+    ranked = rows.select("date", "feature", cs.rank("s", day=of).alias("a"), cs.rank("y", day=of).alias("b"))
+    means = ranked.groupBy("feature", "date").agg(guarded_corr(F.col("a"), F.col("b")).alias("ic")).groupBy("feature").agg(F.avg("ic").alias("mean_ic"))
+    base = means.where("feature = ''").select(F.col("mean_ic").alias("_base"))
+    return means.where("feature <> ''").join(F.broadcast(base)).select("feature", "mean_ic", (F.col("_base") - F.col("mean_ic")).alias("importance"))

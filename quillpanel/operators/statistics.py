@@ -116,13 +116,33 @@ def analyse(deltas: dict[str, DataFrame], **options) -> DataFrame:
     return holm(out)
 
 
-def offset_sensitivity(deltas: dict[str, DataFrame], step: int, iterations: int = 1000) -> DataFrame:
-    """Per comparison: least, median and largest p-value over the offsets of a thinned series, and the share below 0.05."""
-    rows = [compare(n, d, step=step, offset=o, iterations=iterations) for n, d in deltas.items() for o in range(step)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.groupBy("comparison").agg(F.min("p_value").alias("p_min"), F.median("p_value").alias("p_median"), F.max("p_value").alias("p_max"), F.avg((F.col("p_value") < 0.05).cast("double")).alias("share_significant"))
+def offset_sensitivity(deltas: dict[str, DataFrame], step: int, iterations: int = 10_000, seed: int = 42) -> DataFrame:
+    """Per comparison: least, median and largest p-value (sign flips of single rows) over the offsets of a thinned series, and the share below 0.05.
+
+    All offsets of all comparisons are arrays of one small table, which every task of the iterations gets, so there is one job, not one for each offset.
+    """
+    series = None
+    for name, d in deltas.items():
+        rows = d.where(F.col("delta").isNotNull()).select(F.lit(name).alias("comparison"), "date", "delta", ((F.row_number().over(by_date()) - 1) % step).alias("offset"))
+        series = rows if series is None else series.unionByName(rows)
+    arrays = series.groupBy("comparison", "offset").agg(F.array_sort(F.collect_list(F.struct("date", "delta"))).alias("s")).select("comparison", "offset", F.col("s.delta").alias("v"), F.size("s").alias("n"))
+    arrays = arrays.withColumn("mean", F.aggregate("v", F.lit(0.0), lambda a, y: a + y) / F.col("n"))
+    flip = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda a, i: a + F.get("v", i) * (draw(seed, F.col("id"), i.cast("long")) % 2 * 2 - 1)) / F.col("n")
+    drawn = _iterations(arrays, iterations).select("comparison", "offset", (F.abs(flip) >= F.abs("mean") - 1e-12).cast("int").alias("hit"))
+    p = drawn.groupBy("comparison", "offset").agg(((F.sum("hit") + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    return p.groupBy("comparison").agg(F.min("p_value").alias("p_min"), F.median("p_value").alias("p_median"), F.max("p_value").alias("p_max"), F.avg((F.col("p_value") < 0.05).cast("double")).alias("share_significant"))
+
+
+def autocorrelation_table(deltas: dict[str, DataFrame], lags: int = 30) -> DataFrame:
+    """A row for each comparison: n, the band, the effective n and the suggested block."""
+    out = None
+    for name, d in deltas.items():
+        acf = autocorrelation(d, lags=lags)
+        n = d.where(F.col("delta").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+        row = n.join(acf.agg(F.max("band").alias("band"), (1 + 2 * F.sum(F.greatest("ac", F.lit(0.0)))).alias("_k"))).join(suggest_block(acf))
+        row = row.select(F.lit(name).alias("comparison"), "n", "band", (F.col("n") / F.greatest(F.lit(1.0), "_k")).alias("n_eff"), "block")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def autocorrelation(series: DataFrame, x: str = "delta", lags: int = 30) -> DataFrame:

@@ -1,4 +1,4 @@
-"""build_features: the whole feature query, lazily."""
+"""build_features: the whole feature query. What each stage makes is written, so later stages are planned, and repeated after a loss, without those before."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillpanel.operators import alphas, labels
 from quillpanel.operators import features as f
-from quillpanel.sources.market import BARS, taint
+from quillpanel.sources.market import BARS, saved, taint
 
 #: Columns that are not features: keys, bars, flags, targets and masks.
 META = ("symbol", "date", *BARS, "close_raw", "source", "is_liquid", "tainted", "f_nan", "f_bad_ohlc", "f_zero_vol", "f_big_move", "f_dup", "f_any", "next_1m_ret", "next_1w_ret", "risk_adj_ret", "target_magnitude")
@@ -31,8 +31,8 @@ def build_features(
     table = price_features(f.rescale_volume(panel))
     if targets:
         table = labels.magnitude(f.risk_adjusted(f.targets(table)))
-    table = f.liquid(table, adtv_limit)
-    table = table.join(alphas.generate(table, names), ["symbol", "date"])
+    table = saved(f.liquid(table, adtv_limit), "features")
+    table = table.join(alphas.generate(table, names, stored=True), ["symbol", "date"])
     days = labels.regime_days(table, *regime).join(labels.market_days(table), "date", "outer").join(labels.breadth_days(table, history=breadth), "date", "outer")
     table = table.join(F.broadcast(days), "date", "left").where("is_liquid")
     if "f_any" in panel.columns:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillpanel.operators import labels, metrics, models, simulation, statistics
 from quillpanel.operators import features as f
-from quillpanel.plans import build, walkforward
+from quillpanel.plans import walkforward
 from quillpanel.queries.features import rounded
 from quillpanel.queries import sqltext as q
 from quillpanel.queries.relational import _MOM, _PLACED, R, _hash, delta, flat, scored
@@ -21,9 +21,9 @@ RULES = simulation.Rules(capital=1e9, unit=1000.0)
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features and labels on the weekly panel, where every sf has a cross-section."""
     panel = walk_panel(spark, sf_dir, weekly=True)
-    table = f.volume_quality(f.volume_features(f.volatilities(f.log_returns(panel))))
+    table = f.adtv(f.volume_quality(f.volume_features(f.volatilities(f.log_returns(panel)))))
     table = labels.magnitude(f.risk_adjusted(f.targets(table)))
-    return table.select("symbol", "date", "close", "volume", *FEATURES, "next_1m_ret", "target_magnitude").dropna()
+    return table.select("symbol", "date", "close", "volume", *FEATURES, "adtv", "next_1m_ret", "target_magnitude").dropna()
 
 
 def picked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,27 +70,21 @@ def _walk(model: str, **parameters):
     return run
 
 
-query("walk_forward_boosted")(_walk("boosted_mse", rounds=5))
-query("walk_forward_linear")(_walk("linear", penalties=4, folds=3))
-query("walk_forward_ranked_trees")(_walk("ranked_trees", rounds=2))
-query("walk_forward_recurrent")(_walk("recurrent_mse", length=5, rounds=2))
+query("walk_forward_boosted")(_walk("boosted_mse"))
+query("walk_forward_linear")(_walk("linear"))
+query("walk_forward_ranked_trees")(_walk("ranked_trees"))
+query("walk_forward_recurrent")(_walk("recurrent_mse"))
+query("walk_forward_chosen")(_walk("linear", threshold=0.02, prune_at=0.75, groups=[FEATURES[:3], FEATURES[3:]], adtv_limit=100.0))
 query("walk_forward_combined")(_walk("combined_factors", window=40, lag=5))
 
 
-@query("build_features")
-def build_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full feature query; windows over the market's history are shortened to fit the test data's dates."""
-    table = build.build_features(walk_panel(spark, sf_dir), least_per_date=2, names=["006", "019", "102", "110", "118"], regime=(21, 63, 126), breadth=126)
-    return rounded(table, ["log_ret_1m", "RSI_14", "adtv", "WQ_Alpha_019", "regime_bucket", "market1m_ema21", "narrow_breadth", "target_magnitude"])
-
-
 @query("signals_today")
 def signals_today(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = weekly(spark, sf_dir)
     last = table.agg(F.max("date")).first()[0]
     today, past = table.where(F.col("date") == F.lit(last)), table.where(F.col("date") < F.lit(last))
     held = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal > 6000").select(F.col("s_suppkey").alias("symbol"))
-    return flat(walkforward.signals(past, today, held, FEATURES, "boosted_mse", dates=200, buy=5, rounds=3))
+    return flat(walkforward.signals(past, today, held, FEATURES, "boosted_mse", dates=200, buy=5))
 
 
 @query("factor_combination")
@@ -101,20 +95,20 @@ def factor_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sharpe_difference")
 def sharpe_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = delta(spark, sf_dir).select("date", F.col("delta").alias("a"), (F.col("delta") * 0.5 + 0.0001).alias("b"))
-    return flat(statistics.sharpe_difference(days, iterations=1000))
+    return flat(statistics.sharpe_difference(days))
 
 
 def _flips(name: str, block: int) -> str:
-    """SQL of the p-values of 500 sign flips of blocks, for each comparison c of the series n."""
+    """SQL of the p-values of 10,000 sign flips of blocks, for each comparison c of the series n."""
     return f"""{name}b AS (SELECT c, CAST(i // {block} AS BIGINT) AS b, sum(delta) AS s, any_value(n) AS n FROM n GROUP BY 1, 2), {name}o AS (SELECT c, sum(s) / max(n) AS mean, max(n) AS n FROM {name}b GROUP BY c),
-{name}f AS (SELECT c, it, sum(s * ({_hash('it', 'b')} % 2 * 2 - 1)) / max(n) AS f FROM {name}b, (SELECT unnest(range(0, 500)) AS it) GROUP BY c, it),
-{name} AS (SELECT c, max(o.n) AS n_days, max(mean) AS mean, (sum(CASE WHEN abs(f) >= abs(mean) - 1e-12 THEN 1 ELSE 0 END) + 1) / 501.0 AS p FROM {name}f JOIN {name}o AS o USING (c) GROUP BY c)"""
+{name}f AS (SELECT c, it, sum(s * ({_hash('it', 'b')} % 2 * 2 - 1)) / max(n) AS f FROM {name}b, (SELECT unnest(range(0, 10000)) AS it) GROUP BY c, it),
+{name} AS (SELECT c, max(o.n) AS n_days, max(mean) AS mean, (sum(CASE WHEN abs(f) >= abs(mean) - 1e-12 THEN 1 ELSE 0 END) + 1) / 10001.0 AS p FROM {name}f JOIN {name}o AS o USING (c) GROUP BY c)"""
 
 
 _FAMILY = f"""WITH {q.DAILY}, {_MOM}, {_PLACED}, s AS ({' UNION ALL '.join(f"SELECT 'top{k} vs universe' AS c, date, avg(CASE WHEN p <= {k} THEN ret END) - avg(ret) AS delta FROM pl GROUP BY date" for k in (3, 5))}),
 n AS (SELECT c, delta, row_number() OVER (PARTITION BY c ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY c) AS n FROM s WHERE delta IS NOT NULL), {_flips('blocks', 21)}, {_flips('days', 1)},
 l AS (SELECT c, list(delta ORDER BY i) AS v, count(*) AS n FROM n GROUP BY c),
-g AS (SELECT c, it, b, n, v, {_hash('it', 'b')} % (n - 21 + 1) AS s FROM l, (SELECT unnest(range(0, 500)) AS it), (SELECT unnest(range(0, 1000)) AS b) WHERE b <= (n - 1) // 21),
+g AS (SELECT c, it, b, n, v, {_hash('it', 'b')} % (n - 21 + 1) AS s FROM l, (SELECT unnest(range(0, 10000)) AS it), (SELECT unnest(range(0, 1000)) AS b) WHERE b <= (n - 1) // 21),
 m AS (SELECT c, it, sum(list_sum(list_slice(v, s + 1, s + least(21, n - b * 21)))) / max(n) AS m FROM g GROUP BY c, it), ci AS (SELECT c, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY c),
 k AS (SELECT *, (2 - row_number() OVER (ORDER BY p, c) + 1) * p AS h, row_number() OVER (ORDER BY p, c) AS r FROM blocks), h AS (SELECT *, least(1, max(h) OVER (ORDER BY r)) AS p_holm FROM k)
 SELECT c AS comparison, {R('h.mean', 'mean_delta')}, h.n_days, 21 AS block, {R('h.p', 'p_value')}, {R('days.p', 'p_naive')}, {R('lo', 'ci_lo')}, {R('hi', 'ci_hi')}, {R('p_holm', 'p_holm')}, h.p < 0.05 AS significant, p_holm < 0.05 AS significant_holm FROM h JOIN days USING (c) JOIN ci USING (c)"""
@@ -125,7 +119,7 @@ def significance_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = scored(spark, sf_dir)
     universe = statistics.universe_average(t, "ret")
     family = {f"top{k} vs universe": statistics.delta(statistics.topk_average(t, "score", "ret", k), universe) for k in (3, 5)}
-    return flat(statistics.analyse(family, iterations=500))
+    return flat(statistics.analyse(family))
 
 
 @query("select_value")
@@ -133,7 +127,7 @@ def select_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A blend of momentum and volume: the blend's value is chosen by plateau."""
     panel = scored(spark, sf_dir, weekly=True).where("score is not null and ret is not null")
     fit = lambda p, v, s: p.select("symbol", "date", (F.col("score") * (1 - v) + v * (F.col("volume") + s) / 1e4).alias("pred_score"))
-    chosen, table = walkforward.select_value(panel, [0.0, 0.25, 0.5], [0, 1], fit, "ret", 200, 8)
+    chosen, table = walkforward.select_value(panel, [0.0, 0.25, 0.5], [0, 1], fit, "ret", 10_000, 8)
     return flat(table.withColumn("chosen", F.lit(chosen)))
 
 

@@ -385,17 +385,17 @@ def _hash(i: str, b: str) -> str:
 
 
 @query("block_sign_flip", f"""WITH {q.DAILY}, {_MOM}, {_DELTA}, n AS (SELECT delta, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM dl), b AS (SELECT CAST(i // 21 AS BIGINT) AS b, sum(delta) AS s, any_value(n) AS n FROM n GROUP BY 1), o AS (SELECT sum(s) / max(n) AS mean, max(n) AS n FROM b),
-f AS (SELECT it, sum(s * ({_hash('it', 'b')} % 2 * 2 - 1)) / max(n) AS f FROM b, (SELECT unnest(range(0, 500)) AS it) GROUP BY it)
-SELECT max(o.n) AS n_days, {R('max(mean)', 'mean_delta')}, {R('(sum(CASE WHEN abs(f) >= abs(mean) - 1e-12 THEN 1 ELSE 0 END) + 1) / 501.0', 'p_value')} FROM f, o""")
+f AS (SELECT it, sum(s * ({_hash('it', 'b')} % 2 * 2 - 1)) / max(n) AS f FROM b, (SELECT unnest(range(0, 10000)) AS it) GROUP BY it)
+SELECT max(o.n) AS n_days, {R('max(mean)', 'mean_delta')}, {R('(sum(CASE WHEN abs(f) >= abs(mean) - 1e-12 THEN 1 ELSE 0 END) + 1) / 10001.0', 'p_value')} FROM f, o""")
 def block_sign_flip(spark, sf_dir):
-    return flat(statistics.permutation_test(delta(spark, sf_dir), iterations=500))
+    return flat(statistics.permutation_test(delta(spark, sf_dir), iterations=10_000))
 
 
 @query("moving_block_bootstrap", f"""WITH {q.DAILY}, {_MOM}, {_DELTA}, n AS (SELECT delta, row_number() OVER (ORDER BY date) - 1 AS i FROM dl), l AS (SELECT list(delta ORDER BY i) AS v, count(*) AS n FROM n),
-g AS (SELECT it, b, n, v, {_hash('it', 'b')} % (n - 21 + 1) AS s FROM l, (SELECT unnest(range(0, 200)) AS it), (SELECT unnest(range(0, 1000)) AS b) WHERE b <= (n - 1) // 21),
+g AS (SELECT it, b, n, v, {_hash('it', 'b')} % (n - 21 + 1) AS s FROM l, (SELECT unnest(range(0, 10000)) AS it), (SELECT unnest(range(0, 1000)) AS b) WHERE b <= (n - 1) // 21),
 m AS (SELECT it, sum(list_sum(list_slice(v, s + 1, s + least(21, n - b * 21)))) / max(n) AS m FROM g GROUP BY it) SELECT {R('quantile_cont(m, 0.025)', 'ci_lo')}, {R('quantile_cont(m, 0.975)', 'ci_hi')} FROM m""")
 def moving_block_bootstrap(spark, sf_dir):
-    return flat(statistics.bootstrap_ci(delta(spark, sf_dir), iterations=200))
+    return flat(statistics.bootstrap_ci(delta(spark, sf_dir), iterations=10_000))
 
 
 @query("holm_correction", """WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS comparison, round(abs(s_acctbal) / 100000, 6) AS p_value FROM supplier), k AS (SELECT *, row_number() OVER (ORDER BY p_value, comparison) AS r, count(*) OVER () AS m FROM s),

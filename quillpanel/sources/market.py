@@ -39,9 +39,10 @@ def saved(table: DataFrame, name: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def store(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet in folders by year, so that date filters prune them."""
-    panel.withColumn("year", F.year("date")).repartition("year").sortWithinPartitions("symbol", "date").write.mode(mode).partitionBy("year").parquet(path)
+def store(panel: DataFrame, path: str, mode: str = "overwrite", files: int = 8) -> None:
+    """Parquet in folders by year, so that date filters prune them; a year's symbols are dealt over `files` tasks and files."""
+    part = F.pmod(F.xxhash64(F.col("symbol").cast("string")), F.lit(files))
+    panel.withColumn("year", F.year("date")).repartition("year", part).sortWithinPartitions("year", "symbol", "date").write.mode(mode).partitionBy("year").parquet(path)
 
 
 def store_csv(table: DataFrame, path: str) -> None:
@@ -111,6 +112,14 @@ def reconcile(a: DataFrame, b: DataFrame, tolerance: float = 0.005, least: int =
     return day.orderBy(F.desc("date")).limit(1).withColumn("alarm", (F.col("n") < least) | (F.col("share") > most))
 
 
+def trading_day(now: str | Column) -> Column:
+    """last_trading_day() of a column of timestamps."""
+    now = F.col(now) if isinstance(now, str) else now
+    done = F.hour(now) * 60 + F.minute(now) >= 14 * 60 + 45
+    day = F.when(done, F.to_date(now)).otherwise(F.date_sub(F.to_date(now), 1))
+    return F.date_sub(day, F.when(F.weekday(day) > 4, F.weekday(day) - 4).otherwise(0))
+
+
 def fingerprint(table: DataFrame) -> DataFrame:
     """Rows and an order-free sum of row hashes: equal for equal contents."""
     return table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(table.columns)).cast("decimal(38,0)")).alias("hash"))

@@ -6,22 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillpanel.sources.market import keep_last, merge
+from quillpanel.sources import partitions
 
 
 def bars(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is merged with the stored panel into the version after it; versions follow batch numbers, so a repeated batch writes the same version again."""
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, buckets: int = 16, since: str = "2016-01-01") -> StreamingQuery:
+    """Each micro-batch goes into the panel stored at the path by its partitions; the first one makes it. A batch that is repeated after a failure changes nothing."""
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        new = keep_last(batch.withColumn("_o", F.monotonically_increasing_id()), F.col("_o")).drop("_o")
-        new = new if "close_raw" in new.columns else new.withColumn("close_raw", F.col("close"))
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else new.limit(0)
-        merge(old, new).write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number == 0:
+            partitions.create(batch.limit(0) if "close_raw" in batch.columns else batch.limit(0).withColumn("close_raw", F.col("close")), path, buckets)
+        partitions.upsert(spark, path, batch, buckets, since)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
