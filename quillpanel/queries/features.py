@@ -124,7 +124,7 @@ _SQL: dict[str, tuple[dict[str, str], list[str], str]] = {
 }
 
 
-def _alpha_sql(name: str) -> str:
+def _alpha_sql(name: str, exact: bool = False) -> str:
     second, ranks, final = _SQL[name]
     every = " ".join([*second.values(), *ranks, final]) + (" r" if "MKT" in ranks else "") + (" r21" if final == "PRODUCT" else "")
     first = "".join(f", {sql} AS {k}" for k, sql in _FIRST.items() if q.uses(every, k))
@@ -141,7 +141,7 @@ def _alpha_sql(name: str) -> str:
         value = "-R_y"
     else:
         stages += ["b4 AS (SELECT * FROM b3)"]
-    return "WITH " + ",\n".join(stages) + f"\nSELECT symbol, date, {q.rnd(value, 'alpha')} FROM b4"
+    return "WITH " + ",\n".join(stages) + f"\nSELECT symbol, date, {f'{value} AS alpha' if exact else q.rnd(value, 'alpha')} FROM b4"
 
 
 def _alpha(name: str) -> None:

@@ -47,7 +47,7 @@ def _features_sql(least: int) -> str:
     parts = [f"{name} AS (SELECT symbol, date, {', '.join(f'{sql} AS {c}' for c, sql in columns.items())} FROM {source})" for name, (source, columns) in _PRICE.items()]
     trimmed = f"trimmed AS (SELECT * FROM (SELECT *, {q.lnr(q.lead('close', 21), 'close')} AS next_1m_ret, {q.lnr(q.lead('close', 5), 'close')} AS next_1w_ret FROM panel) WHERE next_1m_ret IS NOT NULL AND next_1w_ret IS NOT NULL)"
     cut = f"{full.replace('panel AS (', 'whole AS (')}, {trimmed.replace('FROM panel', 'FROM whole')}, panel AS (SELECT symbol, date, open, high, low, close, volume FROM trimmed)"
-    each = [f"al{n} AS ({fq._alpha_sql(n).replace(q.DAILY, cut)})" for n in alphas.DEFAULT]
+    each = [f"al{n} AS ({fq._alpha_sql(n, exact=True).replace(q.DAILY, cut)})" for n in alphas.DEFAULT]
     joined = "base AS (SELECT trimmed.*, " + ", ".join(_FEATURES) + " FROM trimmed" + "".join(f" JOIN {name} USING (symbol, date)" for name in _PRICE) + ")"
     risk = f"risk AS (SELECT *, {q.div('next_1m_ret', 'volatility_3m')} AS risk_adj_ret FROM base), edge AS (SELECT date, min(risk_adj_ret) AS lo, max(risk_adj_ret) AS hi FROM risk GROUP BY date)"
     label = "labelled AS (SELECT risk.*, CASE WHEN risk_adj_ret IS NOT NULL AND hi > lo THEN (risk_adj_ret - lo) / (hi - lo) * 100 END AS target_magnitude FROM risk JOIN edge USING (date))"
