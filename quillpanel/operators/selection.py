@@ -51,10 +51,11 @@ def spearman_matrix(panel: DataFrame, features: list[str]) -> DataFrame:
     return made.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("rho")) for i, (a, b) in enumerate(pairs)))).alias("p")).select("p.*")
 
 
-def _global_ranks(rows: DataFrame, melted: DataFrame, features: list[str], parts: int = 64) -> DataFrame:
-    """(f, v, k): average rank of each feature's values: counts by value, running sums inside ranges of values, and the ranges' own sums."""
+def _global_ranks(rows: DataFrame, melted: DataFrame, features: list[str]) -> DataFrame:
+    """(f, v, k): average rank of each feature's values: counts by value, running sums inside ranges of values, and the ranges' own sums. There are as many ranges as shuffle partitions."""
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = melted.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = rows.approxQuantile(features, [i / parts for i in range(1, parts)], 0.005)
+    cuts = rows.approxQuantile(features, [i / parts for i in range(1, parts)], 0.25 / parts)
     table = F.array(*(F.array(*(F.lit(float(x)) for x in sorted(set(c)))) if c else F.array().cast("array<double>") for c in cuts))
     counts = counts.withColumn("part", F.size(F.filter(F.get(table, F.col("f")), lambda x: x <= F.col("v"))))
     totals = counts.groupBy("f", "part").agg(F.sum("n").alias("t")).withColumn("before", F.sum("t").over(Window.partitionBy("f").orderBy("part")) - F.col("t"))

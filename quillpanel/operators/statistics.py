@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillpanel.operators.labels import by_date
 from quillpanel.operators.metrics import top_k
 from quillpanel.operators.selection import guarded_corr
+from quillpanel.sources.market import saved
 
 _P, _A = 2147483647, 48271
 
@@ -99,11 +100,25 @@ def compare(name: str, series: DataFrame, x: str = "delta", step: int = 1, offse
 
 
 def holm(table: DataFrame, p: str = "p_value", level: float = 0.05) -> DataFrame:
-    """p_holm: the running maximum of (m - rank) p, at most 1; a family of comparisons is a handful of rows."""
-    w = Window.orderBy(p, "comparison")
-    m = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    out = table.withColumn("_s", (m - F.row_number().over(w) + 1) * F.col(p))
-    out = out.withColumn("p_holm", F.least(F.lit(1.0), F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")
+    """p_holm: the running maximum of (m - rank) p, at most 1. A family may be long: it is sorted by ranges, and only each range's size and maximum come to the driver."""
+    placed = saved(table.orderBy(p, "comparison").withColumn("_at", F.monotonically_increasing_id()), "holm")
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["k"]: r["count"] for r in placed.groupBy(part.alias("k")).count().collect()}
+    m, before, begins = sum(sizes.values()), 0, []
+    for k in sorted(sizes):
+        begins.append((k, before))
+        before += sizes[k]
+    spark = table.sparkSession
+    begins = F.broadcast(spark.createDataFrame(begins, "_k long, _before long"))
+    stepped = placed.withColumn("_k0", part).join(begins, F.col("_k0") == F.col("_k")).withColumn("_s", (m - F.col("_before") - row) * F.col(p))
+    tops = {r["_k"]: r["top"] for r in stepped.groupBy("_k").agg(F.max("_s").alias("top")).collect()}
+    highest, earlier = 0.0, []
+    for k in sorted(tops):
+        earlier.append((k, float(highest)))
+        highest = max(highest, tops[k])
+    inside = F.max("_s").over(Window.partitionBy("_k").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    out = stepped.withColumn("_run", inside).join(F.broadcast(spark.createDataFrame(earlier, "_j long, _top double")), F.col("_k") == F.col("_j"))
+    out = out.withColumn("p_holm", F.least(F.lit(1.0), F.greatest("_run", "_top"))).select(*table.columns, "p_holm")
     return out.withColumns({"significant": F.col(p) < level, "significant_holm": F.col("p_holm") < level})
 
 

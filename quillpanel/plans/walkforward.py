@@ -119,7 +119,8 @@ def select_value(panel: DataFrame, values: list[float], seeds: list[int], fit: C
     for v in values:
         made = ensemble([fit(panel, v, s) for s in seeds])
         rows = made.join(panel.select("symbol", "date", ret), ["symbol", "date"])
-        ics[v] = rows.select("date", cs.rank(F.round("pred_score", 10)).alias("a"), cs.rank(F.round(ret, 10)).alias("b")).groupBy("date").agg(selection.guarded_corr(F.col("a"), F.col("b")).alias("avg")).cache()
+        ics[v] = rows.select("date", cs.rank(F.round("pred_score", 10)).alias("a"), cs.rank(F.round(ret, 10)).alias("b")).groupBy("date").agg(selection.guarded_corr(F.col("a"), F.col("b")).alias("avg"))
+        ics[v] = saved(ics[v], "daily-ic")
     means = {v: ics[v].agg(F.avg("avg")).first()[0] or 0.0 for v in values}
     best = max(values, key=lambda v: means[v])
     rest = {str(v): statistics.delta(ics[best], ics[v]) for v in values if v != best}
@@ -132,6 +133,7 @@ def select_value(panel: DataFrame, values: list[float], seeds: list[int], fit: C
 
 def backtest(panel: DataFrame, predictions: DataFrame, ks: list[int], rules: simulation.Rules | None = None, rank_weighted: bool = False, entries: DataFrame | None = None) -> DataFrame:
     """One simulated scenario for each k. Prices and predictions must cover the same dates. entries: (date, symbol, multiplier) of what a buy order may spend."""
+    panel, predictions = saved(panel.select("symbol", "date", "close"), "backtest-prices"), saved(predictions.select("symbol", "date", "pred_score"), "backtest-predictions")
     simulation.check_dates(panel, predictions)
     scenarios = None
     for k in ks:

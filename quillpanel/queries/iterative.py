@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillpanel.operators import labels, metrics, models, simulation, statistics
+from quillpanel.operators import labels, metrics, models, search, simulation, statistics
 from quillpanel.operators import features as f
 from quillpanel.plans import walkforward
 from quillpanel.queries.features import rounded
 from quillpanel.queries import sqltext as q
 from quillpanel.queries.relational import _MOM, _PLACED, R, _hash, delta, flat, scored
 from quillpanel.registry import query
+from quillpanel.sources.market import saved
 from quillpanel.sources.panels import walk_panel
 
 FEATURES = ["log_ret_1w", "log_ret_1m", "volatility_1m", "volume_surge_weekly", "obv_trend"]
@@ -152,3 +153,12 @@ def score_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     inverse = walkforward.score(rows.withColumn("pred_score", -F.col("score")), "gain", "ret", 5).withColumn("model", F.lit("reversal"))
     both = table.unionByName(inverse)
     return flat(both.join(metrics.model_ranking(both, {"ndcg": True, "precision": True, "excess": True}), "model"))
+
+
+@query("mined_factors")
+def mined_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors bred on the first 150 dates, as columns of all rows."""
+    table = saved(weekly(spark, sf_dir), "weekly")
+    first = table.select("date").distinct().orderBy("date").limit(150).agg(F.max("date")).first()[0]
+    trees = search.mine(table.where(F.col("date") <= F.lit(first)), FEATURES, "target_magnitude")
+    return rounded(search.factors(table, trees, FEATURES), [f"GP_Alpha_{i}" for i in range(len(trees))])

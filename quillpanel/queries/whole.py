@@ -14,7 +14,7 @@ from quillpanel.queries import sqltext as q
 from quillpanel.queries.features import rounded
 from quillpanel.queries.relational import _ACF, _MOM, _NEW, _OLD, _PLACED, R, _corr, _ema, _hash, delta, flat, scored
 from quillpanel.registry import ORACLES, QUERIES, query
-from quillpanel.sources import market, partitions
+from quillpanel.sources import market, partitions, vendor
 from quillpanel.sources.panels import walk_panel
 from quillpanel.streaming import ingest, state
 
@@ -239,3 +239,26 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, s""")
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+# Services
+
+
+@query("vendor_scan", "SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, l_quantity AS quantity, l_extendedprice AS price FROM lineitem WHERE l_suppkey IN (1, 2, 3, 5) AND CAST(l_shipdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' AND l_quantity > 10")
+def vendor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem stands for a service that answers by symbol and dates; each task asks for its symbols only."""
+    path = f"{sf_dir}/lineitem.parquet"
+
+    def fetch(symbols: list, first, last):
+        import pyarrow as pa
+        import pyarrow.dataset as ds
+
+        day = ds.field("l_shipdate").cast(pa.date32())
+        test = ds.field("l_suppkey").isin(symbols)
+        test = test if first is None else test & (day >= first)
+        test = test if last is None else test & (day <= last)
+        return ds.dataset(path).to_table({"symbol": ds.field("l_suppkey"), "date": day, "quantity": ds.field("l_quantity").cast(pa.float64()), "price": ds.field("l_extendedprice").cast(pa.float64())}, filter=test)
+
+    universe = [r[0] for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").collect()]
+    rows = vendor.scan(spark, "lineitem_service", "symbol long, date date, quantity double, price double", universe, fetch)
+    return rows.where(F.col("symbol").isin(1, 2, 3, 5) & F.col("date").between("1998-01-01", "1998-12-31") & (F.col("quantity") > 10))

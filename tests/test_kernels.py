@@ -12,6 +12,7 @@ from quillpanel.functions import ewm
 from quillpanel.operators import features, folds, metrics, selection, simulation
 from quillpanel.plans import walkforward
 from quillpanel.queries import iterative
+from quillpanel.sources import partitions
 from quillpanel.sources.panels import walk_panel
 from quillpanel.streaming import ingest
 
@@ -96,7 +97,7 @@ def test_stream_upserts_like_a_batch(spark, tmp_path):
     ingest.upsert_stream(ingest.bars(spark, source, schema), out, marks).awaitTermination(120)
     spark.createDataFrame([row(1, 1.25)], schema).write.mode("append").parquet(source)
     ingest.upsert_stream(ingest.bars(spark, source, schema), out, marks).awaitTermination(120)
-    found = {r["symbol"]: r for r in spark.read.parquet(f"{out}/v1").collect()}
+    found = {r["symbol"]: r for r in partitions.read(spark, out).collect()}
     assert found[1]["close"] == 1.25 and found[1]["close_raw"] == 1.0 and found[2]["close"] == 1.5 and len(found) == 2
 
 
