@@ -188,3 +188,45 @@ def read_back(packs: DataFrame, members: DataFrame) -> DataFrame:
 
     seen = used.join(before, "pack", "left").mapInPandas(walk, "pack string, leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return members.join(seen, ["pack", "leaf"]).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def token_forest(packs: DataFrame, path: str) -> DataFrame:
+    """The packs in token ids of a byte-level vocabulary of the tokenizers library (a .json file): pack, shared, trunk, ids, and nodes with all places counted in tokens.
+
+    A node is encoded by itself, and its loss text by itself within it, so shared turns have the same ids in every conversation, and intervals and masks end between tokens. A
+    node's position counts the tokens of its ancestors. The template's strings and those of special tokens are ordinary text. Packs without nodes stay as they are.
+    """
+    trunk = packs.where("shared").select(F.col("pack").alias("from"), F.struct(F.col("pack").alias("key"), "text", F.col("nodes")[0]["mask_begin"].alias("begin"), F.col("nodes")[0]["mask_end"].alias("end")).alias("t"))
+    before = packs.select("pack", F.explode("trunk").alias("from")).join(trunk, "from").groupBy("pack").agg(F.collect_list("t").alias("before"))
+    held: dict = {}  # the tokenizer of a worker
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tokenizers import Tokenizer
+
+        if path not in held:
+            held[path] = Tokenizer.from_file(path)
+            held[path].encode_special_tokens = True
+
+        def pieces(text: str, begin: int, end: int, mask_begin: int, mask_end: int) -> list[list[int]]:
+            cuts = [begin, mask_begin, mask_end, end] if mask_end > mask_begin else [begin, end]
+            return [e.ids for e in held[path].encode_batch([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False)]
+
+        for batch in batches:
+            out = []
+            for pack, shared, above, text, nodes, first in zip(*(batch[c] for c in ("pack", "shared", "trunk", "text", "nodes", "before")), strict=True):
+                sizes = {t["key"]: sum(map(len, pieces(t["text"], 0, len(t["text"]), t["begin"], t["end"]))) for t in (first if first is not None else ())}
+                ids, made, at = [], [], {0: 0}  # at: the token that each node's end in characters falls on
+                for n in nodes:
+                    parts = pieces(text, n["begin"], n["end"], n["mask_begin"], n["mask_end"])
+                    begin = len(ids)
+                    ids += [i for p in parts for i in p]
+                    at[n["end"]] = len(ids)
+                    ancestors = [{"pack": a["pack"], "begin": at[a["begin"]], "end": at[a["end"]]} if a["pack"] == pack else {"pack": a["pack"], "begin": 0, "end": sizes[a["pack"]]} for a in n["ancestors"]]
+                    mask = (begin + len(parts[0]), begin + len(parts[0]) + len(parts[1])) if len(parts) == 3 else (0, 0)
+                    made.append({"node": n["node"], "depth": n["depth"], "role": n["role"], "begin": begin, "end": len(ids), "position": sum(a["end"] - a["begin"] for a in ancestors), "ancestors": ancestors, "mask_begin": mask[0], "mask_end": mask[1], "ends": n["ends"]})
+                out.append((pack, shared, list(above), ids, made))
+            yield pd.DataFrame(out, columns=["pack", "shared", "trunk", "ids", "nodes"])
+
+    kind = packs.schema["nodes"].dataType.simpleString()
+    rows = packs.join(before, "pack", "left").select("pack", "shared", "trunk", "text", "nodes", "before")
+    return rows.mapInPandas(walk, f"pack string, shared boolean, trunk array<string>, ids array<int>, nodes {kind}")

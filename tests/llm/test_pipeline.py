@@ -50,6 +50,14 @@ def test_contaminated_go(spark, staged):
     assert {r["doc_id"] for r in after.select("doc_id").collect()} == {r["doc_id"] for r in found.where("not contaminated").collect()}
 
 
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    one, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    docs = [(1, one), (7, one + " more"), (7, other), (7, other), (9, other + " x"), (9, None), (9, None), (8, "short"), (None, one), (None, one)]
+    table = spark.createDataFrame([(*d, "c", 3) for d in docs], "doc_id long, text string, _id string, _row long").repartition(4)
+    out = corpus_pipeline.near_dedup_stage(spark, table, "")
+    assert out.columns == table.columns and sorted(str((r["doc_id"], r["text"])) for r in out.collect()) == sorted(map(str, [(1, one), (7, other), (9, None), (8, "short"), (None, one), (None, one)]))
+
+
 def test_repeated_ids_and_nulls(spark):
     text = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, text, "c"), (1, text, "c"), (2, text + " eleven", "c"), (3, None, "c"), (None, "other words that stand alone here", "c")], "doc_id long, text string, component_id string")
