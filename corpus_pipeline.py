@@ -27,10 +27,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, likeness 0.8) the document of the smallest doc_id stays; of rows that repeat an id, one."""
-    kept = without(docs, simhash.copies(docs), "copies")
+    """Of each group of near-duplicates (five words, likeness 0.8) the document of the smallest doc_id stays.
+
+    Where ids repeat, rows are numbered by id and hash of the text, and a group keeps its first row: a text that has no copy stays, whoever shares its id. Of rows that
+    repeat an id and a text, one stays. Rows without an id stay.
+    """
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    if repeated.isEmpty():
+        return without(docs, simhash.copies(docs), "copies")
+    named, back = aside(docs)
+    rows = save(named.where("doc_id is not null").orderBy("doc_id", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    kept = without(rows.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "doc_id"), simhash.copies(rows.select(F.col("_row").alias("doc_id"), "text")), "copies")
+    kept = kept.drop("doc_id").withColumnRenamed("_id", "doc_id").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
+    return kept.select(*back).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

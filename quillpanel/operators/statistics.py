@@ -186,6 +186,12 @@ def sharpe(x: np.ndarray, rate: float = 0.0) -> np.ndarray:
     return np.divide(x.mean(axis=-1) - rate / 252, spread, out=np.zeros(x.shape[:-1]), where=spread > 0) * math.sqrt(252)
 
 
+def paired_returns(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(date, a, b): daily returns of two value series (date, total_value), each along its own dates, on the dates that both have."""
+    returns = lambda nav, name: nav.select("date", (F.try_divide("total_value", F.lag("total_value").over(by_date())) - 1).alias(name)).where(F.col(name).isNotNull())
+    return returns(a, "a").join(returns(b, "b"), "date")
+
+
 def sharpe_difference(returns: DataFrame, block: int = 21, iterations: int = 10_000, seed: int = 42) -> DataFrame:
     """One row from (date, a, b): difference of the Sharpe ratios, its bootstrap interval, and the p-value of the draws centred at their mean."""
     pairs = returns.dropna(subset=["a", "b"]).orderBy("date").select("a", "b").collect()  # a row for each date

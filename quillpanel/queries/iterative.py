@@ -10,7 +10,7 @@ from quillpanel.operators import features as f
 from quillpanel.plans import walkforward
 from quillpanel.queries.features import rounded
 from quillpanel.queries import sqltext as q
-from quillpanel.queries.relational import _MOM, _PLACED, R, _hash, delta, flat, scored
+from quillpanel.queries.relational import _MOM, _PLACED, R, _hash, flat, scored
 from quillpanel.registry import query
 from quillpanel.sources.market import saved
 from quillpanel.sources.panels import walk_panel
@@ -95,8 +95,11 @@ def factor_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sharpe_difference")
 def sharpe_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = delta(spark, sf_dir).select("date", F.col("delta").alias("a"), (F.col("delta") * 0.5 + 0.0001).alias("b"))
-    return flat(statistics.sharpe_difference(days))
+    """Of two value series: the mean price, and the volume-weighted one."""
+    panel = walk_panel(spark, sf_dir)
+    a = panel.groupBy("date").agg((F.sum("close") / F.count(F.lit(1))).alias("total_value"))
+    b = panel.groupBy("date").agg((F.sum(F.col("close") * F.col("volume")) / F.sum("volume")).alias("total_value"))
+    return flat(statistics.sharpe_difference(statistics.paired_returns(a, b)))
 
 
 def _flips(name: str, block: int) -> str:

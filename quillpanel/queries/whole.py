@@ -212,6 +212,30 @@ def signals_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(walkforward.today_signals(signal, QUERIES["market_gate"](spark, sf_dir)))
 
 
+_NAVS = "na AS (SELECT date, sum(close) / count(*) AS v FROM panel GROUP BY date), nb AS (SELECT date, sum(close * volume) / sum(volume) AS v FROM panel WHERE extract(day FROM date) < 28 GROUP BY date)"
+
+
+@query("paired_returns", f"WITH {q.DAILY}, {_NAVS}, ra AS (SELECT date, v / lag(v) OVER (ORDER BY date) - 1 AS a FROM na), rb AS (SELECT date, v / lag(v) OVER (ORDER BY date) - 1 AS b FROM nb) SELECT date, {R('a', 'a')}, {R('b', 'b')} FROM ra JOIN rb USING (date) WHERE a IS NOT NULL AND b IS NOT NULL")
+def paired_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the mean and the volume-weighted price, the latter on other dates."""
+    return rounded(statistics.paired_returns(*_navs(spark, sf_dir)), ["a", "b"], keys=("date",))
+
+
+def _navs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    panel = walk_panel(spark, sf_dir)
+    a = panel.groupBy("date").agg((F.sum("close") / F.count(F.lit(1))).alias("total_value"))
+    b = panel.where(F.dayofmonth("date") < 28).groupBy("date").agg((F.sum(F.col("close") * F.col("volume")) / F.sum("volume")).alias("total_value"))
+    return a, b
+
+
+@query("clean_universe", "SELECT DISTINCT trim(s) AS symbol FROM (SELECT CASE WHEN event_id % 3 = 0 THEN '  ' || event_type WHEN event_id % 3 = 1 THEN event_type || ' ' ELSE ' ' END AS s FROM events) WHERE trim(s) <> ''")
+def clean_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that come with blanks, twice, or empty."""
+    rest, name = F.col("event_id") % 3, F.col("event_type")
+    dirty = F.when(rest == 0, F.concat(F.lit("  "), name)).when(rest == 1, F.concat(name, F.lit(" "))).otherwise(" ")
+    return market.clean_symbols(spark.read.parquet(f"{sf_dir}/events.parquet").select(dirty.alias("symbol")))
+
+
 # Streams
 
 

@@ -10,6 +10,8 @@ NAMES = (
     "panel_trade flag_ohlcv taint_forward merge_upsert source_reconcile log_returns rolling_volatility ema_rsi limit_bias alpha_002 alpha_013 alpha_039 alpha_104 asof_previous asof_next"
     " ensemble_ranks cs_rank_masked magnitude_label quintile_label adaptive_bucket regime_monthly market_ema market_breadth rolling_folds fold_range_join spearman_matrix ndcg_daily"
     " store_and_scan csv_round_trip fold_liquidity calendar_split rolling_ir market_gate precision_at_k performance_report regime_islands outlier_report block_sign_flip moving_block_bootstrap holm_correction suggested_block price_limits rank_weighted_picks score_models significance_family"
+    " incremental_upsert change_detection last_trading_day rescale_volume rolling_extremes distinct_columns permutation_importances effective_n autocorrelation_table signals_gated event_windows event_sessions"
+    " offset_sensitivity vendor_scan stream_bars paired_returns clean_universe alpha_007 alpha_035 alpha_055"
 ).split()
 
 
