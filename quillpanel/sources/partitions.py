@@ -53,15 +53,18 @@ def _within(partitions: list[tuple[int, int]]) -> Column:
     return test
 
 
+def prepared(new: DataFrame, since: str = "2016-01-01", order: Column | None = None) -> DataFrame:
+    """New rows with close_raw (close stands in for a missing column), one for each key: the last by `order`, by default the largest by all columns; none before `since`."""
+    new = new if "close_raw" in new.columns else new.withColumn("close_raw", F.col("close"))
+    return keep_last(new, F.struct(*sorted(new.columns)) if order is None else order).drop("f_dup").where(F.col("date") >= since)
+
+
 def upsert(spark: SparkSession, path: str, new: DataFrame, buckets: int = 16, since: str = "2016-01-01", move: float = 0.15, order: Column | None = None) -> list[tuple[int, int]]:
     """Merges new rows into a stored panel and returns the (year, bucket) partitions that were written.
 
-    New rows win; the first close_raw ever seen for a key stays (close stands in for a missing column); flags are computed again where they can change. Of new rows that
-    share a key the last by `order` counts, by default the largest by all its columns, so a repeated batch gives the same panel. Rows before `since` are ignored.
+    New rows, as prepared() gives them, win; the first close_raw ever seen for a key stays; flags are computed again where they can change. A repeated batch gives the same panel.
     """
-    new = new if "close_raw" in new.columns else new.withColumn("close_raw", F.col("close"))
-    new = keep_last(new, F.struct(*sorted(new.columns)) if order is None else order).drop("f_dup").where(F.col("date") >= since)
-    new = saved(_placed(new, buckets), "panel-new")
+    new = saved(_placed(prepared(new, since, order), buckets), "panel-new")
     touched = {(r["year"], r["bucket"]) for r in new.select("year", "bucket").distinct().collect()}
     if not touched:
         return []

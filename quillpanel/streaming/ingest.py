@@ -19,8 +19,9 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, buckets: int =
 
     def write(batch: DataFrame, number: int) -> None:
         if number == 0:
-            partitions.create(batch.limit(0) if "close_raw" in batch.columns else batch.limit(0).withColumn("close_raw", F.col("close")), path, buckets)
-        partitions.upsert(spark, path, batch, buckets, since)
+            partitions.create(partitions.prepared(batch, since), path, buckets)
+        else:
+            partitions.upsert(spark, path, batch, buckets, since)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

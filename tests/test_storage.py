@@ -68,10 +68,10 @@ def test_upserts_equal_a_merge_of_everything(spark, tmp_path):
 
 def test_kernel_equals_frames(spark, sf):
     panel = walk_panel(spark, sf).where("symbol < 4").withColumn("x", F.when(F.col("volume") % 3 > 0, F.round("close", 1)))
-    made = kernel.along(panel, {"rank": ("x", kernel.rank(20, 5)), "high": ("x", kernel.highest(30, 4)), "low": ("x", kernel.lowest(15)), "first": ("close", kernel.argmax(12))})
+    made = kernel.along(panel, {"rank": ("x", kernel.rank(20, 5)), "top": ("x", kernel.highest(30, 4)), "least": ("x", kernel.lowest(15)), "first": ("close", kernel.argmax(12))})
     rows = made.withColumns({"r": ts.rank("x", 20, 5), "h": ts.highest("x", 30, 4), "l": ts.lowest("x", 15), "f": ts.argmax("close", 12)}).collect()
     near = lambda a, b: (a is None) == (b is None) and (a is None or a == pytest.approx(b))
-    assert rows and all(near(r["rank"], r["r"]) and near(r["high"], r["h"]) and near(r["low"], r["l"]) and near(r["first"], r["f"]) for r in rows)
+    assert rows and all(near(r["rank"], r["r"]) and near(r["top"], r["h"]) and near(r["least"], r["l"]) and near(r["first"], r["f"]) for r in rows)
 
 
 def test_argmax_by_brute_force():
