@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillpanel.llm.common import most_frequent, save, slices, strings
+from quillpanel.llm.common import most_frequent, save, slices, strings, tidy
 
 #: Fixed values of the vocabulary's pre-tokenizer: contractions, runs of letters, single digits, runs of other signs.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -257,7 +257,7 @@ class Lexicon:
 class Encoder:
     """Texts to ids, with a bounded cache of the chunks that this worker has met: a chunk's number, and the place of its ids in one array."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None, cached: int = 400_000):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None, cached: int = 300_000):
         self.vocab, self.lexicon, self.cached = vocab, lexicon, cached
         self.forget()
 
@@ -342,7 +342,7 @@ def frequent_words(docs: DataFrame, path: str, size: int, held: int = 600_000) -
                     yield out()
         yield out()
 
-    counts = save(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "bpe-words")
+    counts = save(docs.select("text").mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "bpe-words")
     return [r[0] for r in most_frequent(counts, "n", size).collect()]
 
 
@@ -374,7 +374,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", lex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, shared.value)
         for batch in batches:
-            for part in slices(batch, at, 3_000_000):
+            for part in slices(batch, at, 2_000_000):
                 found, ends = encoder.encode_all(strings(part.column(at)))
                 columns = [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(found)), encoder.joined(found, ends, encoder.vocab.tokens)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, ids, f"{ids}_decoded"])
@@ -382,7 +382,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", lex
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
     schema = StructType([*source.schema.fields]).add(ids, ArrayType(IntegerType())).add(f"{ids}_decoded", StringType())
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def digests(docs: DataFrame, path: str, lexicon_size: int = 65_536) -> DataFrame:
@@ -396,12 +396,12 @@ def digests(docs: DataFrame, path: str, lexicon_size: int = 65_536) -> DataFrame
         encoder = _encoder(path, shared.value)
         digest = lambda texts: pa.array([hashlib.sha256(t).hexdigest() for t in texts.cast(pa.binary()).to_pylist()], pa.string())
         for batch in batches:
-            for part in slices(batch, 1, 3_000_000):
+            for part in slices(batch, 1, 2_000_000):
                 ids, ends = encoder.encode_all(strings(part.column(1)))
                 columns = [part.column(0), pa.array(np.diff(ends).astype(np.int64)), *(digest(encoder.joined(ids, ends, n)) for n in (encoder.vocab.printed, encoder.vocab.tokens))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,29 @@ def without(docs: DataFrame, ids: DataFrame, name: str, broadcast_rows: int = 50
     return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
+def local(spark: SparkSession, rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> DataFrame:
+    """A table of a few rows, by way of Arrow: from tuples Spark would start Python workers of a second kind, which then stay in every executor."""
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names))
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, after which the worker gives memory back to the system: it lives on for other tasks, and so would the memory of its largest one."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def bounded_sample(rows: DataFrame, name: str, per_label: int, most_bytes: int) -> list[tuple]:
     """(id, text, label) in order of id, text and label, for the driver to fit on: of rows (id, label, text) at most `per_label` ids of each label and `most_bytes` of UTF-8 in all.
 
@@ -97,7 +122,7 @@ def bounded_sample(rows: DataFrame, name: str, per_label: int, most_bytes: int)
         else:
             passed.append((r["id"], r["label"]))
     if passed:
-        gone = rows.sparkSession.createDataFrame(passed, once.select("id", "label").schema)
+        gone = local(rows.sparkSession, passed, kinds[:2], ["id", "label"])
         once = once.join(F.broadcast(gone), ["id", "label"], "left_anti")
     return sorted((r["id"], r["text"], r["label"]) for r in once.collect())
 

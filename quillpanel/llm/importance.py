@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillpanel.llm.common import save, slices
+from quillpanel.llm.common import local, save, slices
 from quillpanel.llm.decontam import words_of
 
 #: part of a row that lists a block's documents, and of a row with the bucket counts of a whole task.
@@ -162,7 +162,7 @@ def resample(docs: DataFrame, target: DataFrame, share: int = 25, least_words: i
     for r in placed.groupBy(step.alias("k")).count().orderBy("k").collect():  # one row for each partition
         begins.append((r["k"], before))
         before += r["count"]
-    begins = docs.sparkSession.createDataFrame(begins, "k long, before long")
+    begins = local(docs.sparkSession, begins, [pa.int64(), pa.int64()], ["k", "before"])
     rank = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     ranked = placed.join(F.broadcast(begins), step == F.col("k"))
     return ranked.select("doc_id", "n_features", "weight", "score", F.when(able & (rank <= drawn), rank).alias("rank"), "n_words")

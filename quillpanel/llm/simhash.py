@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quillpanel.llm.common import save, slices
+from quillpanel.llm.common import save, slices, tidy
 from quillpanel.llm.graph import components
 
 #: The odd constants of the public splitmix64 generator.
@@ -375,10 +375,10 @@ def copies(docs: DataFrame, shingle: int = 5, wide: int = 4, radius: int = 80, b
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(data, pa.binary())], names=["label", "node", "n", "hashes"])
 
     schema = StructType([*_longs(longs).fields, StructField("text", StringType())])
-    found = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, schema), "fingerprints")
+    found = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(sketch), schema), "fingerprints")
     nodes = save(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), *[F.max(c).alias(c) for c in ["n", *names, *keys]]), "nodes")
     near = components(band_links(nodes, wide, bands, radius)).join(nodes.select("node", "row"), "node").select("row", "label")
     texts = found.select("row", "node", "n", "text").join(near, "row").select("label", "node", "n", "text")
-    sets = save(texts.mapInArrow(hashed, "label long, node long, n long, hashes binary"), "sets")
+    sets = save(texts.mapInArrow(tidy(hashed), "label long, node long, n long, hashes binary"), "sets")
     found = _members(found.select("doc_id", "node"), nodes, exact_links(sets))
     return found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()

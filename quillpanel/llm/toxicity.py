@@ -19,7 +19,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillpanel.llm.common import bounded_sample, fold, strings
+from quillpanel.llm.common import bounded_sample, fold, strings, tidy
 
 #: Bytes gained by a window, from none to this many and more.
 GAINS = 8
@@ -204,4 +204,4 @@ def score(docs: DataFrame, model: Model, held_out: bool = True) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-    return source.mapInArrow(run, StructType([*source.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType()))
+    return source.mapInArrow(tidy(run), StructType([*source.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType()))
