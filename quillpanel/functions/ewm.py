@@ -3,28 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from quillpanel.functions import kernel
 
 
 def decay(x: np.ndarray, alpha: float) -> np.ndarray:
     """adjust=False; leading gaps stay empty, an inner gap lets the old weight decay once for each row passed."""
-    return pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    return kernel.decayed(alpha)(x)
 
 
 def averages(panel: DataFrame, columns: dict[str, tuple[str, float]], key: str = "symbol") -> DataFrame:
     """Adds each named average: (source column, alpha), in order of date. A symbol's history must fit in a task: some thousand rows."""
-    schema = StructType([*panel.schema.fields, *(StructField(c, DoubleType()) for c in columns)])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date", kind="stable")
-        for name, (source, alpha) in columns.items():
-            y = decay(rows[source].to_numpy(np.float64, na_value=np.nan), alpha)
-            rows[name] = pd.Series(y, index=rows.index).astype(object).where(~np.isnan(y), None) if np.isnan(y).any() else y
-        return rows
-
-    return panel.groupBy(key).applyInPandas(run, schema)
+    return kernel.along(panel, {name: (source, kernel.decayed(alpha)) for name, (source, alpha) in columns.items()}, key)
 
 
 def span(n: int) -> float:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillpanel.sources.market import saved
+from quillpanel.sources.market import Scratch
 
 #: A gradient or hessian is at most this many units, so that 2^33 rows add up within 63 bits and a batch within a double.
 UNIT = 1 << 28
@@ -172,7 +172,7 @@ def quantile_cuts(train: DataFrame, features: list[str], bins: int, kept: int =
     return last
 
 
-def pack(train: DataFrame, features: list[str], target: str, cuts: dict[int, list[np.ndarray]], seed: int) -> DataFrame:
+def pack(train: DataFrame, features: list[str], target: str, cuts: dict[int, list[np.ndarray]], seed: int, scratch: Scratch) -> DataFrame:
     """fold, date, n, and as bytes: bins, y, keys (a hash of symbol and date) and margins of the date's rows in order of symbol. A date's cross-section fits in a task."""
     rows = train.where(F.col(target).isNotNull()).select("fold", "date", "symbol", F.xxhash64("symbol", "date", F.lit(seed)).alias("_key"), F.col(target).cast("double").alias("_y"), *(F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(features)))
 
@@ -183,7 +183,7 @@ def pack(train: DataFrame, features: list[str], target: str, cuts: dict[int, lis
         return pd.DataFrame({"fold": day["fold"].iloc[:1].to_numpy(), "date": day["date"].iloc[:1].to_numpy(), "n": [len(day)], **{k: [v.tobytes()] for k, v in data.items()}})
 
     schema = f"fold int, date {dict(train.dtypes)['date']}, n long, bins binary, y binary, keys binary, margin binary"
-    return saved(rows.groupBy("fold", "date").applyInPandas(run, schema), "boosting-packed")
+    return scratch.saved(rows.groupBy("fold", "date").applyInPandas(run, schema), "boosting-packed")
 
 
 def _arrays(row: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -209,8 +209,15 @@ def fit(train: DataFrame, features: dict[int, list[str]], target: str, s: Settin
     forests = {f: Forest(base[f], cuts[f]) for f in folds}
     if not names or not stats:
         return forests
-    packed = pack(train, names, target, cuts, s.seed)
-    context = train.sparkSession.sparkContext
+    with Scratch(train.sparkSession) as scratch:
+        _boost(pack(train, names, target, cuts, s.seed, scratch), forests, features, names, bound, bends, s, scratch)
+    return forests
+
+
+def _boost(packed: DataFrame, forests: dict[int, Forest], features: dict[int, list[str]], names: list[str], bound: float, bends: float, s: Settings, scratch: Scratch) -> None:
+    """Adds the trees of all rounds to the forests."""
+    folds, width, base = sorted(forests), len(names), {f: x.base for f, x in forests.items()}
+    context = packed.sparkSession.sparkContext
     since = 0
     for number in range(s.rounds):
         new, allowed = {f: Tree.empty(s.depth, s.bins) for f in folds}, {}
@@ -235,12 +242,12 @@ def fit(train: DataFrame, features: dict[int, list[str]], target: str, s: Settin
                         g, h, b = units(g, bound)[some], units(h, bends)[some], b[some]
                         node = tree.node(b, level) - (1 << level)
                         if row["fold"] not in sums:
-                            sums[row["fold"]] = tuple(np.zeros(((1 << level) * width * s.bins), np.int64) for _ in range(2))
+                            sums[row["fold"]] = tuple(np.zeros((1 << level, width, s.bins), np.int64) for _ in range(2))
                         for i in used.tolist():
-                            key = (node * width + i) * s.bins + b[:, i]
+                            key = node * s.bins + b[:, i]
                             for total, x in zip(sums[row["fold"]], (g, h), strict=True):
-                                total += np.bincount(key, weights=x, minlength=len(total)).astype(np.int64)
-                for f, (g, h) in sums.items():
+                                total[:, i] += np.bincount(key, weights=x, minlength=s.bins << level).astype(np.int64).reshape(-1, s.bins)
+                for f, (g, h) in ((f, (a.ravel(), b.ravel())) for f, (a, b) in sums.items()):
                     there = np.flatnonzero((g != 0) | (h != 0))
                     yield pa.RecordBatch.from_arrays([pa.array(there + f * len(g)), pa.array(g[there]), pa.array(h[there])], names=["cell", "g", "h"])
 
@@ -255,8 +262,7 @@ def fit(train: DataFrame, features: dict[int, list[str]], target: str, s: Settin
         for f in folds:
             forests[f].trees.append(new[f])
         if len(forests[folds[0]].trees) - since >= s.keep and number + 1 < s.rounds:
-            packed, since = _advanced(packed, {f: forests[f].trees[since:] for f in folds}, width), number + 1
-    return forests
+            packed, since = _advanced(packed, {f: forests[f].trees[since:] for f in folds}, width, scratch), number + 1
 
 
 def grow(tree: Tree, level: int, g: np.ndarray, h: np.ndarray, allowed: np.ndarray, s: Settings) -> None:
@@ -276,8 +282,8 @@ def grow(tree: Tree, level: int, g: np.ndarray, h: np.ndarray, allowed: np.ndarr
             tree.value[2 * k + 1] = leaf(total_g - left_g, total_h - left_h, s) if best else 0.0
 
 
-def _advanced(packed: DataFrame, trees: dict[int, list[Tree]], width: int) -> DataFrame:
-    """The packed table with the trees' values in its margins, written anew: later passes route rows through later trees only, and a lost executor costs no more than that."""
+def _advanced(packed: DataFrame, trees: dict[int, list[Tree]], width: int, scratch: Scratch) -> DataFrame:
+    """The packed table with the trees' values in its margins, written anew in place of the old: later passes route rows through later trees only, and a lost executor costs no more than that."""
     held = packed.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +294,9 @@ def _advanced(packed: DataFrame, trees: dict[int, list[Tree]], width: int) -> Da
                 made.append((margin + margins(b, held.value[row["fold"]])).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], schema=batch.schema)
 
-    return saved(packed.mapInArrow(run, packed.schema), "boosting-margins")
+    made = scratch.saved(packed.mapInArrow(run, packed.schema), "boosting-margins")
+    scratch.leave(1)
+    return made
 
 
 def predict(test: DataFrame, forests: dict[int, Forest], features: dict[int, list[str]]) -> DataFrame:

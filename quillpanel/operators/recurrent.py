@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillpanel.sources.market import saved
+from quillpanel.sources.market import Scratch
 
 #: Gradients are whole multiples of this; a chunk's are clipped at 2^16, so 2^21 chunks a batch add up within 63 bits.
 FINE = 2.0**-24
@@ -107,7 +107,7 @@ def _cube(column: pd.Series) -> np.ndarray:
     return np.array([[[np.nan if v is None else v for v in r] for r in q] for q in column], float)
 
 
-def pack(known: DataFrame, nets: dict[int, Network], chunks: int, s: Settings) -> DataFrame:
+def pack(known: DataFrame, nets: dict[int, Network], chunks: int, s: Settings, scratch: Scratch) -> DataFrame:
     """fold, chunk, n, x (scaled, rows by steps by features) and y (scaled) as bytes, rows in order of date and symbol; known has fold, date, symbol, _q and _y."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +116,7 @@ def pack(known: DataFrame, nets: dict[int, Network], chunks: int, s: Settings) -
         return pd.DataFrame({"fold": part["fold"].iloc[:1].to_numpy(), "chunk": part["chunk"].iloc[:1].to_numpy(), "n": [len(part)], "x": [x.tobytes()], "y": [y.tobytes()]})
 
     rows = known.withColumn("chunk", F.pmod(F.xxhash64("symbol", "date", F.lit(s.seed)), F.lit(chunks)).cast("int")).select("fold", "chunk", "date", "symbol", "_q", "_y")
-    return saved(rows.groupBy("fold", "chunk").applyInPandas(run, "fold int, chunk int, n long, x binary, y binary"), "recurrent-packed")
+    return scratch.saved(rows.groupBy("fold", "chunk").applyInPandas(run, "fold int, chunk int, n long, x binary, y binary"), "recurrent-packed")
 
 
 def fit(train: DataFrame, features: dict[int, list[str]], target: str, s: Settings) -> dict[int, Network]:
@@ -134,10 +134,16 @@ def fit(train: DataFrame, features: dict[int, list[str]], target: str, s: Settin
     nets = {f: net for f, net in nets.items() if counts.get(f)}
     if not nets:
         return {}
-    packed = pack(known, nets, max(s.batches, -(-max(counts.values()) // s.chunk)), s)
+    with Scratch(train.sparkSession) as scratch:
+        _train(pack(known, nets, max(s.batches, -(-max(counts.values()) // s.chunk)), s, scratch), nets, s)
+    return nets
+
+
+def _train(packed: DataFrame, nets: dict[int, Network], s: Settings) -> None:
+    """Moves the networks' weights through all epochs."""
     size = len(next(iter(nets.values())).flat)
     first, second = ({f: np.zeros(size) for f in nets} for _ in range(2))
-    context, step = train.sparkSession.sparkContext, 0
+    context, step = packed.sparkSession.sparkContext, 0
     for _ in range(s.epochs):
         for batch_number in range(s.batches):
             step += 1
@@ -165,7 +171,6 @@ def fit(train: DataFrame, features: dict[int, list[str]], target: str, s: Settin
                     second[f] = 0.999 * second[f] + 0.001 * mean * mean
                     net.flat = net.flat - s.rate * (first[f] / (1 - 0.9**step)) / (np.sqrt(second[f] / (1 - 0.999**step)) + 1e-8)
             held.destroy()
-    return nets
 
 
 def predict(train: DataFrame, test: DataFrame, nets: dict[int, Network], features: dict[int, list[str]], s: Settings) -> DataFrame:

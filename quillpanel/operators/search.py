@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillpanel.sources.market import saved
+from quillpanel.sources.market import Scratch
 
 #: (name, left, right), the number of a feature, or a constant (a float).
 Tree = tuple | int | float
@@ -89,7 +89,7 @@ def column(t: Tree, features: list[str]) -> Column:
     return F.least(F.greatest(out, F.lit(-1e12)), F.lit(1e12))
 
 
-def pack(train: DataFrame, features: list[str], target: str) -> DataFrame:
+def pack(train: DataFrame, features: list[str], target: str, scratch: Scratch) -> DataFrame:
     """date, n, x (missing values are 0), y (the date's centred rank of the target) and key, as bytes; rows without a target are left out."""
     rows = train.where(F.col(target).isNotNull()).select("date", "symbol", F.xxhash64("symbol", "date").alias("_key"), F.col(target).cast("double").alias("_y"), *(F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(features)))
 
@@ -99,7 +99,7 @@ def pack(train: DataFrame, features: list[str], target: str) -> DataFrame:
         y = day["_y"].round(10).rank(pct=True).to_numpy() - 0.5
         return pd.DataFrame({"date": day["date"].iloc[:1].to_numpy(), "n": [len(day)], "x": [x.tobytes()], "y": [y.tobytes()], "key": [day["_key"].to_numpy(np.int64).tobytes()]})
 
-    return saved(rows.groupBy("date").applyInPandas(run, f"date {dict(train.dtypes)['date']}, n long, x binary, y binary, key binary"), "search-packed")
+    return scratch.saved(rows.groupBy("date").applyInPandas(run, f"date {dict(train.dtypes)['date']}, n long, x binary, y binary, key binary"), "search-packed")
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
@@ -174,8 +174,12 @@ def bred(rng: np.random.Generator, trees: list[Tree], scores: np.ndarray, width:
 def mine(train: DataFrame, features: list[str], target: str, s: Settings | None = None) -> list[Tree]:
     """The least alike of the best trees: of the last generation's `fame` best by metric, the worse of the most correlated pair goes until `components` are left."""
     s = s or Settings()
-    packed, rng = pack(train, features, target), np.random.default_rng(s.seed)
-    low, high = s.depth
+    with Scratch(train.sparkSession) as scratch:
+        return _bred_best(pack(train, features, target, scratch), features, s)
+
+
+def _bred_best(packed: DataFrame, features: list[str], s: Settings) -> list[Tree]:
+    rng, (low, high) = np.random.default_rng(s.seed), s.depth
     trees = [grown(rng, len(features), int(rng.integers(low, high + 1)), k % 2 == 0) for k in range(s.population)]
     for number in range(s.generations):
         scores = fitness(packed, trees, len(features), s, number)

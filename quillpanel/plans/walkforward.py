@@ -55,6 +55,7 @@ def walk_forward(
         chosen = dict(zip((r["fold"] for r in folds), pool.map(used, (r["fold"] for r in folds)), strict=True))
     made = models.fit_predict_folds(model, train, test, chosen, **parameters)
     made = made.withColumn("pred_quintile", cs.bucket(F.col("symbol"), F.round("pred_score", 10), 5, Window.partitionBy("fold", "date"))).withColumnRenamed("fold", "fold_index")
+    made = saved(made, "predictions")
     return made, fold_scores(made, table, target, ret, k)
 
 

@@ -39,6 +39,31 @@ def saved(table: DataFrame, name: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one fit writes to the shared folder, as saved() does, and takes away when it ends or no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.leave(0)
+
+    def saved(self, table: DataFrame, name: str) -> DataFrame:
+        self.paths.append(shared_path(self.spark, name))
+        table.write.parquet(self.paths[-1])
+        return self.spark.read.schema(table.schema).parquet(self.paths[-1])
+
+    def leave(self, last: int) -> None:
+        """Deletes all tables but the last ones."""
+        gone, self.paths = (self.paths[: len(self.paths) - last], self.paths[len(self.paths) - last :])
+        for path in gone:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def store(panel: DataFrame, path: str, mode: str = "overwrite", files: int = 8) -> None:
     """Parquet in folders by year, so that date filters prune them; a year's symbols are dealt over `files` tasks and files."""
     part = F.pmod(F.xxhash64(F.col("symbol").cast("string")), F.lit(files))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillpanel.operators import search
+from quillpanel.sources.market import Scratch
 
 TREES = [("add", 0, ("mul", 1, 2)), ("div", 0, ("sub", 1, 1)), ("sub", ("div", 2, 1), 0.25), 1, 0.5]
 
@@ -34,7 +35,7 @@ def test_trees_as_arrays_and_columns(spark):
 @pytest.mark.parametrize("metric", ["pearson", "rank_ic"])
 def test_fitness_by_brute_force(spark, metric):
     table = rows(2)
-    packed = search.pack(spark.createDataFrame(table).repartition(5), ["a", "b", "c"], "y")
+    packed = search.pack(spark.createDataFrame(table).repartition(5), ["a", "b", "c"], "y", Scratch(spark))
     found = search.fitness(packed, TREES, 3, search.Settings(metric=metric, share=1.0))
     table["r"] = table.groupby("date").y.rank(pct=True) - 0.5
     x = table[["a", "b", "c"]].to_numpy()
@@ -53,6 +54,6 @@ def test_a_planted_factor_is_found(spark):
     trees = search.mine(train, ["a", "b", "c"], "y", s)
     assert len(trees) == 3 and trees == search.mine(train.repartition(6), ["a", "b", "c"], "y", s)
     other = rows(4)
-    scores = search.fitness(search.pack(spark.createDataFrame(other), ["a", "b", "c"], "y"), trees, 3, s)
+    scores = search.fitness(search.pack(spark.createDataFrame(other), ["a", "b", "c"], "y", Scratch(spark)), trees, 3, s)
     assert scores.max() > 0.95
     assert search.factors(train.where(F.lit(False)), trees, ["a", "b", "c"]).count() == 0
