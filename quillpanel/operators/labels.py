@@ -57,7 +57,11 @@ def regime_days(panel: DataFrame, n: int = 21, smooth: int = 63, history: int =
     r = panel.withColumn("_m", F.try_divide("close", ts.delay("close", n)) - 1).withColumn("_m", ts.delay("_m", 1))
     r = r.select("date", F.when(mask, F.col("_m")).alias("m"))
     middle = r.groupBy("date").agg(F.median("m").alias("mid"))
-    day = r.join(middle, "date").groupBy("date").agg(F.median(F.abs(F.col("m") - F.col("mid"))).alias("mad"))
+    return regime_of(r.join(middle, "date").groupBy("date").agg(F.median(F.abs(F.col("m") - F.col("mid"))).alias("mad")), smooth, history)
+
+
+def regime_of(day: DataFrame, smooth: int = 63, history: int = 252) -> DataFrame:
+    """regime_days() from each date's median deviation, mad."""
     w = by_date().rowsBetween(-(smooth - 1), 0)
     day = day.withColumn("regime_mad", F.round(F.when(F.count("mad").over(w) >= smooth // 2, F.avg("mad").over(w)), 10))
     day = day.withColumn("regime_rank", _day_rank("regime_mad", history))
@@ -73,6 +77,11 @@ def market_days(panel: DataFrame) -> DataFrame:
     """Per date: EMAs of the liquid symbols' mean log returns over three months (63) and one (21)."""
     mask = F.col("is_liquid") if "is_liquid" in panel.columns else F.lit(True)
     day = panel.groupBy("date").agg(F.avg(F.when(mask, F.col("log_ret_3m"))).alias("a3"), F.avg(F.when(mask, F.col("log_ret_1m"))).alias("a1"))
+    return market_of(day)
+
+
+def market_of(day: DataFrame) -> DataFrame:
+    """market_days() from each date's means, a3 and a1."""
     return _day_ema(day, {"market3m_ema63": ("a3", ewm.span(63)), "market1m_ema21": ("a1", ewm.span(21))}).select("date", "market3m_ema63", "market1m_ema21")
 
 
@@ -80,6 +89,11 @@ def breadth_days(panel: DataFrame, source: str = "log_ret_1m", history: int = 25
     """Per date: EMA 21 of the share of rising symbols, and whether it is below the lower quarter of its history to the day before."""
     mask = F.col("is_liquid") if "is_liquid" in panel.columns else F.lit(True)
     day = panel.groupBy("date").agg(F.avg(F.when(mask & F.col(source).isNotNull(), (F.col(source) > 0).cast("double"))).alias("up"))
+    return breadth_of(day, history)
+
+
+def breadth_of(day: DataFrame, history: int = 252) -> DataFrame:
+    """breadth_days() from each date's share of rising symbols, up."""
     day = _day_ema(day, {"breadth_ema21": ("up", ewm.span(21))})
     day = day.withColumn("_b", F.lag("breadth_ema21").over(by_date()))
     w = by_date().rowsBetween(-(history - 1), 0)

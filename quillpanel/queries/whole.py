@@ -70,9 +70,7 @@ def build_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On the weekly panel, where a date has fifty symbols or more from sf0.01 on."""
     table = build.build_features(walk_panel(spark, sf_dir, weekly=True), least_per_date=50)
     shown = [c for c in table.columns if c not in ("symbol", "date", *market.BARS, "is_liquid")]
-    four = rounded(table, ["target_magnitude"], 4)
-    five = rounded(table.drop("target_magnitude"), [c for c in shown if c != "target_magnitude"], 5)
-    return five.join(four, ["symbol", "date"])
+    return rounded(table, shown, {c: 4 if c == "target_magnitude" else 5 for c in shown})
 
 
 # Storage

@@ -44,3 +44,23 @@ def test_array_windows_equal_pandas():
 def test_a_frame_of_equal_values_has_no_spread():
     x = np.full(30, 0.1)
     assert (rolling.std(x, 7)[6:] == 0).all() and np.isnan(rolling.corr(x, np.arange(30.0), 7)).all() and np.isnan(rolling.skew(x, 7)).all()
+
+
+def test_features_are_written_once_and_ranked_in_place(spark, sf):
+    """One table is written; what follows are a symbol's, a date's and the last count's exchange, and those of the small table of dates."""
+    tables, exchanges = written(spark, lambda: QUERIES["build_features"](spark, sf))
+    assert [t.split("-")[0] for t in tables] == ["features"] and exchanges <= 16
+
+
+def test_features_of_a_symbol_equal_the_column_functions(spark, sf):
+    from quillpanel.operators import features as f
+    from quillpanel.sources.panels import walk_panel
+
+    panel = walk_panel(spark, sf)
+    for step in (f.log_returns, f.volatilities, f.simple_averages, f.exponential_features, f.volume_features, f.volume_quality, f.turnover, f.limit_bias, f.amihud, f.adtv):
+        panel = step(panel)
+    table = panel.where("symbol = 1").orderBy("date").toPandas()
+    made = f.of_symbol({c: table[c].to_numpy(float) for c in ("open", "high", "low", "close", "volume")})
+    assert len(table) > 100 and len(made) == len(table.columns) - 7
+    for c, x in made.items():
+        assert x == pytest.approx(table[c].astype(float).to_numpy(), rel=1e-9, abs=1e-12, nan_ok=True), c
