@@ -1,8 +1,8 @@
 """Histogram boosting of shallow trees, for several training sets (folds) at once.
 
-Features become bins by each fold's own quantiles, once; a row of the packed table holds one date of one fold. A level of a tree is one pass: every task routes its rows
-through the trees so far, takes gradients, and adds up (node, feature, bin) cells before one shuffle brings a bounded number of cells to the driver, which picks the
-splits of all folds. Gradients are whole numbers of a fixed unit, so sums, and with them the trees, do not depend on how rows are dealt out.
+Features become bins by each fold's own quantiles, once; a row of the packed table holds one date of one fold. In a round every task routes
+its rows through the trees since the last margins and takes gradients once; what the round's sample needs is kept in memory for its levels. A level is one pass: every task
+adds up (node, feature, bin) cells before one shuffle brings a bounded number of cells to the driver, which picks the splits of all folds. Gradients are whole numbers of a fixed unit, so sums, and with them the trees, do not depend on how rows are dealt out.
 """
 
 from __future__ import annotations
@@ -55,10 +55,17 @@ class Tree:
         return cls(np.zeros(1 << depth, np.int64), np.full(1 << depth, bins, np.int64), np.zeros(1 << depth))
 
     def node(self, binned: np.ndarray, levels: int) -> np.ndarray:
-        at, rows = np.ones(len(binned), np.int64), np.arange(len(binned))
-        for _ in range(levels):
-            at = at * 2 + (binned[rows, self.feature[at]] > self.limit[at])
-        return at
+        """The node of each row after so many levels. Each inner node's test is one comparison of a whole column of bins, kept as a contiguous row, and a row takes its node's bit."""
+        columns, place = np.asfortranarray(binned).T, np.zeros(len(binned), np.uint8 if levels <= 8 else np.uint32)
+        for level in range(levels):
+            bit = np.zeros(len(place), np.uint8)
+            for k in range(1 << level):
+                i = (1 << level) + k
+                if self.limit[i] < 255:  # no bin is above 255
+                    right = columns[self.feature[i]] > np.uint8(self.limit[i])
+                    bit |= (right & (place == k)).view(np.uint8) if level else right.view(np.uint8)
+            place = (place << 1) | bit
+        return place.astype(np.int64) + (1 << levels)
 
 
 @dataclass
@@ -80,6 +87,7 @@ def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
 
 def margins(b: np.ndarray, trees: list[Tree]) -> np.ndarray:
     out = np.zeros(len(b))
+    b = np.asfortranarray(b)
     for t in trees:
         out += t.value[t.node(b, len(t.value).bit_length() - 1) - len(t.value)]
     return out
@@ -89,17 +97,21 @@ def ndcg_slopes(y: np.ndarray, s: np.ndarray, pairs: int) -> tuple[np.ndarray, n
     """LambdaMART (Burges 2010) on one date: gradient and hessian of each row, over the pairs that touch the current best `pairs` rows, weighed by the swap's change of NDCG with linear gain."""
     order = np.argsort(-s, kind="stable")
     y, s, n = y[order], s[order], len(y)
-    top = min(pairs, n)
     discount = 1 / np.log2(np.arange(n) + 2)
     ideal = max((np.sort(y)[::-1] * discount).sum(), 1e-12)
-    better = y[:top, None] - y[None, :]
-    rho = 1 / (1 + np.exp(np.clip(np.sign(better) * (s[:top, None] - s[None, :]), -50, 50)))
-    gain = np.abs(better * (discount[:top, None] - discount[None, :])) / ideal
-    gain[np.arange(n)[None, :] < np.arange(top)[:, None]] = 0  # each pair once
-    push, bend = np.sign(better) * rho * gain, rho * (1 - rho) * gain
-    g, h = push.sum(axis=0), bend.sum(axis=0)
-    g[:top] -= push.sum(axis=1)
-    h[:top] += bend.sum(axis=1)
+    g, h, own_g, own_h = np.zeros(n), np.zeros(n), np.zeros(min(pairs, n)), np.zeros(min(pairs, n))
+    for i in range(len(own_g)):  # a row of pairs at a time stays in the processor's cache
+        better = y[i] - y
+        sign = np.sign(better)
+        rho = 1 / (1 + np.exp(np.clip(sign * (s[i] - s), -50, 50)))
+        gain = np.abs(better * (discount[i] - discount)) / ideal
+        gain[:i] = 0  # each pair once
+        push, bend = sign * rho * gain, rho * (1 - rho) * gain
+        g += push
+        h += bend
+        own_g[i], own_h[i] = push.sum(), bend.sum()
+    g[: len(own_g)] -= own_g
+    h[: len(own_h)] += own_h
     out = np.empty(n), np.empty(n)
     out[0][order], out[1][order] = g, h
     return out
@@ -173,22 +185,75 @@ def quantile_cuts(train: DataFrame, features: list[str], bins: int, kept: int =
 
 
 def pack(train: DataFrame, features: list[str], target: str, cuts: dict[int, list[np.ndarray]], seed: int, scratch: Scratch) -> DataFrame:
-    """fold, date, n, and as bytes: bins, y, keys (a hash of symbol and date) and margins of the date's rows in order of symbol. A date's cross-section fits in a task."""
+    """fold, date, n, and as bytes: bins (feature by feature), y, keys (a hash of symbol and date) and margins of the date's rows in order of symbol. A date's cross-section fits in a task.
+
+    The dates are dealt over all cores: left to itself, Spark would join these few bytes to a handful of partitions, and every pass would run in as few tasks.
+    """
     rows = train.where(F.col(target).isNotNull()).select("fold", "date", "symbol", F.xxhash64("symbol", "date", F.lit(seed)).alias("_key"), F.col(target).cast("double").alias("_y"), *(F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(features)))
 
     def run(day: pd.DataFrame) -> pd.DataFrame:
         day = day.sort_values(["symbol", "_key"], kind="stable")
         x = day[[f"_x{i}" for i in range(len(features))]].to_numpy(np.float64, na_value=np.nan)
-        data = {"bins": binned(x, cuts[int(day["fold"].iloc[0])]).astype(np.uint8), "y": day["_y"].to_numpy(np.float64), "keys": day["_key"].to_numpy(np.int64), "margin": np.zeros(len(day))}
+        data = {"bins": binned(x, cuts[int(day["fold"].iloc[0])]).astype(np.uint8).T, "y": day["_y"].to_numpy(np.float64), "keys": day["_key"].to_numpy(np.int64), "margin": np.zeros(len(day))}
         return pd.DataFrame({"fold": day["fold"].iloc[:1].to_numpy(), "date": day["date"].iloc[:1].to_numpy(), "n": [len(day)], **{k: [v.tobytes()] for k, v in data.items()}})
 
     schema = f"fold int, date {dict(train.dtypes)['date']}, n long, bins binary, y binary, keys binary, margin binary"
-    return scratch.saved(rows.groupBy("fold", "date").applyInPandas(run, schema), "boosting-packed")
+    parts = 2 * train.sparkSession.sparkContext.defaultParallelism
+    return scratch.saved(rows.repartition(parts, "fold", "date").groupBy("fold", "date").applyInPandas(run, schema), "boosting-packed")
+
+
+def _rows(batch: pa.RecordBatch, kinds: dict[str, type]) -> Iterator[tuple]:
+    """Of each row its fold and the named columns' bytes as arrays, without a copy."""
+    columns = [(batch.column(batch.schema.get_field_index(c)), kind) for c, kind in kinds.items()]
+    for k, f in enumerate(batch.column(batch.schema.get_field_index("fold")).to_pylist()):
+        yield f, *(np.frombuffer(c[k].as_buffer(), kind) for c, kind in columns)
 
 
-def _arrays(row: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    read = lambda c, kind: np.frombuffer(row[c], kind)
-    return read("bins", np.uint8).reshape(row["n"], width), read("y", np.float64), read("keys", np.int64), read("margin", np.float64)
+PACKED = {"bins": np.uint8, "y": np.float64, "keys": np.int64, "margin": np.float64}
+
+
+def slopes(packed: DataFrame, held, width: int, s: Settings, bound: float, bends: float) -> DataFrame:
+    """fold and, of each date's rows in a round's sample, as bytes: bins, gradients and hessians in units (none for squared error, where all are 1). held: the round, its trees since the margins, and each fold's base."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, trees, base = held.value
+        for batch in batches:
+            for f, b, y, keys, margin in _rows(batch, PACKED):
+                b, some = b.reshape(width, -1), np.flatnonzero(drawn(keys, number, s.rows))
+                margin = margin + margins(b.T, trees[f])
+                if s.loss == "squared":
+                    g, h = units(margin[some] + base[f] - y[some], bound), np.zeros(0)
+                else:
+                    g, h = (units(x[some], limit) for x, limit in zip(ndcg_slopes(y, margin, s.pairs), (bound, bends), strict=True))
+                found = (np.take(b, some, axis=1), g.astype(np.int32), h.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in found)], names=["fold", "bins", "g", "h"])
+
+    return packed.mapInArrow(run, "fold int, bins binary, g binary, h binary")
+
+
+def cells(sampled: DataFrame, held, width: int, s: Settings) -> DataFrame:
+    """Sums of gradients and hessians for each (fold, node, feature, bin) of a level. held: the level, and each fold's tree so far and features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, state = held.value
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for f, b, g, h in _rows(batch, {"bins": np.uint8, "g": np.int32, "h": np.int32}):
+                (tree, used), b = state[f], b.reshape(width, -1)
+                if f not in sums:
+                    sums[f] = tuple(np.zeros((1 << level, width, s.bins), np.int64) for _ in range(2))
+                node, size = (tree.node(b.T, level) - (1 << level)) * s.bins, s.bins << level
+                g, h = g.astype(np.float64), h.astype(np.float64)
+                for i in used.tolist():
+                    key = node + b[i]
+                    sums[f][0][:, i] += np.bincount(key, weights=g, minlength=size).astype(np.int64).reshape(-1, s.bins)
+                    n = np.bincount(key, minlength=size) * UNIT if s.loss == "squared" else np.bincount(key, weights=h, minlength=size).astype(np.int64)
+                    sums[f][1][:, i] += n.reshape(-1, s.bins)
+        for f, (g, h) in ((f, (a.ravel(), b.ravel())) for f, (a, b) in sums.items()):
+            there = np.flatnonzero((g != 0) | (h != 0))
+            yield pa.RecordBatch.from_arrays([pa.array(there + f * len(g)), pa.array(g[there]), pa.array(h[there])], names=["cell", "g", "h"])
+
+    return sampled.mapInArrow(run, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
 def fit(train: DataFrame, features: dict[int, list[str]], target: str, s: Settings) -> dict[int, Forest]:
@@ -225,33 +290,12 @@ def _boost(packed: DataFrame, forests: dict[int, Forest], features: dict[int, li
             mine = [i for i, c in enumerate(names) if c in features[f]]
             rng = np.random.default_rng([s.seed, f, number])
             allowed[f] = np.isin(np.arange(width), rng.choice(mine, max(1, math.ceil(s.columns * len(mine))), replace=False)) if mine else np.zeros(width, bool)
+        round_held = context.broadcast((number, {f: forests[f].trees[since:] for f in folds}, base))
+        sampled = slopes(packed, round_held, width, s, bound, bends).persist()  # the first level makes it, the others read it
         for level in range(s.depth):
             nodes = 1 << level
-            held = context.broadcast((level, number, {f: (forests[f].trees[since:], new[f], np.flatnonzero(allowed[f])) for f in folds}))
-
-            def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                level, number, state = held.value
-                sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-                for batch in batches:
-                    for row in batch.to_pylist():
-                        trees, tree, used = state[row["fold"]]
-                        b, y, keys, margin = _arrays(row, width)
-                        margin = margin + margins(b, trees)
-                        g, h = (margin + base[row["fold"]] - y, np.ones(len(y))) if s.loss == "squared" else ndcg_slopes(y, margin, s.pairs)
-                        some = drawn(keys, number, s.rows)
-                        g, h, b = units(g, bound)[some], units(h, bends)[some], b[some]
-                        node = tree.node(b, level) - (1 << level)
-                        if row["fold"] not in sums:
-                            sums[row["fold"]] = tuple(np.zeros((1 << level, width, s.bins), np.int64) for _ in range(2))
-                        for i in used.tolist():
-                            key = node * s.bins + b[:, i]
-                            for total, x in zip(sums[row["fold"]], (g, h), strict=True):
-                                total[:, i] += np.bincount(key, weights=x, minlength=s.bins << level).astype(np.int64).reshape(-1, s.bins)
-                for f, (g, h) in ((f, (a.ravel(), b.ravel())) for f, (a, b) in sums.items()):
-                    there = np.flatnonzero((g != 0) | (h != 0))
-                    yield pa.RecordBatch.from_arrays([pa.array(there + f * len(g)), pa.array(g[there]), pa.array(h[there])], names=["cell", "g", "h"])
-
-            found = packed.mapInArrow(cells, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+            held = context.broadcast((level, {f: (new[f], np.flatnonzero(allowed[f])) for f in folds}))
+            found = cells(sampled, held, width, s).toArrow()
             size = nodes * width * s.bins
             at = found.column("cell").to_numpy()
             for f in folds:
@@ -259,6 +303,8 @@ def _boost(packed: DataFrame, forests: dict[int, Forest], features: dict[int, li
                 g, h = (np.bincount(at[mine] - f * size, weights=found.column(c).to_numpy()[mine] * (b / UNIT), minlength=size).reshape(nodes, width, s.bins) for c, b in (("g", bound), ("h", bends)))
                 grow(new[f], level, g, h, allowed[f], s)
             held.destroy()
+        sampled.unpersist()
+        round_held.destroy()
         for f in folds:
             forests[f].trees.append(new[f])
         if len(forests[folds[0]].trees) - since >= s.keep and number + 1 < s.rounds:
@@ -288,10 +334,7 @@ def _advanced(packed: DataFrame, trees: dict[int, list[Tree]], width: int, scrat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for row in batch.to_pylist():
-                b, _, _, margin = _arrays(row, width)
-                made.append((margin + margins(b, held.value[row["fold"]])).tobytes())
+            made = [(margin + margins(b.reshape(width, -1).T, held.value[f])).tobytes() for f, b, margin in _rows(batch, {"bins": np.uint8, "margin": np.float64})]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], schema=batch.schema)
 
     made = scratch.saved(packed.mapInArrow(run, packed.schema), "boosting-margins")
