@@ -102,6 +102,12 @@ def pack(train: DataFrame, features: list[str], target: str, scratch: Scratch) -
     return scratch.saved(rows.groupBy("date").applyInPandas(run, f"date {dict(train.dtypes)['date']}, n long, x binary, y binary, key binary"), "search-packed")
 
 
+def slices(x: np.ndarray, *more: np.ndarray, rows: int = 2048) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of a date's rows: all shared subtrees of a generation are held for one run at a time, so memory does not grow with a date's symbols."""
+    for i in range(0, len(x), rows):
+        yield tuple(a[i : i + rows] for a in (x, *more))
+
+
 def _ranks(x: np.ndarray) -> np.ndarray:
     return pd.Series(np.round(x, 10)).rank().to_numpy()
 
@@ -123,17 +129,21 @@ def fitness(packed: DataFrame, trees: list[Tree], width: int, s: Settings, numbe
             for row in batch.to_pylist():
                 x, y, key = np.frombuffer(row["x"]).reshape(row["n"], width), np.frombuffer(row["y"]), np.frombuffer(row["key"], np.int64)
                 some = ((key ^ (number * 7919)) * 48271 % 1_000_003) < s.share * 1_000_003
-                x, y, known = x[some], y[some], {}
+                x, y = x[some], y[some]
                 if len(y) < 2:
                     continue
-                for k, t in enumerate(trees):
-                    v = value(t, x, known)
-                    if s.metric == "rank_ic":
-                        c = _corr(_ranks(v), _ranks(y))
+                if s.metric == "rank_ic":
+                    placed = _ranks(y)
+                    for k, t in enumerate(trees):
+                        c = _corr(_ranks(value(t, x, {})), placed)  # ranks need the whole date, so nothing is kept from tree to tree
                         if c == c:
                             sums[k, :2] += c, 1
-                    else:
-                        sums[k] += len(v), v.sum(), y.sum(), v @ v, v @ y, y @ y
+                    continue
+                for xs, ys in slices(x, y):
+                    known = {}
+                    for k, t in enumerate(trees):
+                        v = value(t, xs, known)
+                        sums[k] += len(v), v.sum(), ys.sum(), v @ v, v @ ys, ys @ ys
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(trees), dtype=np.int32)), *(pa.array(c) for c in sums.T)], names=["k", *(f"s{i}" for i in range(6))])
 
     schema = "k int, " + ", ".join(f"s{i} double" for i in range(6))
@@ -206,9 +216,10 @@ def correlations(packed: DataFrame, trees: list[Tree], width: int) -> np.ndarray
         sums = np.zeros((k, k))
         for batch in batches:
             for row in batch.to_pylist():
-                x, known = np.frombuffer(row["x"]).reshape(row["n"], width), {}
-                v = np.column_stack([np.ones(len(x)), *(value(t, x, known) for t in held.value)])
-                sums += v.T @ v
+                for (x,) in slices(np.frombuffer(row["x"]).reshape(row["n"], width)):
+                    known = {}
+                    v = np.column_stack([np.ones(len(x)), *(value(t, x, known) for t in held.value)])
+                    sums += v.T @ v
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k, dtype=np.int32)), pa.array(sums.ravel())], names=["i", "v"])
 
     found = packed.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow()
