@@ -108,7 +108,7 @@ def _cube(column: pd.Series) -> np.ndarray:
 
 
 def pack(known: DataFrame, nets: dict[int, Network], chunks: int, s: Settings, scratch: Scratch) -> DataFrame:
-    """fold, chunk, n, x (scaled, rows by steps by features) and y (scaled) as bytes, rows in order of date and symbol; known has fold, date, symbol, _q and _y."""
+    """batch, fold, chunk, n, x (scaled, rows by steps by features) and y (scaled) as bytes, rows in order of date and symbol; known has fold, date, symbol, _q and _y. A batch has a folder: a step reads its own rows only."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part, net = part.sort_values(["date", "symbol"], kind="stable"), nets[int(part["fold"].iloc[0])]
@@ -116,7 +116,9 @@ def pack(known: DataFrame, nets: dict[int, Network], chunks: int, s: Settings, s
         return pd.DataFrame({"fold": part["fold"].iloc[:1].to_numpy(), "chunk": part["chunk"].iloc[:1].to_numpy(), "n": [len(part)], "x": [x.tobytes()], "y": [y.tobytes()]})
 
     rows = known.withColumn("chunk", F.pmod(F.xxhash64("symbol", "date", F.lit(s.seed)), F.lit(chunks)).cast("int")).select("fold", "chunk", "date", "symbol", "_q", "_y")
-    return scratch.saved(rows.groupBy("fold", "chunk").applyInPandas(run, "fold int, chunk int, n long, x binary, y binary"), "recurrent-packed")
+    parts = 2 * known.sparkSession.sparkContext.defaultParallelism  # so that no few tasks make, or read, all chunks
+    made = rows.repartition(parts, "fold", "chunk").groupBy("fold", "chunk").applyInPandas(run, "fold int, chunk int, n long, x binary, y binary")
+    return scratch.saved(made.withColumn("batch", F.col("chunk") % s.batches), "recurrent-packed", "batch")
 
 
 def fit(train: DataFrame, features: dict[int, list[str]], target: str, s: Settings) -> dict[int, Network]:
@@ -160,7 +162,7 @@ def _train(packed: DataFrame, nets: dict[int, Network], s: Settings) -> None:
                 for f, g in sums.items():
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), f, np.int32)), pa.array(np.arange(len(g), dtype=np.int32)), pa.array(g)], names=["fold", "i", "g"])
 
-            found = packed.where(F.col("chunk") % s.batches == batch_number).mapInArrow(slopes, "fold int, i int, g long").groupBy("fold", "i").agg(F.sum("g").alias("g")).toArrow()
+            found = packed.where(F.col("batch") == batch_number).mapInArrow(slopes, "fold int, i int, g long").groupBy("fold", "i").agg(F.sum("g").alias("g")).toArrow()
             fold, i, g = (found.column(c).to_numpy() for c in ("fold", "i", "g"))
             for f, net in nets.items():
                 total = np.zeros(size + 1)

@@ -26,3 +26,27 @@ def test_a_node_by_columns_is_the_walk_row_by_row():
         for _ in range(levels):
             at = at * 2 + (b[np.arange(len(b)), tree.feature[at]] > tree.limit[at])
         assert (tree.node(b, levels) == at).all() and (tree.node(b.astype(np.int64), levels) == at).all()
+
+
+def test_a_step_of_the_recurrent_model_reads_its_own_batch(spark):
+    from pyspark.sql import functions as F
+
+    from quillpanel.operators import recurrent
+
+    days = [d.date() for d in pd.date_range("2020-01-01", periods=40)]
+    table = spark.createDataFrame(pd.DataFrame([(0, d, s, float(s), [[0.5]], 1.0) for d in days for s in range(4)], columns=["fold", "date", "symbol", "a", "_q", "_y"]))
+    s = recurrent.Settings(length=1, batches=4)
+    net = recurrent.Network.start(["a"], s.hidden, 1, np.zeros(1), np.ones(1), 0.0, 1.0)
+    with Scratch(spark) as scratch:
+        packed = recurrent.pack(table, {0: net}, 8, s, scratch)
+        assert "PartitionFilters: [isnotnull(batch" in packed.where(F.col("batch") == 1)._jdf.queryExecution().toString()
+        assert packed.where("chunk % 4 <> batch").count() == 0 and packed.agg(F.sum("n")).first()[0] == 160
+
+
+def test_subtrees_of_a_long_date_are_held_for_a_run_of_rows():
+    """Sums in runs are the sums of the whole date, and no call sees more rows than a run."""
+    from quillpanel.operators import search
+
+    x, y = np.random.default_rng(1).normal(size=(5000, 2)), np.random.default_rng(2).normal(size=5000)
+    runs = list(search.slices(x, y))
+    assert [len(a) for a, _ in runs] == [2048, 2048, 904] and np.concatenate([a for a, _ in runs]).tolist() == x.tolist() and np.concatenate([b for _, b in runs]).tolist() == y.tolist()
