@@ -64,3 +64,27 @@ def test_features_of_a_symbol_equal_the_column_functions(spark, sf):
     assert len(table) > 100 and len(made) == len(table.columns) - 7
     for c, x in made.items():
         assert x == pytest.approx(table[c].astype(float).to_numpy(), rel=1e-9, abs=1e-12, nan_ok=True), c
+
+
+@pytest.mark.parametrize("name", ["score_models", "significance_family", "outlier_report", "select_value"])
+def test_a_panel_that_is_read_often_is_made_once(spark, sf, name):
+    """What is left to run reads the saved panel, not the lines that it comes from."""
+    assert "lineitem" not in QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_upserts_make_the_panel_once(spark, sf):
+    assert "bars" in [t.split("-")[0] for t in written(spark, lambda: QUERIES["incremental_upsert"](spark, sf))[0]]
+
+
+def test_a_stream_of_bars_has_no_file_of_a_whole_period(spark, sf, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_):
+        raise AssertionError("one task would write, and one read, all bars of a period")
+
+    monkeypatch.setattr(DataFrame, "coalesce", refuse)
+    assert QUERIES["stream_bars"](spark, sf).count() > 0
+
+
+def test_simple_averages_are_no_frames(spark, sf):
+    assert "-199" not in QUERIES["sma_distance"](spark, sf)._jdf.queryExecution().toString()
