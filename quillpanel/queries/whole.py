@@ -85,7 +85,7 @@ kept AS (SELECT symbol, date, close, close_raw FROM every WHERE date >= DATE '19
 @query("incremental_upsert", f"{_CLOSES} SELECT symbol, date, {R('close', 'close', 4)}, {R('close_raw', 'close_raw', 4)}, coalesce(abs(close / {q.lag('close', 1)} - 1) > 0.02, false) AS f_big_move FROM kept")
 def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored panel takes three batches, by thirds of the symbols; only partitions that can change are written."""
-    panel, path = walk_panel(spark, sf_dir), market.shared_path(spark, "upserts")
+    panel, path = market.saved(walk_panel(spark, sf_dir), "bars"), market.shared_path(spark, "upserts")
     old = panel.where(F.expr(_OLD)).where("date >= '1996-01-01'").withColumn("close_raw", F.col("close") * 2)
     new = panel.where(F.expr(_NEW)).withColumn("close_raw", F.col("close") * 3).withColumn("close", F.col("close") + 1)
     partitions.create(old, path, buckets=2, move=0.02)
