@@ -240,13 +240,13 @@ def clean_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_bars", f"""WITH {q.DAILY}, {fq._lc}, {fq._gl}, {fq._ew} SELECT symbol, date, high < low OR high < open OR high < close OR low > open OR low > close OR least(open, high, low, close) <= 0 AS f_bad_ohlc,
 coalesce(abs(close / {q.lag('close', 1)} - 1) > 0.01, false) AS f_big_move, {R('EMA_9', 'EMA_9')}, {R('EMA_50', 'EMA_50')}, {R('CASE WHEN al = 0 AND ag > 0 THEN 100 ELSE 100 - 100 / (1 + ag / nullif(al, 0)) END', 'RSI_14')} FROM ew""")
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel as a stream of three files, one after the other in time; flags and averages are carried from batch to batch."""
+    """The panel as a stream of three batches of files, one after the other in time; flags and averages are carried from batch to batch by the checkpoint."""
     panel, folder = market.saved(walk_panel(spark, sf_dir), "bars"), market.shared_path(spark, "stream")
     for first, last in (("1900-01-01", "1996-12-31"), ("1997-01-01", "1999-12-31"), ("2000-01-01", "2999-12-31")):
-        panel.where(F.col("date").between(first, last)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(panel.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    run = state.follow(stream, 0.01).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
+        panel.where(F.col("date").between(first, last)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(panel.schema).parquet(f"{folder}/in")
+        run = state.follow(stream, 0.01).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
     return rounded(spark.read.parquet(f"{folder}/out").where("not late"), ["f_bad_ohlc", "f_big_move", "EMA_9", "EMA_50", "RSI_14"])
 
 
