@@ -16,10 +16,11 @@ def by_date():
 def magnitude(panel: DataFrame, source: str = "risk_adj_ret", winsor: float = 0.0) -> DataFrame:
     """target_magnitude: 0 to 100 between the date's least and largest value, both clipped at the winsor share; NULL without a range."""
     x = F.col(source)
-    day = panel.groupBy("date").agg(F.percentile(x, F.lit(winsor)).alias("_lo"), F.percentile(x, F.lit(1 - winsor)).alias("_hi"))
+    ends = (F.percentile(x, F.lit(winsor)), F.percentile(x, F.lit(1 - winsor))) if winsor else (F.min(x), F.max(x))
+    day = panel.groupBy("date").agg(ends[0].alias("_lo"), ends[1].alias("_hi"))
     clipped = F.least(F.greatest(x, F.col("_lo")), F.col("_hi"))
     scaled = F.when(x.isNotNull() & (F.col("_hi") > F.col("_lo")), (clipped - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 100)
-    return panel.join(day, "date", "left").withColumn("target_magnitude", scaled).drop("_lo", "_hi")
+    return panel.join(F.broadcast(day), "date", "left").withColumn("target_magnitude", scaled).drop("_lo", "_hi")
 
 
 def adaptive_bucket(panel: DataFrame, source: str = "risk_adj_ret", per: int = 20) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,17 +28,23 @@ class Line:
 def blocks(train: DataFrame, target: str, count: int) -> DataFrame:
     """train with block: each fold's rows in order of date and symbol cut into `count` contiguous blocks whose sizes differ by one at most, the larger first.
 
-    A row's place is the number of rows on earlier dates plus its place on its date, so only small tables of dates are sorted whole.
+    A row's place is the number of rows on earlier dates plus its place on its date, so only small tables of dates are sorted whole. A date within a block needs no places:
+    rows are sorted, and shuffled, only on dates that a border of blocks cuts.
     """
     rows = train.where(F.col(target).isNotNull())
     days = rows.groupBy("fold", "date").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy("fold")
-    days = days.select(F.col("fold").alias("_f"), F.col("date").alias("_d"), (F.sum("_n").over(whole.orderBy("date")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_all"))
+    days = days.select(F.col("fold").alias("_f"), F.col("date").alias("_d"), (F.sum("_n").over(whole.orderBy("date")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_all"), "_n")
+    small, extra = F.floor(F.col("_all") / count), F.col("_all") % count
+
+    def block(at: Column) -> Column:
+        return F.when(at < extra * (small + 1), F.floor(at / (small + 1))).otherwise(extra + F.floor((at - extra * (small + 1)) / F.greatest(small, F.lit(1)))).cast("int")
+
+    days = days.withColumns({"_first": block(F.col("_before")), "_last": block(F.col("_before") + F.col("_n") - 1)})
+    dated = rows.join(F.broadcast(days), (F.col("fold") == F.col("_f")) & F.col("date").eqNullSafe(F.col("_d")))
     place = F.row_number().over(Window.partitionBy("fold", "date").orderBy("symbol")) - 1
-    placed = rows.withColumn("_place", place).join(F.broadcast(days), (F.col("fold") == F.col("_f")) & F.col("date").eqNullSafe(F.col("_d")))
-    at, small, extra = F.col("_before") + F.col("_place"), F.floor(F.col("_all") / count), F.col("_all") % count
-    block = F.when(at < extra * (small + 1), F.floor(at / (small + 1))).otherwise(extra + F.floor((at - extra * (small + 1)) / F.greatest(small, F.lit(1))))
-    return placed.withColumn("block", block.cast("int")).drop("_f", "_d", "_before", "_all", "_place")
+    cut = dated.where("_first <> _last").withColumn("_place", place).withColumn("block", block(F.col("_before") + F.col("_place"))).drop("_place")
+    return dated.where("_first = _last").withColumn("block", F.col("_first")).unionByName(cut).drop("_f", "_d", "_before", "_all", "_n", "_first", "_last")
 
 
 def gram_sums(rows: DataFrame, columns: list[str], shift: np.ndarray) -> dict[tuple[int, int], np.ndarray]:

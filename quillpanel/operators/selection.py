@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,14 @@ def guarded_corr(x: Column, y: Column) -> Column:
 
 
 def daily_ic(panel: DataFrame, features: list[str], target: str) -> DataFrame:
-    """date and ic_<feature>: Spearman correlations, of ranks that each column takes over its own values; all in one aggregation."""
-    ranks = panel.select("date", *(cs.rank(F.round(c, 10)).alias(c) for c in [*features, target]))
-    return ranks.groupBy("date").agg(*(guarded_corr(F.col(c), F.col(target)).alias(f"ic_{c}") for c in features))
+    """date and ic_<feature>: Spearman correlations, of ranks that each column takes over its own values. A date's rows go to one kernel, which ranks all columns; they must fit in a task."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        *x, y = (cs.places(c.to_numpy(zero_copy_only=False).astype(float)) for c in rows.columns[1:])
+        return pa.table([rows.column(0).slice(0, 1), *(pa.array([cs.correlation(v, y)], pa.float64()) for v in x)], names=["date", *(f"ic_{c}" for c in features)])
+
+    narrow = panel.select("date", *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate([*features, target])))
+    return narrow.groupBy("date").applyInArrow(run, ", ".join([f"date {dict(panel.dtypes)['date']}", *(f"`ic_{c}` double" for c in features)]))
 
 
 def icir(ic: DataFrame, features: list[str], least: int = 2) -> DataFrame:
@@ -32,35 +39,78 @@ def icir(ic: DataFrame, features: list[str], least: int = 2) -> DataFrame:
 
 
 def select_by_icir(panel: DataFrame, features: list[str], target: str, threshold: float = 0.02) -> tuple[list[str], dict[str, float]]:
-    """Features of |ir| over the threshold, in order, and all the irs (one number each comes to the driver)."""
-    found = {r["feature"]: r["ir"] for r in icir(daily_ic(panel, features, target), features).collect()}
+    """Features of |ir| over the threshold, in order, and all the irs."""
+    return select_by_ics(daily_ic(panel, features, target), features, threshold)
+
+
+def select_by_ics(ic: DataFrame, features: list[str], threshold: float = 0.02) -> tuple[list[str], dict[str, float]]:
+    """select_by_icir() from the daily ICs (one number for each feature comes to the driver)."""
+    found = {r["feature"]: r["ir"] for r in icir(ic, features).collect()}
     return [c for c in features if abs(found[c]) > threshold], found
 
 
 def spearman_matrix(panel: DataFrame, features: list[str]) -> DataFrame:
-    """(a, b, rho) for each pair, over the rows that have all features. Ranks are global: a window over all rows would be one task, so ranks come from value counts.
+    """(a, b, rho) for each pair, over the rows that have all features. Ranks are global: a window over all rows would be one task, so they come from ranges of values.
 
-    All features are ranked together, as rows (feature, value), so the number of shuffles does not depend on theirs; a frequent value may be split in the join.
+    All features are ranked together, as rows (range, value), so the number of shuffles does not depend on theirs.
     """
-    rows = panel.dropna(subset=features).select(*(F.round(c, 10).alias(c) for c in features))
-    melted = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.posexplode(F.array(*features)).alias("f", "v"))
-    placed = melted.join(_global_ranks(rows, melted, features), ["f", "v"])
-    out = placed.groupBy("_row").agg(*(F.max(F.when(F.col("f") == i, F.col("k"))).alias(f"_k_{c}") for i, c in enumerate(features)))
+    rows = panel.dropna(subset=features).select(*(cs.even(c).alias(c) for c in features))
+    out = _global_ranks(rows, features).repartition("_row").groupBy("_row").agg(*(F.max(F.when(F.col("f") == i, F.col("k"))).alias(f"_k_{c}") for i, c in enumerate(features)))
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     made = out.agg(*(guarded_corr(F.col(f"_k_{a}"), F.col(f"_k_{b}")).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
     return made.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("rho")) for i, (a, b) in enumerate(pairs)))).alias("p")).select("p.*")
 
 
-def _global_ranks(rows: DataFrame, melted: DataFrame, features: list[str]) -> DataFrame:
-    """(f, v, k): average rank of each feature's values: counts by value, running sums inside ranges of values, and the ranges' own sums. There are as many ranges as shuffle partitions."""
+def value_ranges(cuts: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Borders of ranges of values from quantiles, and which ranges hold one value only: a value that fills a range or more stands in the quantiles twice, and gets one of its own."""
+    values, n = np.unique(np.array(cuts, float), return_counts=True)
+    borders = np.unique(np.concatenate([values, np.nextafter(values[n > 1], np.inf)]))
+    return borders, np.concatenate([[False], np.isin(borders[:-1], values[n > 1]), [False]]) if len(borders) else np.array([False])
+
+
+def _global_ranks(rows: DataFrame, features: list[str]) -> DataFrame:
+    """(_row, f, k): average rank of each row's value of each feature: the number of values in lower ranges and the rank within the range, which is one group of a kernel.
+    There are about as many ranges of a feature as shuffle partitions. In a range of one value the count gives the rank; its rows pass in any group."""
     parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counts = melted.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = rows.approxQuantile(features, [i / parts for i in range(1, parts)], 0.25 / parts)
-    table = F.array(*(F.array(*(F.lit(float(x)) for x in sorted(set(c)))) if c else F.array().cast("array<double>") for c in cuts))
-    counts = counts.withColumn("part", F.size(F.filter(F.get(table, F.col("f")), lambda x: x <= F.col("v"))))
-    totals = counts.groupBy("f", "part").agg(F.sum("n").alias("t")).withColumn("before", F.sum("t").over(Window.partitionBy("f").orderBy("part")) - F.col("t"))
-    running = F.sum("n").over(Window.partitionBy("f", "part").orderBy("v"))
-    return counts.join(F.broadcast(totals.select("f", "part", "before")), ["f", "part"]).select("f", "v", (F.col("before") + running - (F.col("n") - 1) / 2).alias("k"))
+    ranges = [value_ranges(c) for c in rows.approxQuantile(features, [i / parts for i in range(1, parts)], 0.25 / parts)]
+    width = max(len(alone) for _, alone in ranges)
+
+    def placed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for i, (borders, _) in enumerate(ranges):
+            x = batch.column(i).to_numpy(zero_copy_only=False)
+            yield i, x, np.searchsorted(borders, x, side="right")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((len(ranges), width), np.int64)
+        for batch in batches:
+            for i, _, at in placed(batch):
+                found[i] += np.bincount(at, minlength=width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(found.size)), pa.array(found.ravel())], names=["g", "n"])
+
+    totals = np.zeros(len(ranges) * width, np.int64)
+    for r in rows.mapInArrow(count, "g long, n long").where("n > 0").groupBy("g").agg(F.sum("n").alias("n")).collect():
+        totals[r["g"]] = r["n"]
+    totals = totals.reshape(-1, width)
+    before = np.cumsum(totals, axis=1) - totals
+
+    def melt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(len(ranges))
+            for i, x, at in placed(batch):
+                known = ranges[i][1][at]
+                v = np.where(known, before[i, at] + (totals[i, at] + 1) / 2, x)
+                group = np.where(known, -1 - row.to_numpy() % width, i * width + at)
+                yield pa.RecordBatch.from_arrays([row, pa.array(np.full(len(x), i, np.int32)), pa.array(group), pa.array(v)], names=["_row", "f", "g", "v"])
+
+    def rank(group: pa.Table) -> pa.Table:
+        g, v = group.column("g")[0].as_py(), group.column("v").to_numpy()
+        if g >= 0:
+            _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+            v = before[g // width, g % width] + (np.cumsum(n) - (n - 1) / 2)[at]
+        return pa.table([group.column("_row"), group.column("f"), pa.array(v, pa.float64())], names=["_row", "f", "k"])
+
+    melted = rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(melt, "_row long, f int, g long, v double")
+    return melted.groupBy("g").applyInArrow(rank, "_row long, f int, k double")
 
 
 def prune(ir: dict[str, float], rho: dict[tuple[str, str], float], groups: list[list[str]], threshold: float = 0.75) -> list[str]:
