@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401  it registers the queries
 from quillpanel.functions import cs
 from quillpanel.operators import features as f
-from quillpanel.operators import labels, lasso, selection
+from quillpanel.operators import labels, lasso, models, selection
 from quillpanel.plans import walkforward
 from quillpanel.queries import iterative
 from quillpanel.sources.panels import walk_panel
@@ -110,3 +110,17 @@ def test_a_value_that_fills_a_range_has_one_of_its_own():
     borders, alone = selection.value_ranges([1.0, 2.0, 2.0, 2.0, 3.0])
     at = np.searchsorted(borders, [0.5, 1.0, 2.0, 2.5, 3.0], side="right")
     assert alone[at].tolist() == [False, False, True, False, False] and len(set(at.tolist())) == 5 and selection.value_ranges([])[1].tolist() == [False]
+
+
+def test_combined_folds_are_ranked_together(spark):
+    """All folds in one plan, no window but the count of dates; each fold equals the combination of its own rows."""
+    table = sample(spark, dates=40)
+    last = F.col("date") > F.lit(date(2020, 1, 25))
+    train, test = table.where(~last), table.where(last)
+    made = models.fit_predict_folds("combined_factors", train, test, {0: ["a", "b"], 1: ["b"]}, target="y", window=10, lag=3)
+    text = plan(made)
+    assert text.count("Window [") == 1 and text.count("FlatMapCoGroupsInArrow") == 1
+    for fold, names in ((0, ["a", "b"]), (1, ["b"])):
+        own = models.combine(table.where(F.col("fold") == fold).drop("fold"), names, "y", window=10, lag=3).where(last).orderBy("date", "symbol").toPandas()
+        rows = made.where(F.col("fold") == fold).orderBy("date", "symbol").toPandas()
+        assert len(rows) == len(own) == 300 and rows["pred_score"].to_numpy() == pytest.approx(own["pred_score"].to_numpy(), abs=1e-12) and rows["pred_score"].abs().max() > 0
