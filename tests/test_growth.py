@@ -1,5 +1,6 @@
 """What keeps a query's time and memory from growing faster than its tables: what is made once, what is shuffled, how many tasks there are."""
 
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401  it registers the queries
 from quillpanel.functions import cs
 from quillpanel.operators import features as f
-from quillpanel.operators import labels, lasso, models, selection
+from quillpanel.operators import joins, labels, lasso, models, selection
 from quillpanel.plans import walkforward
 from quillpanel.queries import iterative
+from quillpanel.registry import QUERIES
 from quillpanel.sources.panels import walk_panel
 
 
@@ -124,3 +126,17 @@ def test_combined_folds_are_ranked_together(spark):
         own = models.combine(table.where(F.col("fold") == fold).drop("fold"), names, "y", window=10, lag=3).where(last).orderBy("date", "symbol").toPandas()
         rows = made.where(F.col("fold") == fold).orderBy("date", "symbol").toPandas()
         assert len(rows) == len(own) == 300 and rows["pred_score"].to_numpy() == pytest.approx(own["pred_score"].to_numpy(), abs=1e-12) and rows["pred_score"].abs().max() > 0
+
+
+def test_ensemble_tasks_do_not_grow_to_a_size(spark, sf):
+    """Two exchanges, by symbol and by date, each with a given number of tasks; lines are read once."""
+    text = QUERIES["ensemble_ranks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#.*?(\w+), \[plan_id", text) == [("date", "REPARTITION_BY_NUM"), ("symbol", "REPARTITION_BY_NUM")]
+    assert text.count("Scan parquet") == 1
+
+
+def test_ensemble_of_columns_equals_that_of_tables(spark):
+    table = sample(spark, folds=1).drop("fold")
+    one = joins.ensemble_columns(table, ["a", "b"]).orderBy("date", "symbol").toPandas()
+    many = joins.ensemble([table.withColumn("pred_score", F.col(c)) for c in "ab"]).orderBy("date", "symbol").toPandas()
+    assert one["pred_score"].to_numpy(float) == pytest.approx(many["pred_score"].to_numpy(float), nan_ok=True) and one["pred_score"].isna().any()
