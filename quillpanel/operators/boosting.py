@@ -1,8 +1,9 @@
 """Histogram boosting of shallow trees, for several training sets (folds) at once.
 
-Features become bins by each fold's own quantiles, once; a row of the packed table holds one date of one fold. In a round every task routes
-its rows through the trees since the last margins and takes gradients once; what the round's sample needs is kept in memory for its levels. A level is one pass: every task
-adds up (node, feature, bin) cells before one shuffle brings a bounded number of cells to the driver, which picks the splits of all folds. Gradients are whole numbers of a fixed unit, so sums, and with them the trees, do not depend on how rows are dealt out.
+Features become bins by each fold's own quantiles, once; a row of the packed table holds one date of one fold. The dates are dealt evenly over the cores and kept there as
+arrays. In a round every task routes its rows through the trees since the last margins and takes gradients once; what the round's sample needs is kept for its levels. A level is
+one job of one stage: every task adds up (node, feature, bin) cells, a bounded number of which comes to the driver, which adds them and picks the splits of all folds. Gradients
+are whole numbers of a fixed unit, so sums, and with them the trees, do not depend on how rows are dealt out.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,27 +95,61 @@ def margins(b: np.ndarray, trees: list[Tree]) -> np.ndarray:
     return out
 
 
-def ndcg_slopes(y: np.ndarray, s: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray]:
-    """LambdaMART (Burges 2010) on one date: gradient and hessian of each row, over the pairs that touch the current best `pairs` rows, weighed by the swap's change of NDCG with linear gain."""
+_DISCOUNTS = np.zeros(0)
+
+
+def discounts(n: int) -> np.ndarray:
+    """Of the first n places; a worker keeps the longest run it has made."""
+    global _DISCOUNTS
+    if len(_DISCOUNTS) < n:
+        _DISCOUNTS = 1 / np.log2(np.arange(n) + 2)
+    return _DISCOUNTS[:n]
+
+
+def ideal_gain(y: np.ndarray) -> float:
+    return max((np.sort(y)[::-1] * discounts(len(y))).sum(), 1e-12)
+
+
+def ndcg_slopes(y: np.ndarray, s: np.ndarray, pairs: int, ideal: float | None = None, run: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """LambdaMART (Burges 2010) on one date: gradient and hessian of each row, over the pairs that touch the current best `pairs` rows, weighed by the swap's change of NDCG with linear gain.
+
+    ideal: ideal_gain(y), where it is known. Rows are gone through `run` at a time, so that a run's arrays stay in the processor's cache; exponentials are taken once a row.
+    """
+    n, most = len(y), min(pairs, len(y))
+    if not most:
+        return np.zeros(n), np.zeros(n)
     order = np.argsort(-s, kind="stable")
-    y, s, n = y[order], s[order], len(y)
-    discount = 1 / np.log2(np.arange(n) + 2)
-    ideal = max((np.sort(y)[::-1] * discount).sum(), 1e-12)
-    g, h, own_g, own_h = np.zeros(n), np.zeros(n), np.zeros(min(pairs, n)), np.zeros(min(pairs, n))
-    for i in range(len(own_g)):  # a row of pairs at a time stays in the processor's cache
-        better = y[i] - y
-        sign = np.sign(better)
-        rho = 1 / (1 + np.exp(np.clip(sign * (s[i] - s), -50, 50)))
-        gain = np.abs(better * (discount[i] - discount)) / ideal
-        gain[:i] = 0  # each pair once
-        push, bend = sign * rho * gain, rho * (1 - rho) * gain
-        g += push
-        h += bend
-        own_g[i], own_h[i] = push.sum(), bend.sum()
-    g[: len(own_g)] -= own_g
-    h[: len(own_h)] += own_h
+    y, s, discount = y[order], s[order], discounts(n)
+    below = np.exp(np.minimum(s[0] - s, 700.0))  # of the best row's score less each row's
+    above, far = np.exp(np.maximum(s[:most] - s[0], -700.0))[:, None], s[0] - s[-1] > 50
+    g, h, own_g, own_h = np.zeros(n), np.zeros(n), np.zeros(most), np.zeros(most)
+    held = np.empty((3, most, run))
+    for begin in range(0, n, run):
+        part = slice(begin, min(begin + run, n))
+        gain, worse, size = held[:, :, : part.stop - begin]
+        np.subtract(y[:most, None], y[part], out=gain)
+        gain *= np.subtract(discount[:most, None], discount[part], out=size)
+        if begin < most:
+            gain[np.arange(begin, part.stop) <= np.arange(most)[:, None]] = 0  # each pair once
+        np.multiply(below[part], above, out=worse)
+        if far:
+            np.minimum(worse, math.exp(50), out=worse)
+        worse += 1
+        np.reciprocal(worse, out=worse)  # the chance that the lower row is the better one
+        np.abs(gain, out=size)
+        size *= worse
+        np.minimum(gain, 0, out=gain)
+        gain += size  # where the upper row is the worse one, its chance of being so is 1 - worse
+        worse *= size
+        size -= worse
+        g[part], h[part] = np.add.reduce(gain, axis=0), np.add.reduce(size, axis=0)
+        own_g += np.add.reduce(gain, axis=1)
+        own_h += np.add.reduce(size, axis=1)
+    g[:most] -= own_g
+    h[:most] += own_h
+    ideal = ideal_gain(y) if ideal is None else ideal
     out = np.empty(n), np.empty(n)
-    out[0][order], out[1][order] = g, h
+    out[0][order], out[1][order] = g / ideal, h / ideal
     return out
 
 
@@ -158,7 +194,7 @@ def quantile_cuts(train: DataFrame, features: list[str], bins: int, kept: int =
     Values are counted by the first `kept` bits of their order-preserving form (a relative step of 1 / 4096), so counts, and cuts, do not depend on how rows are dealt
     out; a cut is the largest double of its step. One pass for all folds and features; only the steps where a bin ends come to the driver.
     """
-    drop = np.int64(64 - kept)
+    drop, half = np.int64(64 - kept), np.int64(1 << (kept - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,8 +202,8 @@ def quantile_cuts(train: DataFrame, features: list[str], bins: int, kept: int =
             for i in range(len(features)):
                 x = batch.column(i + 1).to_numpy(zero_copy_only=False).astype(np.float64)
                 there = ~np.isnan(x)
-                found, n = np.unique(np.stack([fold[there].astype(np.int64), _ordered(x[there]) >> drop]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int32)), pa.array(np.full(len(n), i, np.int32)), pa.array(found[1]), pa.array(n.astype(np.int64))], names=["fold", "i", "step", "n"])
+                found, n = np.unique((fold[there].astype(np.int64) << kept) + (_ordered(x[there]) >> drop) + half, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((found >> kept).astype(np.int32)), pa.array(np.full(len(n), i, np.int32)), pa.array((found & (2 * half - 1)) - half), pa.array(n.astype(np.int64))], names=["fold", "i", "step", "n"])
 
     counted = train.select("fold", *(F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(features))).mapInArrow(count, "fold int, i int, step long, n long")
     counted = counted.groupBy("fold", "i", "step").agg(F.sum("n").alias("n"))
@@ -185,7 +221,7 @@ def quantile_cuts(train: DataFrame, features: list[str], bins: int, kept: int =
 
 
 def pack(train: DataFrame, features: list[str], target: str, cuts: dict[int, list[np.ndarray]], seed: int, scratch: Scratch) -> DataFrame:
-    """fold, date, n, and as bytes: bins (feature by feature), y, keys (a hash of symbol and date) and margins of the date's rows in order of symbol. A date's cross-section fits in a task.
+    """fold, date, n, and as bytes: bins (feature by feature), y and keys (a hash of symbol and date) of the date's rows in order of symbol. A date's cross-section fits in a task.
 
     The dates are dealt over all cores: left to itself, Spark would join these few bytes to a handful of partitions, and every pass would run in as few tasks.
     """
@@ -194,66 +230,70 @@ def pack(train: DataFrame, features: list[str], target: str, cuts: dict[int, lis
     def run(day: pd.DataFrame) -> pd.DataFrame:
         day = day.sort_values(["symbol", "_key"], kind="stable")
         x = day[[f"_x{i}" for i in range(len(features))]].to_numpy(np.float64, na_value=np.nan)
-        data = {"bins": binned(x, cuts[int(day["fold"].iloc[0])]).astype(np.uint8).T, "y": day["_y"].to_numpy(np.float64), "keys": day["_key"].to_numpy(np.int64), "margin": np.zeros(len(day))}
+        data = {"bins": binned(x, cuts[int(day["fold"].iloc[0])]).astype(np.uint8).T, "y": day["_y"].to_numpy(np.float64), "keys": day["_key"].to_numpy(np.int64)}
         return pd.DataFrame({"fold": day["fold"].iloc[:1].to_numpy(), "date": day["date"].iloc[:1].to_numpy(), "n": [len(day)], **{k: [v.tobytes()] for k, v in data.items()}})
 
-    schema = f"fold int, date {dict(train.dtypes)['date']}, n long, bins binary, y binary, keys binary, margin binary"
+    schema = f"fold int, date {dict(train.dtypes)['date']}, n long, bins binary, y binary, keys binary"
     parts = 2 * train.sparkSession.sparkContext.defaultParallelism
     return scratch.saved(rows.repartition(parts, "fold", "date").groupBy("fold", "date").applyInPandas(run, schema), "boosting-packed")
 
 
-def _rows(batch: pa.RecordBatch, kinds: dict[str, type]) -> Iterator[tuple]:
-    """Of each row its fold and the named columns' bytes as arrays, without a copy."""
-    columns = [(batch.column(batch.schema.get_field_index(c)), kind) for c, kind in kinds.items()]
-    for k, f in enumerate(batch.column(batch.schema.get_field_index("fold")).to_pylist()):
-        yield f, *(np.frombuffer(c[k].as_buffer(), kind) for c, kind in columns)
+def dealt(packed: DataFrame) -> RDD:
+    """(fold, bins, y, keys, margin, ideal gain) of each packed date, as arrays, kept in memory or on disk. The dates are dealt out by their rows in turn, so all tasks have about as many."""
+    parts = packed.sparkSession.sparkContext.defaultParallelism
+    days = sorted(((r["n"], r["fold"], r["date"]) for r in packed.select("n", "fold", "date").collect()), reverse=True)
+    parts = max(1, min(parts, len(days)))
+    turn = [*range(parts), *reversed(range(parts))]
+    place = {(f, d): turn[i % len(turn)] for i, (_, f, d) in enumerate(days)}
 
+    def arrays(r: tuple) -> tuple:
+        f, bins, y, keys = r
+        y = np.frombuffer(y, np.float64)
+        return f, np.frombuffer(bins, np.uint8).reshape(-1, len(y)), y, np.frombuffer(keys, np.int64), np.zeros(len(y)), ideal_gain(y)
 
-PACKED = {"bins": np.uint8, "y": np.float64, "keys": np.int64, "margin": np.float64}
+    rows = packed.select("fold", "date", "bins", "y", "keys").rdd.map(lambda r: ((r[0], r[1]), (r[0], bytes(r[2]), bytes(r[3]), bytes(r[4]))))
+    return rows.partitionBy(parts, place.__getitem__).values().map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def slopes(packed: DataFrame, held, width: int, s: Settings, bound: float, bends: float) -> DataFrame:
-    """fold and, of each date's rows in a round's sample, as bytes: bins, gradients and hessians in units (none for squared error, where all are 1). held: the round, its trees since the margins, and each fold's base."""
+def slopes(rows: RDD, number: int, trees: dict[int, list[Tree]], base: dict[int, float], s: Settings, bound: float, bends: float) -> RDD:
+    """fold, and of each date's rows in a round's sample bins, gradients and hessians in units (none for squared error, where all are 1). trees: those since the margins."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, trees, base = held.value
-        for batch in batches:
-            for f, b, y, keys, margin in _rows(batch, PACKED):
-                b, some = b.reshape(width, -1), np.flatnonzero(drawn(keys, number, s.rows))
-                margin = margin + margins(b.T, trees[f])
-                if s.loss == "squared":
-                    g, h = units(margin[some] + base[f] - y[some], bound), np.zeros(0)
-                else:
-                    g, h = (units(x[some], limit) for x, limit in zip(ndcg_slopes(y, margin, s.pairs), (bound, bends), strict=True))
-                found = (np.take(b, some, axis=1), g.astype(np.int32), h.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in found)], names=["fold", "bins", "g", "h"])
+    def run(row: tuple) -> tuple:
+        f, b, y, keys, margin, ideal = row
+        some = np.flatnonzero(drawn(keys, number, s.rows))
+        margin = margin + margins(b.T, trees[f])
+        if s.loss == "squared":
+            g, h = units(margin[some] + base[f] - y[some], bound), np.zeros(0)
+        else:
+            g, h = (units(x[some], limit) for x, limit in zip(ndcg_slopes(y, margin, s.pairs, ideal), (bound, bends), strict=True))
+        return f, np.take(b, some, axis=1), g.astype(np.int32), h.astype(np.int32)
 
-    return packed.mapInArrow(run, "fold int, bins binary, g binary, h binary")
+    return rows.map(run)
 
 
-def cells(sampled: DataFrame, held, width: int, s: Settings) -> DataFrame:
-    """Sums of gradients and hessians for each (fold, node, feature, bin) of a level. held: the level, and each fold's tree so far and features."""
+def cells(sampled: RDD, level: int, state: dict[int, tuple[Tree, np.ndarray]], s: Settings) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Each fold's sums of gradients and of hessians in units, by node, feature in use and bin. state: each fold's tree so far, and the features in use."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, state = held.value
+    def run(rows: Iterator[tuple]) -> Iterator[dict]:
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for f, b, g, h in _rows(batch, {"bins": np.uint8, "g": np.int32, "h": np.int32}):
-                (tree, used), b = state[f], b.reshape(width, -1)
-                if f not in sums:
-                    sums[f] = tuple(np.zeros((1 << level, width, s.bins), np.int64) for _ in range(2))
-                node, size = (tree.node(b.T, level) - (1 << level)) * s.bins, s.bins << level
-                g, h = g.astype(np.float64), h.astype(np.float64)
-                for i in used.tolist():
-                    key = node + b[i]
-                    sums[f][0][:, i] += np.bincount(key, weights=g, minlength=size).astype(np.int64).reshape(-1, s.bins)
-                    n = np.bincount(key, minlength=size) * UNIT if s.loss == "squared" else np.bincount(key, weights=h, minlength=size).astype(np.int64)
-                    sums[f][1][:, i] += n.reshape(-1, s.bins)
-        for f, (g, h) in ((f, (a.ravel(), b.ravel())) for f, (a, b) in sums.items()):
-            there = np.flatnonzero((g != 0) | (h != 0))
-            yield pa.RecordBatch.from_arrays([pa.array(there + f * len(g)), pa.array(g[there]), pa.array(h[there])], names=["cell", "g", "h"])
-
-    return sampled.mapInArrow(run, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        for f, b, g, h in rows:
+            tree, used = state[f]
+            if f not in sums:
+                sums[f] = tuple(np.zeros((1 << level, len(used), s.bins), np.int64) for _ in range(2))
+            node, size = (tree.node(b.T, level) - (1 << level)) * s.bins, s.bins << level
+            g, h = g.astype(np.float64), h.astype(np.float64)
+            for k, i in enumerate(used.tolist()):
+                key = node + b[i]
+                sums[f][0][:, k] += np.bincount(key, weights=g, minlength=size).astype(np.int64).reshape(-1, s.bins)
+                n = np.bincount(key, minlength=size) * UNIT if s.loss == "squared" else np.bincount(key, weights=h, minlength=size).astype(np.int64)
+                sums[f][1][:, k] += n.reshape(-1, s.bins)
+        yield sums
+
+    def add(a: dict, b: dict) -> dict:
+        return a | {f: (a[f][0] + x[0], a[f][1] + x[1]) if f in a else x for f, x in b.items()}
+
+    made = sampled.mapPartitions(run)
+    return made.reduce(add) if made.getNumPartitions() <= 64 else made.treeReduce(add)  # many tasks' cells are added up before the driver
 
 
 def fit(train: DataFrame, features: dict[int, list[str]], target: str, s: Settings) -> dict[int, Forest]:
@@ -275,40 +315,38 @@ def fit(train: DataFrame, features: dict[int, list[str]], target: str, s: Settin
     if not names or not stats:
         return forests
     with Scratch(train.sparkSession) as scratch:
-        _boost(pack(train, names, target, cuts, s.seed, scratch), forests, features, names, bound, bends, s, scratch)
+        _boost(pack(train, names, target, cuts, s.seed, scratch), forests, features, names, bound, bends, s)
     return forests
 
 
-def _boost(packed: DataFrame, forests: dict[int, Forest], features: dict[int, list[str]], names: list[str], bound: float, bends: float, s: Settings, scratch: Scratch) -> None:
+def _boost(packed: DataFrame, forests: dict[int, Forest], features: dict[int, list[str]], names: list[str], bound: float, bends: float, s: Settings) -> None:
     """Adds the trees of all rounds to the forests."""
     folds, width, base = sorted(forests), len(names), {f: x.base for f, x in forests.items()}
-    context = packed.sparkSession.sparkContext
-    since = 0
+    rows, old, since = dealt(packed), None, 0
     for number in range(s.rounds):
         new, allowed = {f: Tree.empty(s.depth, s.bins) for f in folds}, {}
         for f in folds:
             mine = [i for i, c in enumerate(names) if c in features[f]]
             rng = np.random.default_rng([s.seed, f, number])
             allowed[f] = np.isin(np.arange(width), rng.choice(mine, max(1, math.ceil(s.columns * len(mine))), replace=False)) if mine else np.zeros(width, bool)
-        round_held = context.broadcast((number, {f: forests[f].trees[since:] for f in folds}, base))
-        sampled = slopes(packed, round_held, width, s, bound, bends).persist()  # the first level makes it, the others read it
+        used = {f: np.flatnonzero(allowed[f]) for f in folds}
+        sampled = slopes(rows, number, {f: forests[f].trees[since:] for f in folds}, base, s, bound, bends).persist(StorageLevel.MEMORY_AND_DISK)  # the first level makes it, the others read it
         for level in range(s.depth):
-            nodes = 1 << level
-            held = context.broadcast((level, {f: (new[f], np.flatnonzero(allowed[f])) for f in folds}))
-            found = cells(sampled, held, width, s).toArrow()
-            size = nodes * width * s.bins
-            at = found.column("cell").to_numpy()
+            found = cells(sampled, level, {f: (new[f], used[f]) for f in folds}, s)
             for f in folds:
-                mine = (at // size) == f
-                g, h = (np.bincount(at[mine] - f * size, weights=found.column(c).to_numpy()[mine] * (b / UNIT), minlength=size).reshape(nodes, width, s.bins) for c, b in (("g", bound), ("h", bends)))
-                grow(new[f], level, g, h, allowed[f], s)
-            held.destroy()
+                sums = [np.zeros((1 << level, width, s.bins)) for _ in range(2)]
+                for x, total, b in zip(sums, found.get(f, ()), (bound, bends)):
+                    x[:, used[f]] = total * (b / UNIT)
+                grow(new[f], level, *sums, allowed[f], s)
         sampled.unpersist()
-        round_held.destroy()
+        if old:
+            old.unpersist()  # by now the margins that were made of it are kept
+            old = None
         for f in folds:
             forests[f].trees.append(new[f])
         if len(forests[folds[0]].trees) - since >= s.keep and number + 1 < s.rounds:
-            packed, since = _advanced(packed, {f: forests[f].trees[since:] for f in folds}, width, scratch), number + 1
+            old, rows, since = rows, _advanced(rows, {f: forests[f].trees[since:] for f in folds}), number + 1
+    rows.unpersist()
 
 
 def grow(tree: Tree, level: int, g: np.ndarray, h: np.ndarray, allowed: np.ndarray, s: Settings) -> None:
@@ -328,18 +366,14 @@ def grow(tree: Tree, level: int, g: np.ndarray, h: np.ndarray, allowed: np.ndarr
             tree.value[2 * k + 1] = leaf(total_g - left_g, total_h - left_h, s) if best else 0.0
 
 
-def _advanced(packed: DataFrame, trees: dict[int, list[Tree]], width: int, scratch: Scratch) -> DataFrame:
-    """The packed table with the trees' values in its margins, written anew in place of the old: later passes route rows through later trees only, and a lost executor costs no more than that."""
-    held = packed.sparkSession.sparkContext.broadcast(trees)
+def _advanced(rows: RDD, trees: dict[int, list[Tree]]) -> RDD:
+    """The rows with the trees' values in their margins, kept in place of the old: later passes route rows through later trees only. What a lost executor kept is made again from the packed table."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [(margin + margins(b.reshape(width, -1).T, held.value[f])).tobytes() for f, b, margin in _rows(batch, {"bins": np.uint8, "margin": np.float64})]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], schema=batch.schema)
+    def run(row: tuple) -> tuple:
+        f, b, y, keys, margin, ideal = row
+        return f, b, y, keys, margin + margins(b.T, trees[f]), ideal
 
-    made = scratch.saved(packed.mapInArrow(run, packed.schema), "boosting-margins")
-    scratch.leave(1)
-    return made
+    return rows.map(run).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def predict(test: DataFrame, forests: dict[int, Forest], features: dict[int, list[str]]) -> DataFrame:

@@ -28,6 +28,54 @@ def test_a_node_by_columns_is_the_walk_row_by_row():
         assert (tree.node(b, levels) == at).all() and (tree.node(b.astype(np.int64), levels) == at).all()
 
 
+def test_a_level_is_one_job_of_one_stage(spark):
+    """No shuffle, no table and no broadcast between levels: more rounds are `depth` more jobs each."""
+    days = [d.date() for d in pd.date_range("2020-01-01", periods=12)]
+    rng = np.random.default_rng(0)
+    table = spark.createDataFrame(pd.DataFrame([(0, d, s, float(rng.normal()), float(rng.normal())) for d in days for s in range(20)], columns=["fold", "date", "symbol", "a", "y"]))
+    context, jobs, stages = spark.sparkContext, {}, {}
+    for rounds in (1, 4):
+        context.setJobGroup(f"boosting-{rounds}", "")
+        boosting.fit(table, {0: ["a"]}, "y", boosting.Settings(rounds=rounds, depth=2, keep=1))
+        jobs[rounds] = context.statusTracker().getJobIdsForGroup(f"boosting-{rounds}")
+        stages[rounds] = [len(context.statusTracker().getJobInfo(j).stageIds) for j in sorted(jobs[rounds])]
+    context.setJobGroup("", "")
+    assert len(jobs[4]) - len(jobs[1]) == 3 * 2
+    assert sum(stages[4]) - sum(stages[1]) <= 2 * 3 * 2  # a stage before, which deals the rows, is skipped
+
+
+def test_dates_are_dealt_out_by_their_rows(spark):
+    """No task has more than one date above another, and none more rows than its share and the longest date."""
+    days = [d.date() for d in pd.date_range("2020-01-01", periods=41)]
+    table = spark.createDataFrame(pd.DataFrame([(0, d, s, float(s), 1.0) for k, d in enumerate(days) for s in range(1 + k % 9)], columns=["fold", "date", "symbol", "a", "y"]))
+    with Scratch(spark) as scratch:
+        rows = boosting.dealt(boosting.pack(table, ["a"], "y", {0: [np.array([1.5])]}, 1, scratch))
+        parts = rows.map(lambda r: len(r[2])).glom().collect()
+        rows.unpersist()
+    lengths = [len(x) for x in parts]
+    assert sum(lengths) == 41 and max(lengths) - min(lengths) <= 1 and max(map(sum, parts)) <= table.count() / len(parts) + 9
+
+
+def test_gradients_in_runs_of_rows_are_those_of_the_whole_date():
+    rng = np.random.default_rng(5)
+    y, s = rng.uniform(0, 100, 700), np.round(rng.normal(size=700) * 40, 1)  # scores lie more than 50 apart
+    order = np.argsort(-s, kind="stable")
+    want, place = np.zeros((2, 700)), np.arange(700)
+    ideal = (np.sort(y)[::-1] / np.log2(place + 2)).sum()
+    for p in range(20):
+        for q in range(p + 1, 700):
+            i, j = order[p], order[q]
+            sign = np.sign(y[i] - y[j])
+            rho = 1 / (1 + np.exp(np.clip(sign * (s[i] - s[j]), -50, 50)))
+            gain = abs((y[i] - y[j]) * (1 / np.log2(p + 2) - 1 / np.log2(q + 2))) / ideal
+            want[:, i] += -sign * rho * gain, rho * (1 - rho) * gain
+            want[:, j] += sign * rho * gain, rho * (1 - rho) * gain
+    for run in (7, 512, 1000):
+        made = boosting.ndcg_slopes(y, s, 20, boosting.ideal_gain(y), run)
+        assert np.allclose(made, want, rtol=1e-9, atol=1e-14)
+    assert [len(x) for x in boosting.ndcg_slopes(np.zeros(0), np.zeros(0), 20)] == [0, 0]
+
+
 def test_a_step_of_the_recurrent_model_reads_its_own_batch(spark):
     from pyspark.sql import functions as F
 
