@@ -91,6 +91,50 @@ def test_a_step_of_the_recurrent_model_reads_its_own_batch(spark):
         assert packed.where("chunk % 4 <> batch").count() == 0 and packed.agg(F.sum("n")).first()[0] == 160
 
 
+def test_a_step_of_the_recurrent_model_is_one_job_of_one_stage(spark):
+    """Rows are packed as single floats; an epoch more is a job more for each of its batches, without a shuffle."""
+    from quillpanel.operators import recurrent
+
+    days = [d.date() for d in pd.date_range("2020-01-01", periods=12)]
+    rng = np.random.default_rng(0)
+    table = spark.createDataFrame(pd.DataFrame([(0, d, s, float(rng.normal()), float(rng.normal())) for d in days for s in range(9)], columns=["fold", "date", "symbol", "a", "y"]))
+    context, jobs, stages = spark.sparkContext, {}, {}
+    for epochs in (1, 3):
+        context.setJobGroup(f"recurrent-{epochs}", "")
+        net = recurrent.fit(table, {0: ["a"]}, "y", recurrent.Settings(length=3, hidden=4, epochs=epochs, batches=2))[0]
+        jobs[epochs] = context.statusTracker().getJobIdsForGroup(f"recurrent-{epochs}")
+        stages[epochs] = sum(len(context.statusTracker().getJobInfo(j).stageIds) for j in jobs[epochs])
+    context.setJobGroup("", "")
+    assert len(jobs[3]) - len(jobs[1]) == stages[3] - stages[1] == 2 * 2
+    known = recurrent.sequences(table, ["a"], 3).where("_q is not null").withColumn("_y", table["y"])
+    with Scratch(spark) as scratch:
+        rows = recurrent.pack(known, {0: net}, 2, recurrent.Settings(length=3, batches=2), scratch).collect()
+    assert sum(r["n"] for r in rows) == 90 and all(len(r["x"]) == r["n"] * 3 * 4 and len(r["y"]) == r["n"] * 4 for r in rows)
+
+
+def test_windows_of_predictions_equal_those_taken_by_hand(spark):
+    """Also with values missing, and where a fold's short windows need its training rows."""
+    from quillpanel.operators import recurrent
+
+    rng = np.random.default_rng(2)
+    days = [d.date() for d in pd.date_range("2020-01-01", periods=9)]
+    table = pd.DataFrame([(f, d, s, rng.normal(), rng.normal()) for f in (0, 1) for d in days for s in range(5)], columns=["fold", "date", "symbol", "a", "b"])
+    table.loc[rng.random(len(table)) < 0.1, "a"] = np.nan
+    table = table[(table.fold == 0) | (table.symbol > 0) | (table.date == days[-1])]  # symbol 0 has one row in fold 1
+    frame = spark.createDataFrame(table).selectExpr("cast(fold as int) fold", "date", "symbol", "nanvl(a, null) a", "b")
+    nets = {f: recurrent.Network.start(["a", "b"], 6, f, np.array([0.1, -0.2]), np.array([1.5, 0.5]), 3.0, 2.0) for f in (0, 1)}
+    late = frame["date"] >= days[7]
+    made = recurrent.predict(frame.where(~late), frame.where(late), nets, {0: ["a", "b"], 1: ["a", "b"]}, recurrent.Settings(length=4)).toPandas()
+    assert len(made) == 10 + 9 and set(made.columns) == {*table.columns, "pred_score"}
+    for r in made.itertuples():
+        rows = table[(table.fold == r.fold) & (table.symbol == r.symbol) & (table.date <= r.date)].sort_values("date").tail(4)
+        if len(rows) == 4:
+            x = nets[r.fold].scaled(rows[["a", "b"]].to_numpy()[None])
+            assert abs(r.pred_score - (nets[r.fold].run(x)[0][0] * 2 + 3)) < 1e-5
+        else:
+            assert (r.fold, r.symbol) == (1, 0) and np.isfinite(r.pred_score) and r.pred_score != 0
+
+
 def test_subtrees_of_a_long_date_are_held_for_a_run_of_rows():
     """Sums in runs are the sums of the whole date, and no call sees more rows than a run."""
     from quillpanel.operators import search
