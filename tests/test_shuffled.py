@@ -25,6 +25,46 @@ def test_alphas_are_not_written_stage_by_stage(spark, sf):
     assert tables == [] and exchanges <= 5
 
 
+def test_compact_columns_lose_nothing():
+    """Rounded values, whole numbers, others, missing ones and groups of several widths come back bit for bit."""
+    import pyarrow as pa
+
+    from quillpanel.functions import compact
+
+    rng = np.random.default_rng(0)
+    groups = [np.round(rng.normal(size=(50, 3)) * size, 6) for size in (1e-5, 1.0, 1e4)] + [rng.normal(size=(9, 3)), np.full((4, 3), np.nan), np.array([[np.inf, 0, -1.5]]), np.zeros((0, 3))]
+    for x in groups[1:]:
+        x[: len(x) // 4, 1] = np.nan
+    sent = [compact.squeeze(x, 6) for x in groups]
+    made = compact.stretch(pa.chunked_array(sent, pa.binary()), 3, 6)
+    assert np.array_equal(made, np.concatenate(groups), equal_nan=True)
+    assert len(sent[1][0].as_py()) == 1 + 3 * 3 and len(sent[3][0].as_py()) == 1 + 3 * 8
+    assert np.array_equal(compact.plain(compact.binary(groups[1])[3:], np.float64), groups[1][3:], equal_nan=True)
+
+
+def test_ranks_travel_as_whole_numbers():
+    from quillpanel.operators import alphas
+
+    rng = np.random.default_rng(1)
+    made = {c: alphas.day_rank(np.round(rng.normal(size=997), 1), rng.random(997) < 0.9) for c in ("R_a", "R_b")} | {"mkt": np.full(997, 0.1 + 0.2)}
+    import pyarrow as pa
+
+    ranks, same = alphas.ranks_sent(made, list(made))
+    found = alphas.ranks_met(pa.table({"_ranks": ranks, "_same": same}), list(made))
+    assert all(np.array_equal(found[c], made[c], equal_nan=True) for c in made) and len(ranks[0].as_py()) == 1 + 2 * 2
+
+
+def test_bars_do_not_travel_through_dates(spark, sf):
+    """Between symbols and dates there are keys and bytes, no column of bars and none of alphas."""
+    import re
+
+    text = QUERIES["alpha_catalogue"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    inputs = [line for line in text.splitlines() if "FlatMapGroupsInArrow" in line]
+    assert len(inputs) >= 3 and "FlatMapCoGroupsInArrow" in text
+    assert sum(bool(re.search(r"[\[ ,](date#\d+)\]?.*_ranked#|_last#.*_free#", line)) for line in text.splitlines()) >= 2
+    assert sum("close#" in line and "before(" in line for line in inputs) == 1 and not any("close#" in line and ("across(" in line or "ranked(" in line) for line in inputs)
+
+
 def test_array_windows_equal_pandas():
     rng = np.random.default_rng(0)
     x, y = rng.normal(100, 1, 80), rng.normal(size=80)
